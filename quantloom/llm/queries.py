@@ -1,10 +1,16 @@
 """Queries of the llm operators and, where SQL can express them, their SQL."""
 
-from . import rans, separators
+from . import exact_dedup, mixing, quality, rans, separators
 
 QUERIES = {
     "op1_separator_token_counts": separators.op1_separator_token_counts,
     "op2_rans_token_file": rans.op2_rans_token_file,
+    "op3_attention_mil_quality": quality.op3_attention_mil_quality,
+    "op4_water_filling_mix": mixing.op4_water_filling_mix,
+    "op5_lsm_exact_dedup": exact_dedup.op5_lsm_exact_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op4_water_filling_mix": mixing.OP4_SQL,
+    "op5_lsm_exact_dedup": exact_dedup.OP5_SQL,
+}
