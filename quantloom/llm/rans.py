@@ -26,9 +26,9 @@ from . import common
 from .tokens import encoder, slices, vocabulary_path
 
 SCALE_BITS = 20
-LANES = 512
-BLOCK_IDS = 1 << 18
-CHECKPOINT_STEPS = 128
+LANES = 2048
+BLOCK_IDS = 1 << 20
+CHECKPOINT_STEPS = 256
 _LOW = np.uint64(1 << 31)
 _32 = np.uint64(32)
 _SCALE = np.uint64(SCALE_BITS)
