@@ -59,3 +59,21 @@ def text_or_empty(col: str = "text") -> Column:
 def id_order(col: str = "doc_id") -> list[Column]:
     """Ascending order of ids in which null ids come last."""
     return [F.col(col).isNull(), F.col(col)]
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A hash over all columns that can be hashed."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()])
+
+
+def keep_rows(docs: DataFrame, identity: dict[str, Column], decided: DataFrame, name: str) -> DataFrame:
+    """The rows of ``docs`` that ``decided`` (the identity's columns and ``kept``, a row for each row) keeps.
+
+    Rows of one identity are alike in every column; one of them stays if any is kept."""
+    marks = decided.groupBy(*identity).agg(F.count(F.lit(1)).alias("__n"), F.max("kept").alias("__any"))
+    marks = materialize(marks.where("NOT __any OR __n > 1"), name)
+    packed = docs.select(F.struct("*").alias("__row"), *[c.alias(k) for k, c in identity.items()])
+    match = [packed[k].eqNullSafe(marks[k]) for k in identity]
+    once = packed.join(marks, match, "left_anti")
+    several = packed.join(marks.where("__any"), match, "left_semi").dropDuplicates(list(identity))
+    return once.unionByName(several).select("__row.*")

@@ -79,17 +79,12 @@ class DigestIndex:
         return self.read().where(F.col("digest").isin(digests))
 
 
-def row_hash(docs: DataFrame) -> Column:
-    """A hash over all columns that can be hashed."""
-    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()])
-
-
 def grouped(docs: DataFrame, digest: Callable[[Column], Column] = sha256_digest) -> tuple[DataFrame, DataFrame]:
     """entries (doc_id, row, sha, digest) of all rows and groups (digest, keep_id, n) of equal texts.
 
     A digest of entries identifies one text: byte verification has been done."""
     spark = docs.sparkSession
-    base = docs.select("doc_id", row_hash(docs).alias("row"), normalized(F.col("text")).alias("norm"))
+    base = docs.select("doc_id", common.row_hash(docs).alias("row"), normalized(F.col("text")).alias("norm"))
     base = base.withColumns({"sha": F.sha2("norm", 256)}).withColumn("digest", digest(F.col("norm")))
     entries = common.materialize(base.drop("norm"), "dedup-entries")
     index = DigestIndex(spark, common.scratch_path(spark, "dedup-index"))
@@ -124,15 +119,9 @@ def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256_digest) -
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with the columns of ``docs``."""
-    same = ["__sha", "__id", "__hash"]
-    out = dedup(docs).select(F.col("sha").alias("__sha"), F.col("doc_id").alias("__id"), F.col("row").alias("__hash"), "kept")
-    marks = out.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("any"))
-    marks = common.materialize(marks.where("NOT any OR n > 1"), "dedup-marks")
-    packed = docs.select(F.struct("*").alias("__row"), F.sha2(normalized(F.col("text")), 256).alias("__sha"), F.col("doc_id").alias("__id"), row_hash(docs).alias("__hash"))
-    match = [packed[c].eqNullSafe(marks[c]) for c in same]
-    once = packed.join(marks, match, "left_anti")
-    several = packed.join(marks.where("any"), match, "left_semi").dropDuplicates(same)
-    return once.unionByName(several).select("__row.*")
+    identity = {"__sha": F.sha2(normalized(F.col("text")), 256), "__id": F.col("doc_id"), "__hash": common.row_hash(docs)}
+    decided = dedup(docs).select(F.col("sha").alias("__sha"), F.col("doc_id").alias("__id"), F.col("row").alias("__hash"), "kept")
+    return common.keep_rows(docs, identity, decided, "dedup-marks")
 
 
 def op5_lsm_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,5 +75,6 @@ def test_odd_rows(spark, odd, none, sf):
     assert q.score(none, model).count() == 0
     kept = q.keep_good(odd, labels.limit(0))
     assert kept.columns == odd.columns and kept.count() == 0
-    bad = spark.createDataFrame([(None, 1), (5, None), (5, 1), (5, 1), (7, 1)], "doc_id long, quality int")
+    seen, other = [i for i in (3, 5, 7, 9, 11, 12, 13) if zlib.crc32(str(i).encode()) % 4 != 2][:2]
+    bad = spark.createDataFrame([(None, 1), (seen, None), (seen, 1), (seen, 1), (other, 1)], "doc_id long, quality int")
     assert q.train(odd, bad)["prior"] == pytest.approx([3 / 4])
