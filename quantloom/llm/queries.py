@@ -1,6 +1,6 @@
 """Queries of the llm operators and, where SQL can express them, their SQL."""
 
-from . import exact_dedup, mixing, ngram_join, quality, rans, separators, telephony
+from . import exact_dedup, mixing, ngram_join, quality, rans, sentence_pieces, separators, telephony
 
 QUERIES = {
     "op1_separator_token_counts": separators.op1_separator_token_counts,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_water_filling_mix": mixing.op4_water_filling_mix,
     "op5_lsm_exact_dedup": exact_dedup.op5_lsm_exact_dedup,
     "op7_bayesian_jaccard_join": ngram_join.op7_bayesian_jaccard_join,
+    "op8_viterbi_sentence_pieces": sentence_pieces.op8_viterbi_sentence_pieces,
     "op9_telephony_audio": telephony.op9_telephony_audio,
 }
 
