@@ -26,8 +26,8 @@ from . import common
 from .tokens import encoder, slices, vocabulary_path
 
 SCALE_BITS = 20
-LANES = 2048
-BLOCK_IDS = 1 << 20
+LANES = 4096
+BLOCK_IDS = 1 << 21
 CHECKPOINT_STEPS = 256
 _LOW = np.uint64(1 << 31)
 _32 = np.uint64(32)
@@ -134,42 +134,46 @@ def decode_block(block: dict, table: Table) -> np.ndarray:
 
 
 def tokenize(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """doc_id, n (ids with the end id), ids (zstd-compressed uint16). Null text: only the end id."""
+    """doc_id, n (ids with the end id), ids (zstd-compressed uint16), counts. Null text: only the end id.
+
+    One row of each batch carries the batch's counts of every id (compressed), the others null."""
 
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
         import zstandard
 
-        enc, press, end = encoder(vocabulary), zstandard.ZstdCompressor(3), np.uint16(end_id).astype("<u2").tobytes()
+        enc, press, end = encoder(vocabulary), zstandard.ZstdCompressor(1), np.uint16(end_id).astype("<u2").tobytes()
         for whole in batches:
             for b in slices(whole):
                 raw = [r + end for r in enc.encode(b.column("text").to_pylist())]
+                counts = np.bincount(np.frombuffer(b"".join(raw), dtype="<u2"), minlength=1 << 16).astype("<i8").tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array([len(r) // 2 for r in raw], pa.int64()), pa.array([press.compress(r) for r in raw], pa.binary())],
-                    ["doc_id", "n", "ids"],
-                )
+                    [
+                        b.column("doc_id"), pa.array([len(r) // 2 for r in raw], pa.int64()), pa.array([press.compress(r) for r in raw], pa.binary()),
+                        pa.array([press.compress(counts)] + [None] * (len(raw) - 1), pa.binary()),
+                    ],
+                    ["doc_id", "n", "ids", "counts"],
+                )
 
-    return docs.select(F.col("doc_id").cast("long"), common.text_or_empty().alias("text")).mapInArrow(run, "doc_id long, n long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), common.text_or_empty().alias("text")).mapInArrow(run, "doc_id long, n long, ids binary, counts binary")
 
 
-def frequencies(tokens: DataFrame, size: int) -> np.ndarray:
-    """Counts of every id over all documents; ``size`` rows at most reach the driver."""
+def frequencies(tokens: DataFrame) -> np.ndarray:
+    """Counts of every id over all documents; a row an id at most reaches the driver."""
 
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
         import zstandard
 
-        total, press = np.zeros(size, dtype=np.int64), zstandard.ZstdDecompressor()
+        total, press = np.zeros(1 << 16, dtype=np.int64), zstandard.ZstdDecompressor()
         for b in batches:
-            for raw in b.column("ids").to_pylist():
-                total += np.bincount(np.frombuffer(press.decompress(raw), dtype="<u2"), minlength=size) if len(raw) > 4096 else 0
-                if len(raw) <= 4096:
-                    np.add.at(total, np.frombuffer(press.decompress(raw), dtype="<u2"), 1)
+            for raw in b.column("counts").to_pylist():
+                total += np.frombuffer(press.decompress(raw), dtype="<i8")
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
 
-    counts = np.zeros(size, dtype=np.int64)
-    for r in tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    counts = np.zeros(1 << 16, dtype=np.int64)
+    for r in tokens.select("counts").where("counts IS NOT NULL").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r.id] = r.n
     return counts
 
@@ -213,9 +217,9 @@ def write_blocks(tokens: DataFrame, freq: np.ndarray, path: str, block_ids: int
         if ids:
             yield close(ids, held)
 
-    order = [F.asc_nulls_first("doc_id"), F.asc("n"), F.asc("ids")]
+    order = [F.asc_nulls_first("doc_id"), F.asc("n")]
     parts = max(tokens.rdd.getNumPartitions(), 1)
-    dealt = tokens.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "ids")
+    dealt = tokens.select("doc_id", "n", "ids").repartitionByRange(parts, *order).sortWithinPartitions(*order, "ids").select("doc_id", "ids")
     dealt.mapInArrow(run, _BLOCK).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
@@ -265,7 +269,7 @@ def write_token_file(docs: DataFrame, path: str, vocabulary: str | None = None,
     are written as often as they occur; an empty table gives a file without blocks."""
     spark = docs.sparkSession
     tokens = common.materialize(tokenize(docs, vocabulary or vocabulary_path(), end_id), "token-ids", codec="uncompressed")
-    freq = quantize(frequencies(tokens, 1 << 16))
+    freq = quantize(frequencies(tokens))
     used = np.flatnonzero(freq)
     table = spark.createDataFrame([(int(i), int(freq[i])) for i in used], "id long, freq long")
     table.coalesce(1).write.parquet(f"{path}/table")

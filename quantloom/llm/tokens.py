@@ -10,6 +10,7 @@ next to others of their kind are cut at single spaces only or encoded whole.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -105,7 +106,7 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """uint16 ids of each text."""
         known = self._cache
-        split: list[list[str] | None] = []
+        split: list[tuple[list[str], list[bytes | None]] | None] = []
         new: set[str] = set()
         for t in texts:
             if not t or t[0] in " ,.\n" or t[-1] in " \n" or any(c in t for c in _ODD_SPACES):
@@ -120,22 +121,25 @@ class ChunkEncoder:
                 continue
             parts = t.replace("\n", " \n").split(" ")
             parts[0] = "\n" + parts[0]  # its line feed goes again below
-            split.append(parts)
-            new |= set(parts).difference(known)
+            have = list(map(known.get, parts))
+            if None in have:
+                new.update([p for p, ids in zip(parts, have) if ids is None])
+            split.append((parts, have))
         fresh: dict[str, bytes] = {}
         todo = list(new)
         for at in range(0, len(todo), 32_768):
             fresh |= self._encode_new(todo[at : at + 32_768])
-        before = len(known)
-        known.update(fresh)
-        get = known.__getitem__
-        out = [self._encode([t])[0] if parts is None and t else b"".join(map(get, parts or []))[2:] for t, parts in zip(texts, split)]
-        room = self._most - before
-        for c in fresh:
-            if room > 0 and len(c) <= _MAX_KEPT_CHARS:
-                room -= 1
+        out = []
+        for t, both in zip(texts, split):
+            if both is None:
+                out.append(self._encode([t])[0] if t else b"")
+            elif None in both[1]:
+                out.append(b"".join([fresh[p] if ids is None else ids for p, ids in zip(*both)])[2:])
             else:
-                del known[c]
+                out.append(b"".join(both[1])[2:])
+        room = self._most - len(known)
+        if room > 0:
+            known.update(itertools.islice(((c, ids) for c, ids in fresh.items() if len(c) <= _MAX_KEPT_CHARS), room))
         return out
 
 
