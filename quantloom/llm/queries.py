@@ -1,6 +1,6 @@
 """Queries of the llm operators and, where SQL can express them, their SQL."""
 
-from . import exact_dedup, mixing, ngram_join, quality, rans, sentence_pieces, separators, telephony
+from . import exact_dedup, licenses, mixing, ngram_join, quality, rans, secrets, sentence_pieces, separators, telephony
 
 QUERIES = {
     "op1_separator_token_counts": separators.op1_separator_token_counts,
@@ -8,12 +8,15 @@ QUERIES = {
     "op3_attention_mil_quality": quality.op3_attention_mil_quality,
     "op4_water_filling_mix": mixing.op4_water_filling_mix,
     "op5_lsm_exact_dedup": exact_dedup.op5_lsm_exact_dedup,
+    "op6_forest_secret_scan": secrets.op6_forest_secret_scan,
     "op7_bayesian_jaccard_join": ngram_join.op7_bayesian_jaccard_join,
     "op8_viterbi_sentence_pieces": sentence_pieces.op8_viterbi_sentence_pieces,
     "op9_telephony_audio": telephony.op9_telephony_audio,
+    "op10_rare_token_licenses": licenses.op10_rare_token_licenses,
 }
 
 ORACLE_SQL = {
     "op4_water_filling_mix": mixing.OP4_SQL,
     "op5_lsm_exact_dedup": exact_dedup.OP5_SQL,
+    "op10_rare_token_licenses": licenses.OP10_SQL,
 }

@@ -1,0 +1,62 @@
+import hashlib
+import re
+
+from pyspark.sql import functions as F
+
+from quantloom.llm import common
+from quantloom.llm import secrets as s
+
+
+def brute(text):
+    out = []
+    words = re.split(r"[\x20\x09-\x0D]+", text or "")
+    for i, w in enumerate(words):
+        parts = re.split(s.SHAPE, w)
+        at = lambda k: words[k] if 0 <= k < len(words) else ""
+        for k, m in enumerate(re.finditer(s.SHAPE, w)):
+            before = f"{at(i - 2)} {at(i - 1)} {parts[k]}"[-s.NEAR :]
+            after = f"{parts[k + 1]} {at(i + 1)} {at(i + 2)}"[: s.NEAR]
+            out.append((i, k, m.group(), before, after))
+    return out
+
+
+def rows_of(df):
+    return sorted((repr(r.doc_id), r.word_index, r.place, r.word, r.before, r.after) for r in s.candidates(df).collect())
+
+
+def test_candidates_against_brute_force(spark, sf, odd, none):
+    more = spark.createDataFrame([(1, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" x'), (2, "a=bbbbbbbbbbbbbbbbbbbbb,ccccccccccccccccccc;"), (3, "z" * 5000)], "doc_id long, text string")
+    for df in (common.table(spark, sf, "documents"), odd, none, more):
+        want = sorted((repr(r.doc_id), *c) for r in df.select("doc_id", "text").collect() for c in brute(r.text))
+        assert rows_of(df) == want
+
+
+def test_held_out_findings(spark):
+    found = s.synthetic_findings(spark, 4000).withColumn("held", F.pmod(F.xxhash64("word"), F.lit(4)) == 0)
+    scanner = s.Scanner(found.where("NOT held"))
+    rows = scanner.score(found.where("held")).select("label", "probability").collect()
+    assert len(rows) > 800
+    assert sum((r.probability >= 0.5) == (r.label == 1) for r in rows) / len(rows) > 0.95
+
+
+def test_findings_are_the_same_on_every_run(spark):
+    a, b = (s.synthetic_findings(spark, 200).orderBy("word", "before").collect() for _ in range(2))
+    assert a == b and {r.label for r in a} == {0, 1}
+
+
+def test_op6_finds_assigned_keys_and_leaves_prose(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in common.table(spark, sf, "documents").collect()}
+    keys = {(d, hashlib.sha256(m.group(1).encode()).hexdigest()) for d, t in texts.items() for m in re.finditer(r'token = "([0-9a-f]{40})"', t)}
+    rows = s.op6_forest_secret_scan(spark, sf).collect()
+    got = {(r.doc_id, r.word_sha256) for r in rows if r.is_secret}
+    assert len(keys) > 5 and keys <= got
+    assert len(got - keys) <= 0.05 * (len(rows) - len(keys)) + 1
+    assert len(rows) == sum(len(brute(t)) for t in texts.values())
+
+
+def test_one_kind_of_findings_and_nulls(spark, odd):
+    kinds = spark.createDataFrame([("abcdefabcdefabcdef", None, None, 1), (None, "", "", 0), ("x", "", "", None)], "word string, before string, after string, label int")
+    out = s.Scanner(kinds).score(s.candidates(odd)).select("probability").distinct().collect()
+    assert [r.probability for r in out] in ([], [1.0])
+    assert s.Scanner(kinds.limit(0)).only == 0.0
