@@ -92,10 +92,12 @@ def grouped(docs: DataFrame, digest: Callable[[Column], Column] = sha256_digest)
     index.compact()
     shared = index.read().where("n > 1")
 
-    hits = base.select("doc_id", "norm", "digest").join(shared, "digest")
-    stays = hits.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("norm").alias("stays"))
-    stays = common.materialize(stays, "dedup-stays")
-    mixed = common.materialize(hits.join(stays, "digest").where("norm != stays").select("digest").distinct(), "dedup-mixed")
+    # Joined by digest and id, so that a large group's rows go to many tasks; then one join that Spark can split.
+    first = shared.select(F.col("digest").alias("of"), F.col("keep_id"))
+    hits = base.select("doc_id", "norm", "digest").join(first, (F.col("digest") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    stays = common.materialize(hits.groupBy("digest").agg(F.min("norm").alias("stays")), "dedup-stays")
+    differ = common.materialize(base.select("norm", "digest").join(stays, "digest").where("norm != stays").select("digest"), "dedup-differ")
+    mixed = common.materialize(differ.distinct(), "dedup-mixed")
 
     exact = base.join(mixed, "digest", "left_semi").withColumn("digest", F.concat("digest", F.encode("norm", "UTF-8"))).drop("norm")
     again = exact.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
@@ -109,7 +111,8 @@ def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256_digest) -
     rows = entries.join(groups.where("n > 1"), "digest", "left")
     rows = rows.select("doc_id", "row", "sha", "digest", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).alias("group_size"))
     first = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    ties = rows.where(first & (F.col("group_size") > 1)).groupBy("digest").count().where("count > 1").select("digest")
+    lead = groups.where("n > 1").select(F.col("digest").alias("of"), F.col("keep_id").alias("lead"))
+    ties = entries.join(lead, (F.col("digest") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("lead"))).groupBy("digest").count().where("count > 1").select("digest")
     ties = common.materialize(ties, "dedup-ties").withColumn("tied", F.lit(True))
     flagged = rows.join(ties, "digest", "left").withColumn("tied", F.coalesce("tied", F.lit(False)) & first)
     plain = flagged.where("NOT tied").withColumn("kept", first)
