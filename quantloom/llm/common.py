@@ -48,6 +48,15 @@ def materialize(df: DataFrame, name: str, options: dict[str, str] | None = None,
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As materialize(), in buckets by ``key``: later joins on it don't move these rows."""
+    spark = df.sparkSession
+    path, table_name = scratch_path(spark, name), f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(table_name)
+    return spark.table(table_name)
+
+
 def path_of(df: DataFrame) -> str:
     return df.inputFiles()[0].rsplit("/", 1)[0]
 

@@ -8,10 +8,11 @@ time; with m of n equal, the pair is dropped once the posterior probability (uni
 prior) that its similarity reaches the threshold is below the tolerance. What survives
 is verified exactly on the words. Verified links join classes.
 
-A bucket of copies isn't expanded into all its pairs: two rounds compare a bucket's
-members with one centre (then with the member that has most links), and members that
-are still in different classes after that are compared in blocks of signatures, of
-which only surviving pairs leave a task.
+A small bucket gives its few pairs. Large buckets aren't expanded: texts that they
+connect form a region, dealt into blocks of bounded rows and bytes; each pair of blocks
+is compared in one task, which hands on how many links each text has and only those
+links that join what isn't joined yet. A pair within a region is the blocks' alone, so
+every link counts once.
 
 Nulls: a null text counts as empty; texts without words form one class. Null doc_ids
 come last in the choice of a class's id; a class of null ids alone has a null id.
@@ -36,8 +37,11 @@ BANDS = 24
 BAND_ROWS = 5
 STEP = 16
 TOLERANCE = 1e-4
-STAR_ROUNDS = 2
-BLOCK = 64
+#: Texts of a bucket up to which its pairs are written out.
+SMALL = 8
+#: Texts and characters of a block of a region.
+BLOCK = 256
+BLOCK_CHARS = 4_000_000
 
 _U = np.uint64
 _rng = np.random.default_rng(20240229)
@@ -145,7 +149,7 @@ def _signatures(col) -> np.ndarray:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """key, sig: one row for each set of texts with the same words (none for texts without words)."""
+    """key, words, sig: one row for each set of texts with the same words (none for texts without words)."""
 
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
@@ -157,24 +161,24 @@ def sign(docs: DataFrame) -> DataFrame:
                 to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + 2_000_000, side="right")))
                 raws = [x.encode("utf-8", "surrogatepass") for x in b.column("words").slice(at, to - at).to_pylist()]
                 hashes, count = shingle_hashes(np.frombuffer(b"".join(raws), np.uint8), np.cumsum([len(r) for r in raws]))
-                sigs = minhashes(hashes, count)
-                yield pa.RecordBatch.from_arrays([b.column("key").slice(at, to - at), pa.array([s.astype("<u4").tobytes() for s in sigs], pa.binary())], ["key", "sig"])
+                sigs = pa.array([s.astype("<u4").tobytes() for s in minhashes(hashes, count)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("key").slice(at, to - at), b.column("words").slice(at, to - at), sigs], ["key", "words", "sig"])
                 at = to
 
     rows = docs.select(words_of(F.col("text")).alias("words")).where("words != ''").select(key_of(F.col("words")).alias("key"), "words")
-    return rows.mapInArrow(run, "key binary, sig binary").dropDuplicates(["key"])
+    return rows.dropDuplicates(["key"]).mapInArrow(run, "key binary, words string, sig binary")
 
 
 def buckets(signed: DataFrame) -> DataFrame:
-    """bucket, key for every bucket that holds two keys or more."""
+    """bucket, key, n for every bucket that holds n = two keys or more."""
     width = 4 * BAND_ROWS
     each = F.array(*[F.xxhash64(F.lit(k), F.substring("sig", 1 + k * width, width)) for k in range(BANDS)])
     rows = signed.select(F.explode(each).alias("bucket"), "key")
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    return rows.join(common.materialize(shared, "ngram-shared"), "bucket", "left_semi")
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return rows.join(common.materialize(shared, "ngram-shared"), "bucket")
 
 
-def prune(pairs: DataFrame, signed: DataFrame, least: np.ndarray) -> DataFrame:
+def prune(pairs: DataFrame, own: DataFrame, least: np.ndarray) -> DataFrame:
     """The pairs (a, b) whose signatures pass the incremental comparison."""
 
     def run(batches: Iterable) -> Iterator:
@@ -185,7 +189,7 @@ def prune(pairs: DataFrame, signed: DataFrame, least: np.ndarray) -> DataFrame:
                 stay = pa.array(survivors(_signatures(b.column("sa")), _signatures(b.column("sb")), least))
                 yield pa.RecordBatch.from_arrays([b.column("a").take(stay), b.column("b").take(stay)], ["a", "b"])
 
-    both = pairs.join(signed.select(F.col("key").alias("a"), F.col("sig").alias("sa")), "a").join(signed.select(F.col("key").alias("b"), F.col("sig").alias("sb")), "b")
+    both = pairs.join(own.select(F.col("key").alias("a"), F.col("sig").alias("sa")), "a").join(own.select(F.col("key").alias("b"), F.col("sig").alias("sb")), "b")
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
@@ -194,8 +198,13 @@ def shingles(words: str) -> set:
     return {tuple(w[i : i + WORDS]) for i in range(max(1, len(w) - WORDS + 1))} if w else set()
 
 
-def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) with an exact similarity of ``threshold`` or more, and that similarity."""
+def is_link(x: set, y: set, threshold: float) -> bool:
+    both = len(x & y)
+    return bool(both) and both >= threshold * (len(x) + len(y) - both) - 1e-9
+
+
+def verify(pairs: DataFrame, own: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) with an exact similarity of ``threshold`` or more."""
 
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
@@ -214,14 +223,13 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
             for i, (ka, kb) in enumerate(zip(b.column("a").to_pylist(), b.column("b").to_pylist())):
                 x = of(ka, b.column("wa")[i].as_py())
                 y = of(kb, b.column("wb")[i].as_py())
-                common_ = len(x & y)
-                if common_ and common_ >= threshold * (len(x) + len(y) - common_) - 1e-9:
-                    found.append((ka, kb, common_ / (len(x) + len(y) - common_)))
+                if is_link(x, y, threshold):
+                    found.append((ka, kb))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.binary(), pa.binary(), pa.float64()))], ["a", "b", "similarity"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found)], ["a", "b"])
 
-    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("words").alias("wa")), "a").join(texts.select(F.col("key").alias("b"), F.col("words").alias("wb")), "b")
-    return both.select("a", "b", "wa", "wb").mapInArrow(run, "a binary, b binary, similarity double")
+    both = pairs.join(own.select(F.col("key").alias("a"), F.col("words").alias("wa")), "a").join(own.select(F.col("key").alias("b"), F.col("words").alias("wb")), "b")
+    return both.select("a", "b", "wa", "wb").mapInArrow(run, "a binary, b binary")
 
 
 def components(links: DataFrame, name: str) -> DataFrame:
@@ -239,86 +247,96 @@ def components(links: DataFrame, name: str) -> DataFrame:
         labels = new.select("key", "label")
 
 
-def _ordered(a: str, b: str) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-
-def blocks_apart(members: DataFrame, signed: DataFrame, least: np.ndarray) -> DataFrame:
-    """Pairs of members (bucket, key, label) of one bucket with different labels that pass the comparison.
-
-    A bucket's members are dealt into blocks of about BLOCK signatures; blocks meet in pairs."""
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    dealt = members.join(sizes, "bucket").join(signed, "key")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("key", "bucket"), F.ceil(F.col("n") / BLOCK)))
-    packed = dealt.groupBy("bucket", "block").agg(F.collect_list(F.struct("key", "label", "sig")).alias("rows"))
+def linked(left: list[dict], right: list[dict], same: bool, least: np.ndarray, threshold: float) -> tuple[dict[bytes, int], list[tuple[bytes, bytes]]]:
+    """Of all pairs of a left and a right row (key, words, sig): links by key, and links that join all that is linked."""
+    rows = left if same else left + right
+    sig = np.frombuffer(b"".join(r["sig"] for r in rows), "<u4").reshape(-1, HASHES)
+    sets = [shingles(r["words"]) for r in rows]
+    parent, count, joins = list(range(len(rows))), [0] * len(rows), []
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    for i in range(len(left)):
+        others = np.arange(i + 1, len(rows)) if same else np.arange(len(left), len(rows))
+        for j in others[survivors(sig[np.full(len(others), i)], sig[others], least)].tolist():
+            if is_link(sets[i], sets[j], threshold):
+                count[i] += 1
+                count[j] += 1
+                if root(i) != root(j):
+                    parent[root(i)] = root(j)
+                    joins.append((rows[i]["key"], rows[j]["key"]))
+    return {r["key"]: n for r, n in zip(rows, count) if n}, joins
+
+
+def regions(members: DataFrame) -> DataFrame:
+    """key, region of the texts that large buckets connect."""
+    large = members.where(F.col("n") > SMALL)
+    centre = large.groupBy("bucket").agg(F.min("key").alias("centre"))
+    edges = large.join(centre, "bucket").where("key != centre").select(F.col("key").alias("a"), F.col("centre").alias("b")).distinct()
+    return components(edges, "ngram-regions").withColumnRenamed("label", "region")
+
+
+def compare_blocks(placed: DataFrame, own: DataFrame, least: np.ndarray, threshold: float) -> DataFrame:
+    """a, b of joining links, and a, n (b null) of link counts, over all pairs within each region (key, region)."""
+    rows = placed.join(own, "key")
+    sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("words")).alias("chars"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("chars") / BLOCK_CHARS))
+    sizes = common.materialize(sizes.select("region", blocks.alias("blocks")), "ngram-region-sizes")
+    dealt = rows.join(sizes, "region").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    packed = dealt.groupBy("region", "blocks", "block").agg(F.collect_list(F.struct("key", "words", "sig")).alias("rows"))
     packed = common.materialize(packed, "ngram-blocks")
 
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            found: list[tuple[bytes, bytes]] = []
-            for left, right, same in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), b.column("same").to_pylist()):
-                i, j = np.divmod(np.arange(len(left) * len(right)), len(right))
-                if same:
-                    i, j = i[i < j], j[i < j]
-                la, lb = np.array([r["label"] for r in left], object), np.array([r["label"] for r in right], object)
-                apart = la[i] != lb[j]
-                i, j = i[apart], j[apart]
-                sa, sb = (np.frombuffer(b"".join(r["sig"] for r in rows), "<u4").reshape(-1, HASHES) for rows in (left, right))
-                for at in range(0, len(i), 8192):
-                    own = survivors(sa[i[at : at + 8192]], sb[j[at : at + 8192]], least)
-                    found += [tuple(sorted((left[p]["key"], right[q]["key"]))) for p, q in zip(i[at + own], j[at + own])]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found)], ["a", "b"])
+            for k in range(b.num_rows):
+                x, y, same = (b.column(c)[k].as_py() for c in ("x", "y", "same"))
+                count, joins = linked(x, y, same, least, threshold)
+                a = [*count, *(p for p, _ in joins)]
+                if a:
+                    other, n = [None] * len(count) + [q for _, q in joins], [*count.values()] + [None] * len(joins)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(other, pa.binary()), pa.array(n, pa.int64())], ["a", "b", "n"])
 
-    x = packed.select("bucket", F.col("block").alias("bx"), F.col("rows").alias("x"))
-    y = packed.select("bucket", F.col("block").alias("by"), F.col("rows").alias("y"))
-    both = x.join(y, "bucket").where("bx <= by").select("x", "y", (F.col("bx") == F.col("by")).alias("same"))
-    return both.mapInArrow(run, "a binary, b binary").distinct()
+    x = packed.select("region", F.col("block").alias("bx"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("by"), F.col("rows").alias("x"))
+    y = packed.select("region", F.col("block").alias("by"), F.col("rows").alias("y"))
+    both = x.join(y, ["region", "by"]).select("x", "y", (F.col("bx") == F.col("by")).alias("same"))
+    return both.mapInArrow(run, "a binary, b binary, n long")
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """rows (doc_id, row, key, group), links (a, b, similarity) between keys, and whole classes (group, copies, class_id).
+    """rows (doc_id, row, key, group), degrees (key, links) of linked texts, and whole classes (group, class_id, members).
 
     ``group`` tells the classes apart; classes has those of two rows or more."""
     least = fewest_equal(threshold, tolerance)
-    signed = common.materialize(sign(docs), "ngram-signed", codec="uncompressed")
+    signed = common.materialize_bucketed(sign(docs), "ngram-signed", "key")
     members = common.materialize(buckets(signed), "ngram-members")
     keys = common.materialize(members.select("key").distinct(), "ngram-keys")
-    own = common.materialize(signed.join(keys, "key", "left_semi"), "ngram-own", codec="uncompressed")
-    rows = docs.select("doc_id", common.row_hash(docs).alias("row"), words_of(F.col("text")).alias("words")).withColumn("key", key_of(F.col("words")))
-    texts = common.materialize(rows.select("key", "words").join(keys, "key", "left_semi").dropDuplicates(["key"]), "ngram-texts")
-
-    labelled = members.withColumn("label", F.col("key"))
-    compared = links = None
-    for k in range(STAR_ROUNDS):
-        degree = F.lit(0)
-        at = labelled
-        if links is not None:
-            ends = links.select(F.col("a").alias("key")).unionByName(links.select(F.col("b").alias("key")))
-            at = labelled.join(ends.groupBy("key").agg(F.count(F.lit(1)).alias("degree")), "key", "left")
-            degree = F.coalesce("degree", F.lit(0))
-        centre = at.groupBy("bucket").agg(F.max(F.struct(degree.alias("degree"), F.col("key"), F.col("label"))).alias("c"))
-        centre = common.materialize(centre.select("bucket", F.col("c.key").alias("centre"), F.col("c.label").alias("at")), f"ngram-centres{k}")
-        pairs = labelled.join(centre, "bucket").where("label != at").select(*_ordered("key", "centre")).distinct()
-        pairs = pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = common.materialize(pairs, f"ngram-pairs{k}")
-        compared = pairs if compared is None else compared.unionByName(pairs)
-        new = common.materialize(verify(prune(pairs, own, least), texts, threshold), f"ngram-links{k}")
-        links = new if links is None else links.unionByName(new)
-        labels = components(links, f"ngram-c{k}")
-        labelled = members.join(labels, "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label"))
-        open_ = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
-        labelled = common.materialize(labelled.join(open_, "bucket", "left_semi"), f"ngram-open{k}")
-    rest = blocks_apart(labelled, own, least).join(compared, ["a", "b"], "left_anti")
-    links = common.materialize(links.unionByName(verify(common.materialize(rest, "ngram-rest"), texts, threshold)), "ngram-links")
-    labels = components(links, "ngram-final")
-
-    rows = rows.drop("words").join(labels, "key", "left").select("doc_id", "row", "key", F.coalesce("label", "key").alias("group"))
+    own = common.materialize_bucketed(signed.join(keys, "key", "left_semi"), "ngram-own", "key")
+
+    placed = regions(members)
+    small = members.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # SMALL keys at most
+    small = small.select(F.explode(F.sequence(F.lit(0), F.size("keys") - 2)).alias("i"), "keys")
+    small = small.select(F.get("keys", F.col("i")).alias("a"), F.explode(F.slice("keys", F.col("i") + 2, F.size("keys"))).alias("b")).distinct()
+    ends = [placed.select(F.col("key").alias(c), F.col("region").alias(f"r{c}")) for c in "ab"]
+    pairs = small.join(ends[0], "a", "left").join(ends[1], "b", "left").where("NOT (ra <=> rb) OR ra IS NULL").select("a", "b")
+    pruned = common.materialize(prune(pairs, own, least), "ngram-pruned")
+    links = common.materialize(verify(pruned, own, threshold), "ngram-links")
+    within = common.materialize(compare_blocks(placed, own, least, threshold), "ngram-within")
+    labels = components(links.unionByName(within.where("b IS NOT NULL").select("a", "b")), "ngram-final")
+
+    one = F.lit(1).cast("long")
+    ends = links.select(F.col("a").alias("key"), one.alias("n")).unionByName(links.select(F.col("b").alias("key"), one.alias("n")))
+    ends = ends.unionByName(within.where("b IS NULL").select(F.col("a").alias("key"), "n"))
+    degrees = common.materialize(ends.groupBy("key").agg(F.sum("n").alias("links")), "ngram-degrees")
+    rows = docs.select("doc_id", common.row_hash(docs).alias("row"), key_of(words_of(F.col("text"))).alias("key"))
+    rows = rows.join(labels, "key", "left").select("doc_id", "row", "key", F.coalesce("label", "key").alias("group"))
     rows = common.materialize(rows, "ngram-rows")
     classes = rows.groupBy("group").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    return rows, links, common.materialize(classes, "ngram-classes")
+    return rows, degrees, common.materialize(classes, "ngram-classes")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -337,12 +355,10 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def op7_bayesian_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every document its class_id (smallest doc_id), members of the class, texts with its words (copies) and links of its text.
 
-    A link is a verified pair of different texts; texts that one class joins aren't all linked pair by pair."""
-    rows, links, classes = join(common.table(spark, sf_dir, "documents"))
-    ends = links.select(F.col("a").alias("key")).unionByName(links.select(F.col("b").alias("key")))
-    degree = common.materialize(ends.groupBy("key").agg(F.count(F.lit(1)).alias("links")), "ngram-degree")
+    A link is a verified pair of different texts."""
+    rows, degrees, classes = join(common.table(spark, sf_dir, "documents"))
     copies = common.materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "ngram-copies")
-    out = rows.join(classes, "group", "left").join(copies, "key", "left").join(degree, "key", "left")
+    out = rows.join(classes, "group", "left").join(copies, "key", "left").join(degrees, "key", "left")
     one = F.lit(1).cast("long")
     class_id = F.when(F.col("members").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
     return out.select("doc_id", class_id.alias("class_id"), F.coalesce("members", one).alias("members"), F.coalesce("copies", one).alias("copies"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))

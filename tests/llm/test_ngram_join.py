@@ -14,7 +14,7 @@ def norm(t):
     return re.sub(r"[\x20\x09-\x0D]+", " ", (t or "").lower()).strip(" ")
 
 
-def brute_classes(rows, threshold=0.8):
+def brute_classes(rows, threshold=0.8, degrees=False):
     """Class ids by comparing all pairs of texts that share a shingle."""
     texts = [norm(t) for _, t in rows]
     sets = [g.shingles(t) for t in texts]
@@ -26,7 +26,7 @@ def brute_classes(rows, threshold=0.8):
             i = parent[i]
         return i
 
-    at = {}
+    at, near = {}, [set() for _ in rows]
     for i, s in enumerate(sets):
         seen = set()
         for x in s:
@@ -36,12 +36,17 @@ def brute_classes(rows, threshold=0.8):
             common_ = len(s & sets[j])
             if common_ >= threshold * (len(s) + len(sets[j]) - common_) - 1e-9:
                 parent[find(i)] = find(j)
+                if texts[i] != texts[j]:
+                    near[i].add(j)
+                    near[j].add(i)
     empty = [i for i, t in enumerate(texts) if not t]
     for i in empty[1:]:
         parent[find(i)] = find(empty[0])
     ids = {}
     for i, (d, _) in enumerate(rows):
         ids.setdefault(find(i), []).append(d)
+    if degrees:
+        return {texts[i]: len({texts[j] for j in near[i]}) for i in range(len(rows)) if near[i]}
     return sorted((repr(d), repr(min((x for x in ids[find(i)] if x is not None), default=None)), len(ids[find(i)])) for i, (d, _) in enumerate(rows))
 
 
@@ -97,6 +102,8 @@ def test_op7_against_all_pairs(spark):
     rows = [(r.doc_id, r.text) for r in common.table(spark, sf, "documents").collect()]
     got = g.op7_bayesian_jaccard_join(spark, sf).collect()
     assert sorted((repr(r.doc_id), repr(r.class_id), r.members) for r in got) == brute_classes(rows)
+    texts = {d: norm(t) for d, t in rows}
+    assert {texts[r.doc_id]: r.links for r in got if r.links} == brute_classes(rows, degrees=True)
 
 
 def variants(seed, n, swaps):
@@ -115,23 +122,25 @@ def variants(seed, n, swaps):
 def test_groups_around_an_original_stay_whole(spark):
     texts = variants(1, 60, 4) + variants(2, 40, 4) + variants(3, 30, 14)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rows, links, _ = g.join(df)
+    rows, degrees, _ = g.join(df)
     classes = rows.join(df.select("doc_id", "text"), "doc_id").groupBy("group").agg(F.count(F.lit(1)).alias("n")).collect()
     sizes = sorted((r.n for r in classes), reverse=True)
     want = {}
     for d, c, _ in brute_classes(list(enumerate(texts))):
         want[c] = want.get(c, 0) + 1
     assert sizes == sorted(want.values(), reverse=True)
-    assert links.count() < 61 * 60 / 4
+    got = {texts[r.doc_id]: r.links for r in rows.join(degrees, "key").collect()}
+    assert got == brute_classes(list(enumerate(texts)), degrees=True)
 
 
-def test_blocks_compare_what_stars_leave(spark, monkeypatch):
-    monkeypatch.setattr(g, "STAR_ROUNDS", 1)
+def test_regions_of_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(g, "BLOCK", 4)
     texts = variants(4, 25, 4)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rows, _, classes = g.join(df)
+    rows, degrees, classes = g.join(df)
     assert [r.members for r in classes.collect()] == [26]
+    got = {texts[r.doc_id]: r.links for r in rows.join(degrees, "key").collect()}
+    assert got == brute_classes(list(enumerate(texts)), degrees=True)
 
 
 def test_odd_rows(spark, odd, none):
