@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -10,6 +10,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def cents(x: Column, digits: int) -> Column:
+    """Rounded half up in plain double arithmetic, which other engines repeat bit for bit."""
+    return F.floor(x * 10**digits + 0.5) / 10**digits
+
+
 def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One asset a brand: symbol, name, asset_type, currency, risk_level."""
     first = F.min_by(F.struct("p_name", "p_type", "p_size"), F.col("p_partkey")).alias("x")
@@ -26,10 +31,10 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order log: symbol, side, quantity, price, fees, order_date and the key seq that orders it."""
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    price = F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2)
+    price = cents(F.col("l_extendedprice") / F.col("l_quantity"), 2)
     return rows.select(
         F.col("p_brand").alias("symbol"), F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("side"), F.col("l_quantity").alias("quantity"), price.alias("price"),
-        F.round(price * F.col("l_quantity") * F.col("l_tax") / 100, 2).alias("fees"), F.to_date("l_shipdate").alias("order_date"),
+        cents(price * F.col("l_quantity") * F.col("l_tax") / 100, 2).alias("fees"), F.to_date("l_shipdate").alias("order_date"),
         F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("seq"),
     )
 
@@ -53,7 +58,7 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum(F.when(buy, F.col("quantity")).otherwise(-F.col("quantity"))).alias("quantity"),
         (F.sum(F.when(buy, F.col("price") * F.col("quantity") + F.col("fees"))) / F.sum(F.when(buy, F.col("quantity")))).alias("average_price"),
     )
-    rows = rows.where("quantity > 0").select("symbol", "quantity", F.round("average_price", 4).alias("average_price"))
+    rows = rows.where("quantity > 0").select("symbol", "quantity", cents(F.col("average_price"), 4).alias("average_price"))
     return rows.withColumn("invested_amount", F.col("quantity") * F.col("average_price"))
 
 
@@ -82,14 +87,14 @@ SQL = {
     CASE WHEN k % 3 = 0 THEN 'EUR' WHEN k % 3 = 1 THEN 'USD' ELSE 'GBP' END AS currency,
     CASE WHEN x.p_size < 13 THEN 'low' WHEN x.p_size < 26 THEN 'medium' WHEN x.p_size < 39 THEN 'high' ELSE 'very_high' END AS risk_level
     FROM (SELECT p_brand AS symbol, min(p_partkey) AS k, arg_min(part, p_partkey) AS x FROM part GROUP BY p_brand)""",
-    "trades": """SELECT p_brand AS symbol, CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS side, l_quantity AS quantity, round(l_extendedprice / l_quantity, 2) AS price,
-    round(round(l_extendedprice / l_quantity, 2) * l_quantity * l_tax / 100, 2) AS fees, CAST(l_shipdate AS DATE) AS order_date,
+    "trades": """SELECT p_brand AS symbol, CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS side, l_quantity AS quantity, floor(l_extendedprice / l_quantity * 100 + .5::DOUBLE) / 100 AS price,
+    floor(floor(l_extendedprice / l_quantity * 100 + .5::DOUBLE) / 100 * l_quantity * l_tax / 100 * 100 + .5::DOUBLE) / 100 AS fees, CAST(l_shipdate AS DATE) AS order_date,
     (l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS seq FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "prices": """SELECT symbol, CAST(date_trunc('week', order_date) AS DATE) AS date, arg_min(price, seq) AS open, max(price) AS high, min(price) AS low, arg_max(price, seq) AS close,
     sum(quantity) AS volume FROM trades GROUP BY ALL""",
     "positions": """SELECT *, quantity * average_price AS invested_amount FROM (
     SELECT symbol, sum(CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END) AS quantity,
-    round(sum(price * quantity + fees) FILTER (WHERE side = 'BUY') / sum(quantity) FILTER (WHERE side = 'BUY'), 4) AS average_price FROM trades GROUP BY symbol) WHERE quantity > 0""",
+    floor(sum(price * quantity + fees) FILTER (WHERE side = 'BUY') / sum(quantity) FILTER (WHERE side = 'BUY') * 10000 + .5::DOUBLE) / 10000 AS average_price FROM trades GROUP BY symbol) WHERE quantity > 0""",
     "news": """SELECT doc_id AS item_id, 'Brand#' || (doc_id % 25 + 1)::VARCHAR AS symbol,
     DATE '1999-01-04' + (doc_id * 7 % 700)::INT AS published_at, coalesce(text, '') AS text, (doc_id * 13 % 101)::DOUBLE AS relevance FROM documents""",
 }
@@ -105,6 +110,10 @@ def sql(body: str, *names: str) -> str:
                 order.append(m)
     views = ",\n".join(f"{n} AS (\n    {SQL[n]})" for n in order)
     body = body.strip()
+    if not order:
+        return body
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {views},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {views},\n{body[5:]}"
     return f"WITH {views}\n{body}"
