@@ -275,7 +275,11 @@ def regions(members: DataFrame) -> DataFrame:
     """key, region of the texts that large buckets connect."""
     large = members.where(F.col("n") > SMALL)
     centre = large.groupBy("bucket").agg(F.min("key").alias("centre"))
-    edges = large.join(centre, "bucket").where("key != centre").select(F.col("key").alias("a"), F.col("centre").alias("b")).distinct()
+    pairs = common.materialize(large.join(centre, "bucket").select("key", "centre").distinct(), "ngram-region-pairs")
+    # A text's edge to the least of its buckets' centres, and an edge from each of these centres to that one.
+    lead = pairs.groupBy("key").agg(F.min("centre").alias("lead"))
+    edges = pairs.join(lead, "key").select(F.col("centre").alias("a"), F.col("lead").alias("b")).unionByName(lead.select(F.col("key").alias("a"), F.col("lead").alias("b")))
+    edges = edges.where("a != b").distinct()
     return components(edges, "ngram-regions").withColumnRenamed("label", "region")
 
 
