@@ -1,4 +1,4 @@
-"""SentencePiece encoding and decoding by batched numpy Viterbi.
+"""SentencePiece encoding and decoding in numpy batches: Viterbi or merges, as the model's type asks.
 
 Pieces, scores and normalisation come from a SentencePiece model file. A normalised
 text falls apart before every run of the space mark (no piece has a mark after another
@@ -9,7 +9,8 @@ character without a piece costs the least score less 10 and becomes its UTF-8 by
 Of equally good segmentations, the one whose last piece is longest stays.
 
 ``how="merges"`` joins, also in lockstep, the neighbours whose union has the highest
-score until none is a piece: what a file of type BPE prescribes.
+score until none is a piece: what a file of type BPE prescribes, whose scores are ranks
+of merges and don't add up. Encoding takes the way of the model's type unless told.
 
 Nulls: null and empty texts have no ids and decode to the empty text. A space mark in
 a text decodes to a space, as SentencePiece has it. Repeated rows give equal rows.
@@ -18,6 +19,7 @@ a text decodes to a space, as SentencePiece has it. Repeated rows give equal row
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -34,6 +36,10 @@ PENALTY = 10.0
 #: Words that a worker keeps.
 CACHE_WORDS = 600_000
 _MAX_KEPT = 48
+#: Longer words are merged one at a time.
+LONG = 512
+#: Ways by the type in a model file.
+WAYS = {1: "viterbi", 2: "merges"}
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
 _FILTER_BITS = 20
@@ -43,12 +49,25 @@ def model_path() -> str:
     return vocabulary_path("piece_bpe_32k.model")
 
 
+def way_of(path: str) -> str:
+    """Way that a model file's type prescribes: Viterbi for unigram, merges for BPE."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as f:
+        model.ParseFromString(f.read())
+    if model.trainer_spec.model_type not in WAYS:
+        raise ValueError("neither a unigram nor a BPE model")
+    return WAYS[model.trainer_spec.model_type]
+
+
 class Pieces:
     """A model file as sorted keys, scores and bytes of its pieces."""
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         import sentencepiece
 
+        self.way = way_of(path)
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=path)
         size = sp.get_piece_size()
         self.bytes_of: list[bytes] = []
@@ -82,6 +101,7 @@ class Pieces:
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces share a key")
         self.scores = np.array([sp.get_score(int(i)) for i in self.ids], dtype=np.float64)
+        self.score_of = {t: float(sp.get_score(i)) for t, i in self.id_of.items()}
         self.unknown_score = self.scores.min() - PENALTY
         self.filter = np.zeros(1 << _FILTER_BITS, dtype=bool)
         self.filter[self.keys >> np.uint64(64 - _FILTER_BITS)] = True
@@ -141,29 +161,64 @@ class Pieces:
         return out
 
     def _merged(self, chars: np.ndarray) -> list[list[int]]:
-        """Piece lengths of each word after joining the best neighbours again and again."""
+        """Piece lengths of each word after joining the best neighbours again and again, of equals the leftmost."""
         n, length = chars.shape
+        if length > LONG:
+            return [self._merged_alone(row) for row in chars.tolist()]
         prefix = self._hash(chars)
-        ends = np.tile(np.arange(1, length + 1), (n, 1))  # end of the piece at each place, places in order
-        left = np.full(n, length)
+        out: list[list[int]] = [[]] * n
         with np.errstate(over="ignore"):
             inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(length, _PINV, np.uint64)]))
-            open_ = np.arange(n)
-            while len(open_) and ends.shape[1] > 1:
-                e = ends[open_]
-                begin = np.concatenate([np.zeros((len(e), 1), dtype=e.dtype), e[:, :-1]], axis=1)[:, :-1]
-                to = e[:, 1:]
-                valid = np.arange(1, e.shape[1]) < left[open_, None]
-                rows = open_[:, None]
+
+            def gain_of(rows, begin, to):
                 at = self.probe((prefix[rows, to] - prefix[rows, begin]) * inverse[begin])
-                gain = np.where(valid & (at >= 0) & (to - begin <= self.longest), self.scores[at], -np.inf)
-                pick = np.argmax(gain, axis=1)
-                live = np.isfinite(gain[np.arange(len(e)), pick])
-                for r, k in zip(open_[live], pick[live]):
-                    ends[r, k : left[r] - 1] = ends[r, k + 1 : left[r]]
-                    left[r] -= 1
-                open_ = open_[live]
-        return [np.diff([0, *row[:m]]).tolist() for row, m in zip(ends.tolist(), left.tolist())]
+                return np.where((at >= 0) & (to - begin <= self.longest), self.scores[at], -np.inf)
+
+            # Every open row has joined once a round, so all have as many cuts.
+            rows, cuts = np.arange(n), np.tile(np.arange(length + 1), (n, 1))
+            gain = gain_of(rows[:, None], cuts[:, :-2], cuts[:, 2:])
+            while True:
+                pick = np.argmax(gain, axis=1) if gain.shape[1] else np.zeros(len(rows), dtype=np.int64)
+                live = np.isfinite(gain[np.arange(len(rows)), pick]) if gain.shape[1] else np.zeros(len(rows), dtype=bool)
+                for r, spans in zip(rows[~live].tolist(), np.diff(cuts[~live], axis=1).tolist()):
+                    out[r] = spans
+                rows, pick = rows[live], pick[live]
+                if not len(rows):
+                    return out
+                places = np.arange(cuts.shape[1] - 1)
+                cuts = np.where(places > pick[:, None], cuts[live, 1:], cuts[live, :-1])
+                gain = np.where(places[:-2] >= pick[:, None], gain[live, 1:], gain[live, :-1])
+                for at, some in ((pick - 1, pick > 0), (pick, pick < gain.shape[1])):
+                    r, k = np.flatnonzero(some), at[some]
+                    gain[r, k] = gain_of(rows[r], cuts[r, k], cuts[r, k + 2])
+
+    def _merged_alone(self, row: list[int]) -> list[int]:
+        """The same for one long word, with a heap of neighbours."""
+        word, n = "".join(map(chr, row)), len(row)
+        end, before, heap = list(range(1, n + 1)), list(range(-1, n - 1)), []
+
+        def offer(left):
+            right = end[left]
+            if right < n and end[right] - left <= self.longest and (score := self.score_of.get(word[left : end[right]])) is not None:
+                heapq.heappush(heap, (-score, left, right, end[right]))
+
+        for i in range(n - 1):
+            offer(i)
+        while heap:
+            _, left, right, to = heapq.heappop(heap)
+            if end[left] != right or end[right] != to:
+                continue
+            end[left], end[right] = to, 0
+            if to < n:
+                before[to] = left
+            offer(left)
+            if before[left] >= 0:
+                offer(before[left])
+        out, at = [], 0
+        while at < n:
+            out.append(end[at] - at)
+            at = end[at]
+        return out
 
     def segment(self, words: list[str], how: str = "viterbi", rows: int = 4096) -> dict[str, bytes]:
         """Ids of words, each a run of space marks and what follows up to the next mark."""
@@ -191,13 +246,13 @@ class Pieces:
         fallback = self.byte_ids[list(piece.encode("utf-8", "surrogatepass"))]
         return [self.unknown] if (fallback < 0).any() else fallback.tolist()
 
-    def encode(self, texts: list[str], how: str = "viterbi") -> list[bytes]:
+    def encode(self, texts: list[str], how: str | None = None) -> list[bytes]:
         split, new, known = [], set(), self._cache
         for t in texts:
             words = self.word.findall(self.sp.normalize(t)) if t else []
             split.append(words)
             new.update(set(words).difference(known))
-        fresh = self.segment(list(new), how)
+        fresh = self.segment(list(new), how or self.way)
         before = len(known)
         known.update(fresh)
         out = [b"".join(map(known.__getitem__, words)) for words in split]
@@ -215,17 +270,17 @@ class Pieces:
         return text[1:] if text.startswith(" ") else text
 
 
-_LOADED: dict[tuple[str, str], Pieces] = {}
+_LOADED: dict[tuple[str, str | None], Pieces] = {}
 
 
-def pieces(path: str, how: str = "viterbi") -> Pieces:
+def pieces(path: str, how: str | None = None) -> Pieces:
     """One table per model file, way and Python worker."""
     if (path, how) not in _LOADED:
         _LOADED[path, how] = Pieces(path)
     return _LOADED[path, how]
 
 
-def encode(docs: DataFrame, path: str | None = None, how: str = "viterbi") -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, how: str | None = None) -> DataFrame:
     """``docs`` with a column ids (little-endian, 16 bits where the model has at most 65,536 pieces)."""
     path = path or model_path()
 
@@ -248,7 +303,7 @@ def encode(docs: DataFrame, path: str | None = None, how: str = "viterbi") -> Da
     return docs.withColumn("ids", of(common.text_or_empty()))
 
 
-def check(docs: DataFrame, path: str | None = None, how: str = "viterbi") -> DataFrame:
+def check(docs: DataFrame, path: str | None = None, how: str | None = None) -> DataFrame:
     """doc_id, n_ids, ids_crc32, n_bytes_ids, decoded_chars, decoded_sha256, lossless of every text, encoded and decoded again."""
     path = path or model_path()
 

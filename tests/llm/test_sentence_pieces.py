@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import corpus_pipeline
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -90,6 +91,23 @@ def test_op8(spark, sf):
             assert (r.n_ids, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
 
 
+def test_op8_and_the_pipeline_take_the_ids_of_the_model(spark, sf):
+    docs = common.table(spark, sf, "documents")
+    want = {r.doc_id: P.sp.encode(r.text or "") for r in docs.collect()}
+    rows = s.op8_viterbi_sentence_pieces(spark, sf).collect()
+    assert {r.doc_id: (r.n_ids, r.ids_crc32) for r in rows} == {k: (len(v), zlib.crc32(np.array(v, "<u4").tobytes())) for k, v in want.items()}
+    rows = corpus_pipeline.encode_pieces(spark, docs, sf).collect()
+    assert {r.doc_id: np.frombuffer(bytes(r.ids), P.kind).tolist() for r in rows} == want
+
+
+def test_long_words_merge_as_in_the_library():
+    rng = np.random.default_rng(3)
+    for n in (s.LONG - 1, s.LONG, s.LONG + 1, 5000):
+        word = "".join(rng.choice(list("etaoinshré漢"), n))
+        for t in (word, "a" * n):
+            assert np.frombuffer(P.encode([t])[0], P.kind).tolist() == P.sp.encode(t)
+
+
 def test_odd_rows(spark, odd, none):
     rows = s.check(odd).collect()
     assert len(rows) == odd.count() and all(r.lossless for r in rows)
