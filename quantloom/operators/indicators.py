@@ -134,12 +134,12 @@ def recursive(bars: DataFrame) -> DataFrame:
 
 def rolling_score(bars: DataFrame) -> DataFrame:
     """score 0 to 100 of every bar from what is known at that bar, and its signal."""
-    out = drawdowns(bands(oscillators(trend(bars))))
+    out = drawdowns(bands(oscillators(trend(recursive(bars)))))
     c, rsi = F.col("close"), F.col("rsi_14")
     add = lambda yes, a, b: F.when(yes, a).when(~yes, b).otherwise(0)
     score = 50 + add(c > F.col("sma_50"), 10, -10) + add(c > F.col("sma_200"), 12, -12) + add(F.col("sma_50") > F.col("sma_200"), 8, -8)
-    score = score + F.when(rsi.between(40, 65), 10).when(rsi.between(30, 72), 4).when(rsi > 72, -12).when(rsi < 30, -6).otherwise(0)
-    score = score + F.when(F.col("volatility_30") < 0.35, 5).when(F.col("volatility_30") > 0.6, -10).otherwise(0) + F.when(F.col("max_drawdown") < -0.25, -8).otherwise(0)
+    score = score + F.when(rsi.between(45, 65), 10).when(rsi.between(35, 72), 4).when(rsi > 78, -12).when(rsi < 30, -6).otherwise(0) + add(F.col("macd_line") > F.col("macd_signal"), 8, -8)
+    score = score + F.when(F.col("volatility_30") < 0.18, 5).when(F.col("volatility_30") > 0.45, -10).otherwise(0) + F.when(F.col("max_drawdown") < -0.25, -8).otherwise(0)
     out = out.withColumn("score", F.round(clamp(score.cast("double")), 2))
     return out.withColumn("signal", signal_of(F.col("score")))
 
