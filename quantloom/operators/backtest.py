@@ -16,7 +16,9 @@ CASH = 100_000.0
 
 def asof_grid(bars: DataFrame, *values: str) -> DataFrame:
     """For each date and symbol the last row up to that date; symbols without one aren't there yet."""
-    grid = bars.select("date").distinct().join(F.broadcast(bars.select("symbol").distinct().limit(10_000)))  # symbols of one universe
+    days = bars.select(F.collect_set("date").alias("days")).scalar()  # one array, as long as there are dates
+    first = bars.groupBy("symbol").agg(F.min("date").alias("__first")).withColumn("__days", days)
+    grid = first.select("symbol", F.explode(F.filter("__days", lambda d: d >= F.col("__first"))).alias("date"))
     way = W.partitionBy("symbol").orderBy("date").rowsBetween(W.unboundedPreceding, 0)
     rows = grid.join(bars.select("symbol", "date", F.struct(*values).alias("__x")), ["symbol", "date"], "left")
     return rows.withColumn("__x", F.last("__x", True).over(way)).where("__x IS NOT NULL").select("symbol", "date", "__x.*")
