@@ -1,7 +1,9 @@
 """Strategy simulation: one group a run, all runs of a comparison or walk-forward in one job.
 
-Cash, holdings and stops depend on every day before, so a run's days are one Arrow group
-(symbols times days of the run, no more). Prices and scores come from Spark windows.
+Cash, holdings and stops depend on every day before, so a run's days are one Arrow group.
+Spark windows find the days of rebalancing and rank and pick each one's candidates; a group
+has only the symbols that were candidates once, and of each day the best symbol so that no
+day is missing. Holding takes every symbol of its first day, so all stay there.
 """
 
 from __future__ import annotations
@@ -31,6 +33,15 @@ def folds(dates: DataFrame, n: int) -> DataFrame:
     return dates.select("date", F.least(F.floor(rank / size), F.lit(n - 1)).cast("int").alias("fold"))
 
 
+def candidates(rows: DataFrame) -> DataFrame:
+    """Rows that a run can need, with ``pick``: what it may buy at a rebalance, its first day of each week."""
+    first = F.min("date").over(W.partitionBy("run_id", F.date_trunc("week", "date")))
+    wanted = F.when(F.col("strategy") == "TOP_N_SCORE", F.col("place") <= F.greatest("top", F.lit(1))).when(F.col("strategy") == "SCORE_THRESHOLD", F.col("score") >= F.col("buy")).otherwise(True)
+    can = F.col("close").isNotNull() & (F.col("score").isNotNull() | (F.col("strategy") == "BUY_AND_HOLD"))
+    rows = rows.withColumn("pick", F.coalesce((F.col("date") == first) & wanted & can, F.lit(False)))
+    return rows.withColumn("__ever", F.max("pick").over(W.partitionBy("run_id", "symbol"))).where("__ever OR place = 1").drop("__ever")
+
+
 def simulate(market: DataFrame, runs: DataFrame) -> DataFrame:
     """Equity of every run and day. ``market``: date, symbol, close, score; ``runs``: run_id, strategy, fold (null: all), buy, sell, top, most, fee, stop, take."""
 
@@ -61,33 +72,40 @@ def simulate(market: DataFrame, runs: DataFrame) -> DataFrame:
             cost[symbol] = (had * cost.get(symbol, 0.0) + spend) / (had + q)
             held[symbol], cash, trades = had + q, cash - spend, trades + 1
 
-        for day, rows in pdf.sort_values(["date", "symbol"]).groupby("date", sort=True):
+        for day, rows in pdf.sort_values(["date", "place"]).groupby("date", sort=True):
             price, score = dict(zip(rows["symbol"], rows["close"])), dict(zip(rows["symbol"], rows["score"]))
             for s in list(held):
                 if s in price and (price[s] <= cost[s] * (1 - p.stop / 100) or price[s] >= cost[s] * (1 + p["take"] / 100)):
                     sell(s, price[s])
+            chosen = rows["symbol"][rows["pick"]].tolist()
+            worth = lambda: cash + sum(q * price[s] for s, q in held.items())  # noqa: B023, E731
             week = day.isocalendar()[:2]
-            worth = cash + sum(q * price[s] for s, q in held.items())
             if week != key:
                 if p.strategy == "BUY_AND_HOLD":
-                    for s in price if key is None else ():
-                        buy(s, price[s], worth * min(p.most, 1 / len(price)))
+                    amount = worth() * min(p.most, 1 / int(rows["listed"].iloc[0]))
+                    for s in sorted(chosen) if key is None else ():
+                        buy(s, price[s], amount)
                 else:
-                    ranked = sorted(price, key=lambda s: -score[s])
-                    chosen = ranked[: int(p.top)] if p.strategy == "TOP_N_SCORE" else [s for s in ranked if score[s] >= p.buy]
                     for s in list(held):
                         if s not in chosen if p.strategy == "TOP_N_SCORE" else score[s] <= p.sell:
                             sell(s, price[s])
+                    weight = min(p.most, 1 / max(len(chosen), 1)) if p.strategy == "TOP_N_SCORE" else p.most
                     for s in chosen:
-                        buy(s, price[s], worth * p.most - held.get(s, 0.0) * price[s])
+                        target, own = worth() * weight, held.get(s, 0.0) * price[s]
+                        if p.strategy == "TOP_N_SCORE" and own > target * 1.05:
+                            sell(s, price[s], (own - target) / own)
+                        else:
+                            buy(s, price[s], target - own)
                 key = week
-            worth = cash + sum(q * price[s] for s, q in held.items())
-            peak = max(peak, worth)
-            out.append((p.run_id, day, worth, cash, (worth / peak - 1) * 100, trades, wins))
+            equity = worth()
+            peak = max(peak, equity)
+            out.append((p.run_id, day, equity, cash, (equity / peak - 1) * 100, trades, wins))
         return pd.DataFrame(out, columns=["run_id", "date", "equity", "cash", "drawdown", "trades", "wins"])
 
+    day = W.partitionBy("date")
+    market = market.withColumns({"place": F.row_number().over(day.orderBy(F.desc("score"), "symbol")), "listed": F.count(F.lit(1)).over(day)})
     rows = market.join(F.broadcast(runs), F.col("run_fold").isNull() | (F.col("run_fold") == F.col("fold")))  # a row a run
-    return rows.groupBy("run_id").applyInPandas(run, "run_id string, date date, equity double, cash double, drawdown double, trades long, wins long")
+    return candidates(rows).groupBy("run_id").applyInPandas(run, "run_id string, date date, equity double, cash double, drawdown double, trades long, wins long")
 
 
 def metrics(equity: DataFrame) -> DataFrame:
