@@ -11,6 +11,16 @@ from quantloom.functions.numeric import divide
 #: Class shocks in percent of the stress presets.
 PRESETS = {"crash": {"stock": -30.0, "etf": -25.0, "crypto": -50.0, "bond": -5.0, "bond_etf": -5.0}, "rates_up": {"stock": -8.0, "etf": -7.0, "crypto": -12.0, "bond": -10.0, "bond_etf": -9.0}}
 
+#: The six scenarios of the reference: class shocks in percent.
+SCENARIOS = {
+    "MARKET_CRASH": {"stock": -25.0, "etf": -22.0, "crypto": -45.0, "bond": -3.0, "bond_etf": -5.0},
+    "TECH_SELLOFF": {"stock": -18.0, "etf": -12.0, "crypto": -25.0, "bond": 1.0, "bond_etf": 0.0},
+    "CRYPTO_WINTER": {"stock": -3.0, "etf": -2.0, "crypto": -55.0, "bond": 0.0, "bond_etf": 0.0},
+    "RATE_HIKE": {"stock": -8.0, "etf": -7.0, "crypto": -15.0, "bond": -12.0, "bond_etf": -10.0},
+    "INFLATION_SHOCK": {"stock": -10.0, "etf": -9.0, "crypto": -20.0, "bond": -8.0, "bond_etf": -7.0},
+    "MILD_CORRECTION": {"stock": -7.0, "etf": -6.0, "crypto": -12.0, "bond": -1.0, "bond_etf": -2.0},
+}
+
 
 def latest(bars: DataFrame) -> DataFrame:
     """Latest close of each symbol, the one before, change in percent."""
@@ -77,6 +87,18 @@ def stress(valued: DataFrame, shocks: dict[str, float]) -> DataFrame:
     return out.withColumn("impact", F.col("stressed") - F.col("value"))
 
 
+def scenarios(valued: DataFrame, cash: float = 0.0) -> DataFrame:
+    """Each scenario's value of the portfolio before and after, its loss in percent and risk level; positions without a class count as stock."""
+    shocks = F.array(*[F.struct(F.lit(n).alias("scenario"), F.create_map(*[F.lit(x) for kv in m.items() for x in kv]).alias("shocks")) for n, m in SCENARIOS.items()])
+    rows = valued.select(F.lower(F.coalesce("asset_type", F.lit("stock"))).alias("kind"), "value", F.inline(shocks))
+    shock = F.coalesce(F.element_at("shocks", F.col("kind")), F.lit(0.0))
+    stressed = F.round(F.greatest(F.col("value") * (1 + shock / 100), F.lit(0.0)), 2)
+    out = rows.groupBy("scenario").agg((F.coalesce(F.sum("value"), F.lit(0.0)) + cash).alias("value"), (F.coalesce(F.sum(stressed), F.lit(0.0)) + cash).alias("stressed"))
+    out = out.withColumn("loss", F.round(F.col("stressed") - F.col("value"), 2))
+    out = out.withColumn("loss_percent", F.coalesce(F.when(F.col("value") > 0, F.round(divide(F.col("loss") * 100, F.col("value")), 2)), F.lit(0.0)))
+    return out.withColumn("risk_level", F.when(F.col("loss_percent") <= -25, "EXTREME").when(F.col("loss_percent") <= -15, "HIGH").when(F.col("loss_percent") <= -5, "MEDIUM").otherwise("LOW"))
+
+
 def rebalance(valued: DataFrame, target: DataFrame, weight: str, capital: float) -> DataFrame:
     """Trades from held to target values beyond one unit of currency."""
     rows = valued.select("symbol", "value", "price").join(target.select("symbol", F.col(weight).alias("w")), "symbol", "full")

@@ -258,6 +258,11 @@ def scenario_crash(spark, sf):
     return portfolio.stress(_valued(spark, sf), portfolio.PRESETS["crash"]).select("asset_type", F.round("value", 2).alias("value"), F.round("stressed", 2).alias("stressed"))
 
 
+@query("scenario_presets")
+def scenario_presets(spark, sf):
+    return portfolio.scenarios(_valued(spark, sf))
+
+
 @query("rebalance_trades", f"""WITH {LATEST}, {VALUED}, a AS (SELECT symbol, 1 / (count(*) OVER ())::DOUBLE AS w FROM latest), d AS (SELECT symbol, coalesce(w * 1e6, 0) - coalesce(value, 0) AS delta, price FROM valued FULL JOIN a USING (symbol))
     SELECT symbol, CASE WHEN delta > 0 THEN 'BUY' ELSE 'SELL' END AS side, round(delta, 2) AS delta FROM d WHERE abs(delta) > 1""", "prices", "positions", "assets")
 def rebalance_trades(spark, sf):
