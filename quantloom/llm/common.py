@@ -5,11 +5,13 @@ from __future__ import annotations
 import atexit
 import contextlib
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_FALLBACK = "/tmp/checkpoints"
+_WRITTEN: dict[int, tuple[str, str | None]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,7 +47,7 @@ def materialize(df: DataFrame, name: str, options: dict[str, str] | None = None,
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.options(compression=codec, **(options or {})).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _written(df.sparkSession.read.schema(df.schema).parquet(path), path)
 
 
 def materialize_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
@@ -54,11 +56,24 @@ def materialize_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     path, table_name = scratch_path(spark, name), f"{name}_{uuid.uuid4().hex}".replace("-", "_")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(table_name)
-    return spark.table(table_name)
+    return _written(spark.table(table_name), path, table_name)
 
 
-def path_of(df: DataFrame) -> str:
-    return df.inputFiles()[0].rsplit("/", 1)[0]
+def _written(df: DataFrame, path: str, table_name: str | None = None) -> DataFrame:
+    """``df``, of which drop() knows where it was written as long as it lives."""
+    _WRITTEN[id(df)] = path, table_name
+    weakref.finalize(df, _WRITTEN.pop, id(df), None)
+    return df
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove tables of materialize() or materialize_bucketed() that no later plan reads."""
+    for df in tables:
+        spark, (path, table_name) = df.sparkSession, _WRITTEN.pop(id(df), (None, None))
+        if table_name:
+            spark.sql(f"DROP TABLE IF EXISTS {table_name}")
+        if path:
+            drop_path(spark, path)
 
 
 def text_or_empty(col: str = "text") -> Column:

@@ -2,21 +2,28 @@
 
 Texts are compared as sets of five-word shingles of their lower-cased words (runs
 between white space); a text of one to four words is one shingle. Texts with the same
-words form one class from the start, and one representative of each goes on. MinHash
-bands give buckets of candidates. A pair's MinHash values are compared sixteen at a
+words form one class from the start, and one representative of each goes on. A pair of
+texts is compared if their MinHash values agree on a whole band; bands follow from the
+threshold so that a pair at it shares one with probability RECALL or more, and a
+threshold too low for that is refused. A pair's MinHash values are compared sixteen at a
 time; with m of n equal, the pair is dropped once the posterior probability (uniform
 prior) that its similarity reaches the threshold is below the tolerance. What survives
 is verified exactly on the words. Verified links join classes.
 
-A small bucket gives its few pairs. Large buckets aren't expanded: texts that they
-connect form a region, dealt into blocks of bounded rows and bytes; each pair of blocks
-is compared in one task, which hands on how many links each text has and only those
-links that join what isn't joined yet. A pair within a region is the blocks' alone, so
-every link counts once.
+Pairs never leave a task. Each text lies in the cell of its largest bucket; a cell is
+dealt into blocks of BLOCK texts (and BLOCK_CHARS characters) on average, by hash. Two
+blocks with a bucket in common are compared in one task, every pair that shares a band
+and no other, whatever the sizes; so whether a pair is a link depends on its two texts
+alone, and each pair lies in one pair of blocks and counts once. The task hands on how
+many links each text has and, for each group that they join, edges to one of its texts.
+Time within a large group grows with the square of its different texts, as a full count
+of links asks; rows moved grow with blocks.
 
 Nulls: a null text counts as empty; texts without words form one class. Null doc_ids
 come last in the choice of a class's id; a class of null ids alone has a null id.
-Repeated rows fall into one class. No rows, no rows out.
+Repeated rows fall into one class. Very long texts are blocks of their own in effect:
+a block has one text at least. Other columns are read only by keep_one(), which hands
+all of them on whatever their names. No rows, no rows out.
 """
 
 from __future__ import annotations
@@ -33,13 +40,11 @@ from . import common
 WORDS = 5
 THRESHOLD = 0.8
 HASHES = 128
-BANDS = 24
-BAND_ROWS = 5
+#: Least probability with which a pair at the threshold shares a band.
+RECALL = 0.999
 STEP = 16
 TOLERANCE = 1e-4
-#: Texts of a bucket up to which its pairs are written out.
-SMALL = 8
-#: Texts and characters of a block of a region.
+#: Texts and characters of a block of a cell.
 BLOCK = 256
 BLOCK_CHARS = 4_000_000
 
@@ -169,28 +174,21 @@ def sign(docs: DataFrame) -> DataFrame:
     return rows.dropDuplicates(["key"]).mapInArrow(run, "key binary, words string, sig binary")
 
 
-def buckets(signed: DataFrame) -> DataFrame:
-    """bucket, key, n for every bucket that holds n = two keys or more."""
-    width = 4 * BAND_ROWS
-    each = F.array(*[F.xxhash64(F.lit(k), F.substring("sig", 1 + k * width, width)) for k in range(BANDS)])
-    rows = signed.select(F.explode(each).alias("bucket"), "key")
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return rows.join(common.materialize(shared, "ngram-shared"), "bucket")
+def bands(threshold: float = THRESHOLD) -> tuple[int, int]:
+    """How many bands of how many values: the longest for which a pair at the threshold shares one with probability RECALL."""
+    for rows in range(HASHES, 0, -1):
+        n = HASHES // rows
+        if 1 - (1 - threshold**rows) ** n >= RECALL:
+            return n, rows
+    raise ValueError(f"{HASHES} MinHash values are too few for a threshold of {threshold}")
 
 
-def prune(pairs: DataFrame, own: DataFrame, least: np.ndarray) -> DataFrame:
-    """The pairs (a, b) whose signatures pass the incremental comparison."""
-
-    def run(batches: Iterable) -> Iterator:
-        import pyarrow as pa
-
-        for b in batches:
-            if b.num_rows:
-                stay = pa.array(survivors(_signatures(b.column("sa")), _signatures(b.column("sb")), least))
-                yield pa.RecordBatch.from_arrays([b.column("a").take(stay), b.column("b").take(stay)], ["a", "b"])
-
-    both = pairs.join(own.select(F.col("key").alias("a"), F.col("sig").alias("sa")), "a").join(own.select(F.col("key").alias("b"), F.col("sig").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
+def buckets(signed: DataFrame, n: int, rows: int) -> DataFrame:
+    """bucket, key, size for every bucket that holds size = two keys or more."""
+    each = F.array(*[F.xxhash64(F.lit(k), F.substring("sig", 1 + k * 4 * rows, 4 * rows)) for k in range(n)])
+    held = signed.select(F.explode(each).alias("bucket"), "key")
+    shared = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return held.join(common.materialize(shared, "ngram-shared"), "bucket")
 
 
 def shingles(words: str) -> set:
@@ -198,38 +196,30 @@ def shingles(words: str) -> set:
     return {tuple(w[i : i + WORDS]) for i in range(max(1, len(w) - WORDS + 1))} if w else set()
 
 
-def is_link(x: set, y: set, threshold: float) -> bool:
-    both = len(x & y)
-    return bool(both) and both >= threshold * (len(x) + len(y) - both) - 1e-9
-
-
-def verify(pairs: DataFrame, own: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) with an exact similarity of ``threshold`` or more."""
-
-    def run(batches: Iterable) -> Iterator:
-        import pyarrow as pa
-
-        held: dict[bytes, set] = {}
-
-        def of(key: bytes, words: str) -> set:
-            if key not in held:
-                if len(held) >= 64 or len(words) > 1_000_000:
-                    held.clear()
-                held[key] = shingles(words)
-            return held[key]
-
-        for b in batches:
-            found = []
-            for i, (ka, kb) in enumerate(zip(b.column("a").to_pylist(), b.column("b").to_pylist())):
-                x = of(ka, b.column("wa")[i].as_py())
-                y = of(kb, b.column("wb")[i].as_py())
-                if is_link(x, y, threshold):
-                    found.append((ka, kb))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found)], ["a", "b"])
-
-    both = pairs.join(own.select(F.col("key").alias("a"), F.col("words").alias("wa")), "a").join(own.select(F.col("key").alias("b"), F.col("words").alias("wb")), "b")
-    return both.select("a", "b", "wa", "wb").mapInArrow(run, "a binary, b binary")
+def shared_shingles(texts: list[str], a: np.ndarray, b: np.ndarray, columns: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+    """How many shingles the texts a and b of each pair have in common, and how many each text has."""
+    ids: dict[tuple, int] = {}
+    own = [np.array([ids.setdefault(x, len(ids)) for x in shingles(t)], dtype=np.int64) for t in texts]
+    sizes = np.array([len(x) for x in own])
+    both = np.zeros(len(a), dtype=np.int64)
+    if not len(ids):
+        return both, sizes
+    flat, row = np.concatenate(own), np.repeat(np.arange(len(own)), sizes)
+    seen = np.bincount(flat, minlength=len(ids)) > 1  # the others are in one text only
+    flat, row = (np.cumsum(seen) - 1)[flat[seen[flat]]], row[seen[flat]]
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    for at in range(0, int(seen.sum()), columns):
+        lo, hi = np.searchsorted(flat, [at, at + columns])
+        table = np.zeros((len(own), min(columns, int(seen.sum()) - at)), dtype=np.float32)
+        table[row[lo:hi], flat[lo:hi] - at] = 1
+        both += (table @ table.T)[a, b].astype(np.int64)
+    return both, sizes
+
+
+def is_link(both, x, y, threshold: float):
+    """Whether sets of x and y shingles, both of them in common, are similar enough; numbers or arrays of them."""
+    return (both > 0) & (both >= threshold * (x + y - both) - 1e-9)
 
 
 def components(links: DataFrame, name: str) -> DataFrame:
@@ -239,103 +229,106 @@ def components(links: DataFrame, name: str) -> DataFrame:
     labels = common.materialize(edges.groupBy(F.col("a").alias("key")).agg(F.least(F.min("b"), F.first("a")).alias("label")), f"{name}-labels")
     while True:
         near = edges.join(labels, edges["b"] == labels["key"]).groupBy("a").agg(F.min("label").alias("near"))
-        new = labels.join(near, labels["key"] == near["a"]).select("key", F.least("label", "near").alias("to"), F.col("label").alias("old"))
+        new = labels.join(near, labels["key"] == near["a"]).select(labels["key"], F.least("label", "near").alias("to"), F.col("label").alias("old"))
         jump = labels.select(F.col("key").alias("to"), F.col("label").alias("next"))
         new = common.materialize(new.join(jump, "to").select("key", F.least("to", "next").alias("label"), "old"), f"{name}-labels")
+        common.drop(labels)
         if new.where("label != old").isEmpty():
+            common.drop(edges)
             return new.select("key", "label")
-        labels = new.select("key", "label")
-
-
-def linked(left: list[dict], right: list[dict], same: bool, least: np.ndarray, threshold: float) -> tuple[dict[bytes, int], list[tuple[bytes, bytes]]]:
-    """Of all pairs of a left and a right row (key, words, sig): links by key, and links that join all that is linked."""
-    rows = left if same else left + right
-    sig = np.frombuffer(b"".join(r["sig"] for r in rows), "<u4").reshape(-1, HASHES)
-    sets = [shingles(r["words"]) for r in rows]
-    parent, count, joins = list(range(len(rows))), [0] * len(rows), []
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
-
-    for i in range(len(left)):
-        others = np.arange(i + 1, len(rows)) if same else np.arange(len(left), len(rows))
-        for j in others[survivors(sig[np.full(len(others), i)], sig[others], least)].tolist():
-            if is_link(sets[i], sets[j], threshold):
-                count[i] += 1
-                count[j] += 1
-                if root(i) != root(j):
-                    parent[root(i)] = root(j)
-                    joins.append((rows[i]["key"], rows[j]["key"]))
-    return {r["key"]: n for r, n in zip(rows, count) if n}, joins
-
-
-def regions(members: DataFrame) -> DataFrame:
-    """key, region of the texts that large buckets connect."""
-    large = members.where(F.col("n") > SMALL)
-    centre = large.groupBy("bucket").agg(F.min("key").alias("centre"))
-    pairs = common.materialize(large.join(centre, "bucket").select("key", "centre").distinct(), "ngram-region-pairs")
-    # A text's edge to the least of its buckets' centres, and an edge from each of these centres to that one.
-    lead = pairs.groupBy("key").agg(F.min("centre").alias("lead"))
-    edges = pairs.join(lead, "key").select(F.col("centre").alias("a"), F.col("lead").alias("b")).unionByName(lead.select(F.col("key").alias("a"), F.col("lead").alias("b")))
-    edges = edges.where("a != b").distinct()
-    return components(edges, "ngram-regions").withColumnRenamed("label", "region")
-
-
-def compare_blocks(placed: DataFrame, own: DataFrame, least: np.ndarray, threshold: float) -> DataFrame:
-    """a, b of joining links, and a, n (b null) of link counts, over all pairs within each region (key, region)."""
-    rows = placed.join(own, "key")
-    sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("words")).alias("chars"))
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("chars") / BLOCK_CHARS))
-    sizes = common.materialize(sizes.select("region", blocks.alias("blocks")), "ngram-region-sizes")
-    dealt = rows.join(sizes, "region").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
-    packed = dealt.groupBy("region", "blocks", "block").agg(F.collect_list(F.struct("key", "words", "sig")).alias("rows"))
+        labels = new
+
+
+def band_mates(sig: np.ndarray, left: int, n: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of rows that agree on a band, i < j; with ``left`` rows on the left, one on each side, without any (0) all."""
+    total = len(sig)
+    x, y = (sig[:left], sig[left:]) if left else (sig, sig)
+    found = np.zeros((len(x), len(y)), dtype=bool)
+    for k in range(n):
+        part = np.ascontiguousarray(sig[:, k * rows : (k + 1) * rows]).view(f"V{4 * rows}")[:, 0]
+        code = np.unique(part, return_inverse=True)[1].reshape(total)
+        found |= (code[:left, None] == code[None, left:]) if left else (code[:, None] == code[None, :])
+    i, j = np.nonzero(found if left else np.triu(found, 1))
+    return i, j + left
+
+
+def linked(left: list[dict], right: list[dict] | None, n: int, rows: int, least: np.ndarray, threshold: float) -> tuple[dict[bytes, int], list[tuple[bytes, bytes]]]:
+    """Of all pairs of a left and a right row (key, words, sig; right None: of the left ones) that share a band: links by key, and edges that join all that is linked."""
+    all_rows = left + (right or [])
+    sig = np.frombuffer(b"".join(r["sig"] for r in all_rows), "<u4").reshape(-1, HASHES)
+    i, j = band_mates(sig, len(left) if right is not None else 0, n, rows)
+    stay = survivors(sig[i], sig[j], least)
+    i, j = i[stay], j[stay]
+    if not len(i):
+        return {}, []
+    used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    a, b = at[: len(i)], at[len(i) :]
+    both, sizes = shared_shingles([all_rows[k]["words"] for k in used], a, b)
+    good = is_link(both, sizes[a], sizes[b], threshold)
+    a, b = a[good], b[good]
+    count = np.bincount(np.concatenate([a, b]), minlength=len(used))
+    label = np.arange(len(used))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    key = [all_rows[k]["key"] for k in used]
+    return {key[k]: int(c) for k, c in enumerate(count) if c}, [(key[k], key[to]) for k, to in enumerate(label.tolist()) if k != to]
+
+
+def compare(signed: DataFrame, members: DataFrame, n: int, rows: int, least: np.ndarray, threshold: float) -> DataFrame:
+    """a, b of joining edges, and a, n (b null) of link counts, over all pairs of keys that share a bucket of ``members``."""
+    cell = members.groupBy("key").agg(F.max(F.struct("size", "bucket")).alias("x")).select("key", F.col("x.bucket").alias("cell"))
+    cell = common.materialize(cell.join(signed.select("key", F.length("words").alias("chars")), "key"), "ngram-cells")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("chars") / BLOCK_CHARS)).alias("blocks")
+    sizes = cell.groupBy("cell").agg(blocks).where("blocks > 1")
+    dealt = cell.join(sizes, "cell", "left")
+    block = F.struct("cell", F.pmod(F.xxhash64("key"), F.coalesce("blocks", F.lit(1))).alias("part"))
+    dealt = common.materialize(dealt.select("key", block.alias("block")), "ngram-dealt")
+
+    met = members.select("bucket", "key").join(dealt, "key").select("bucket", "block").distinct()
+    met = met.groupBy("bucket").agg(F.sort_array(F.collect_list("block")).alias("met"))  # blocks, not texts
+    met = met.select(F.explode(F.sequence(F.lit(1), F.size("met"))).alias("i"), "met")
+    pairs = met.select(F.get("met", F.col("i") - 1).alias("x"), F.explode(F.slice("met", F.col("i"), F.size("met"))).alias("y")).distinct()
+    pairs = common.materialize(pairs, "ngram-block-pairs")
+    packed = signed.join(dealt, "key").groupBy("block").agg(F.collect_list(F.struct("key", "words", "sig")).alias("rows"))  # BLOCK texts on average
     packed = common.materialize(packed, "ngram-blocks")
 
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
+            x, y = b.column("left"), b.column("right")
             for k in range(b.num_rows):
-                x, y, same = (b.column(c)[k].as_py() for c in ("x", "y", "same"))
-                count, joins = linked(x, y, same, least, threshold)
-                a = [*count, *(p for p, _ in joins)]
+                count, edges = linked(x[k].as_py(), y[k].as_py(), n, rows, least, threshold)
+                a = [*count, *(p for p, _ in edges)]
                 if a:
-                    other, n = [None] * len(count) + [q for _, q in joins], [*count.values()] + [None] * len(joins)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(other, pa.binary()), pa.array(n, pa.int64())], ["a", "b", "n"])
+                    other, links = [None] * len(count) + [q for _, q in edges], [*count.values()] + [None] * len(edges)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(other, pa.binary()), pa.array(links, pa.int64())], ["a", "b", "n"])
 
-    x = packed.select("region", F.col("block").alias("bx"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("by"), F.col("rows").alias("x"))
-    y = packed.select("region", F.col("block").alias("by"), F.col("rows").alias("y"))
-    both = x.join(y, ["region", "by"]).select("x", "y", (F.col("bx") == F.col("by")).alias("same"))
-    return both.mapInArrow(run, "a binary, b binary, n long")
+    left = pairs.join(packed.select(F.col("block").alias("x"), F.col("rows").alias("left")), "x")
+    alone = left.where("x = y").select("left", F.lit(None).cast(packed.schema["rows"].dataType).alias("right"))
+    both = left.where("x != y").join(packed.select(F.col("block").alias("y"), F.col("rows").alias("right")), "y").select("left", "right")
+    return alone.unionByName(both).mapInArrow(run, "a binary, b binary, n long")
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """rows (doc_id, row, key, group), degrees (key, links) of linked texts, and whole classes (group, class_id, members).
 
     ``group`` tells the classes apart; classes has those of two rows or more."""
-    least = fewest_equal(threshold, tolerance)
+    (n, width), least = bands(threshold), fewest_equal(threshold, tolerance)
     signed = common.materialize_bucketed(sign(docs), "ngram-signed", "key")
-    members = common.materialize(buckets(signed), "ngram-members")
-    keys = common.materialize(members.select("key").distinct(), "ngram-keys")
-    own = common.materialize_bucketed(signed.join(keys, "key", "left_semi"), "ngram-own", "key")
-
-    placed = regions(members)
-    small = members.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # SMALL keys at most
-    small = small.select(F.explode(F.sequence(F.lit(0), F.size("keys") - 2)).alias("i"), "keys")
-    small = small.select(F.get("keys", F.col("i")).alias("a"), F.explode(F.slice("keys", F.col("i") + 2, F.size("keys"))).alias("b")).distinct()
-    ends = [placed.select(F.col("key").alias(c), F.col("region").alias(f"r{c}")) for c in "ab"]
-    pairs = small.join(ends[0], "a", "left").join(ends[1], "b", "left").where("NOT (ra <=> rb) OR ra IS NULL").select("a", "b")
-    pruned = common.materialize(prune(pairs, own, least), "ngram-pruned")
-    links = common.materialize(verify(pruned, own, threshold), "ngram-links")
-    within = common.materialize(compare_blocks(placed, own, least, threshold), "ngram-within")
-    labels = components(links.unionByName(within.where("b IS NOT NULL").select("a", "b")), "ngram-final")
+    members = common.materialize(buckets(signed, n, width), "ngram-members")
+    within = common.materialize(compare(signed, members, n, width, least, threshold), "ngram-within")
+    common.drop(signed, members)
+    labels = components(within.where("b IS NOT NULL").select("a", "b"), "ngram-final")
 
-    one = F.lit(1).cast("long")
-    ends = links.select(F.col("a").alias("key"), one.alias("n")).unionByName(links.select(F.col("b").alias("key"), one.alias("n")))
-    ends = ends.unionByName(within.where("b IS NULL").select(F.col("a").alias("key"), "n"))
-    degrees = common.materialize(ends.groupBy("key").agg(F.sum("n").alias("links")), "ngram-degrees")
+    degrees = common.materialize(within.where("b IS NULL").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("links")), "ngram-degrees")
     rows = docs.select("doc_id", common.row_hash(docs).alias("row"), key_of(words_of(F.col("text"))).alias("key"))
     rows = rows.join(labels, "key", "left").select("doc_id", "row", "key", F.coalesce("label", "key").alias("group"))
     rows = common.materialize(rows, "ngram-rows")

@@ -274,7 +274,7 @@ def write_token_file(docs: DataFrame, path: str, vocabulary: str | None = None,
     table = spark.createDataFrame([(int(i), int(freq[i])) for i in used], "id long, freq long")
     table.coalesce(1).write.parquet(f"{path}/table")
     write_blocks(tokens, freq, path, block_ids, lanes)
-    common.drop_path(spark, common.path_of(tokens)) if tokens.inputFiles() else None
+    common.drop(tokens)
 
 
 def op2_rans_token_file(spark, sf_dir: str) -> DataFrame:

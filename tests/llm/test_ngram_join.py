@@ -133,7 +133,37 @@ def test_groups_around_an_original_stay_whole(spark):
     assert got == brute_classes(list(enumerate(texts)), degrees=True)
 
 
-def test_regions_of_many_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.8, 0.9])
+def test_links_dont_depend_on_how_many_share_a_bucket(spark, threshold):
+    """Groups of 2 to 40 variants that few words tell apart, at several thresholds: exactly the links of all pairs."""
+    texts = [t for k, n in enumerate((1, 6, 7, 8, 9, 20, 39)) for t in variants(20 + k, n, 6)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows, degrees, _ = g.join(df, threshold)
+    got = {texts[r.doc_id]: r.links for r in rows.join(degrees, "key").collect()}
+    want = brute_classes(list(enumerate(texts)), threshold, degrees=True)
+    # The estimate may drop a pair at the very threshold, as the tolerance says.
+    assert set(got) <= set(want) and sum(got.values()) >= 0.99 * sum(want.values()) and all(got[t] <= want[t] for t in got)
+
+
+def test_bands_follow_from_the_threshold():
+    assert g.bands(0.8) == (25, 5)
+    for t in (0.05 + 0.05 * k for k in range(2, 19)):
+        n, rows = g.bands(t)
+        assert n * rows <= g.HASHES and 1 - (1 - t**rows) ** n >= g.RECALL
+    with pytest.raises(ValueError, match="too few"):
+        g.bands(0.01)
+
+
+def test_shared_shingles_against_sets():
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(list("abc"), rng.integers(1, 40))) for _ in range(30)] + ["a b c", "a b c d"]
+    a, b = np.triu_indices(len(texts), 1)
+    both, sizes = g.shared_shingles(texts, a, b, columns=7)
+    sets = [g.shingles(t) for t in texts]
+    assert sizes.tolist() == [len(s) for s in sets] and both.tolist() == [len(sets[i] & sets[j]) for i, j in zip(a, b)]
+
+
+def test_cells_of_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(g, "BLOCK", 4)
     texts = variants(4, 25, 4)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
