@@ -90,14 +90,52 @@ def row_hash(docs: DataFrame) -> Column:
     return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()])
 
 
-def keep_rows(docs: DataFrame, identity: dict[str, Column], decided: DataFrame, name: str) -> DataFrame:
-    """The rows of ``docs`` that ``decided`` (the identity's columns and ``kept``, a row for each row) keeps.
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or the first of name_2, name_3, ... that no column of ``df`` has in any case."""
+    taken, k = {c.lower() for c in df.columns}, 1
+    while (found := name if k == 1 else f"{name}_{k}").lower() in taken:
+        k += 1
+    return found
 
-    Rows of one identity are alike in every column; one of them stays if any is kept."""
-    marks = decided.groupBy(*identity).agg(F.count(F.lit(1)).alias("__n"), F.max("kept").alias("__any"))
+
+#: Bits of a key filter for each key, and its least and most bits (8 MB, which tasks get as a broadcast).
+FILTER_BITS_A_KEY, FILTER_LEAST, FILTER_MOST = 16, 1 << 16, 1 << 26
+
+
+class KeyFilter:
+    """Which keys can be among ``keys``: a Bloom filter of one hash as rows of bitmaps, at most FILTER_MOST bits in all.
+
+    Beyond FILTER_MOST / FILTER_BITS_A_KEY keys it excludes less, never wrongly."""
+
+    def __init__(self, keys: DataFrame, *by: str, name: str = "filter"):
+        n = keys.count()
+        self.bits = min(FILTER_MOST, max(FILTER_LEAST, 1 << (max(1, n * FILTER_BITS_A_KEY) - 1).bit_length()))
+        at = self._place(*map(F.col, by))
+        rows = keys.select(F.bitmap_bucket_number(at).alias("__bucket"), F.bitmap_bit_position(at).alias("__bit"))
+        self.rows = materialize(rows.groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__map")), name)
+
+    def _place(self, *by: Column) -> Column:
+        return F.pmod(F.xxhash64(*by), F.lit(self.bits)) + 1
+
+    def split(self, rows: DataFrame, *by: Column) -> DataFrame:
+        """``rows`` with a column __maybe: false only where the key isn't among the keys."""
+        at = self._place(*by)
+        byte = F.conv(F.hex(F.substring("__map", (F.bitmap_bit_position(at) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        held = rows.withColumn("__at", F.bitmap_bucket_number(at)).join(F.broadcast(self.rows), F.col("__at") == F.col("__bucket"), "left")
+        return held.withColumn("__maybe", F.coalesce(F.getbit(byte, F.bitmap_bit_position(at) % 8) == 1, F.lit(False))).drop("__at", "__bucket", "__map")
+
+
+def keep_rows(docs: DataFrame, decided: DataFrame, name: str) -> DataFrame:
+    """The rows of ``docs`` that ``decided`` (doc_id, row as of row_hash(), kept; a row for each row) keeps.
+
+    Rows of one id and hash are alike in every column; one of them stays if any is kept. Only rows that a filter
+    can't tell from those that go are moved."""
+    marks = decided.groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__hash")).agg(F.count(F.lit(1)).alias("__n"), F.max("kept").alias("__any"))
     marks = materialize(marks.where("NOT __any OR __n > 1"), name)
-    packed = docs.select(F.struct("*").alias("__row"), *[c.alias(k) for k, c in identity.items()])
-    match = [packed[k].eqNullSafe(marks[k]) for k in identity]
-    once = packed.join(marks, match, "left_anti")
-    several = packed.join(marks.where("__any"), match, "left_semi").dropDuplicates(list(identity))
-    return once.unionByName(several).select("__row.*")
+    packed = docs.select(F.struct("*").alias("__row"), F.col("doc_id").alias("__id"), row_hash(docs).alias("__hash"))
+    packed = KeyFilter(marks, "__id", "__hash", name=f"{name}-filter").split(packed, F.col("__id"), F.col("__hash"))
+    sure, maybe = packed.where("NOT __maybe"), packed.where("__maybe")
+    match = [maybe[k].eqNullSafe(marks[k]) for k in ("__id", "__hash")]
+    once = maybe.join(marks, match, "left_anti")
+    several = maybe.join(marks.where("__any"), match, "left_semi").dropDuplicates(["__id", "__hash"])
+    return sure.unionByName(once).unionByName(several).select("__row.*")

@@ -1,12 +1,15 @@
 """Exact dedup with a log-structured merge index of digests, native DataFrame operations only.
 
 Texts are equal when they are identical after every run of ASCII white space became
-one space. The index holds (digest, smallest id, rows): batches aggregate in the
-tasks' hash tables (the memtables), which are flushed as runs sorted by digest, each
-Parquet file with min/max values and a Bloom filter on the digest. Compaction merges
-all runs into one and keeps the smallest identifier. A hit in the index counts only
-after its bytes were compared with those of the row that stays; where a digest turns
-out to stand for several texts, its rows are grouped again by their whole bytes.
+one space. The index holds (digest, smallest id, rows). Rows come in BATCHES by a hash;
+each batch aggregates in the tasks' hash tables (the memtables) and is flushed as a run
+sorted by digest, whose Parquet files have min/max values and a Bloom filter on the
+digest, by which probe() skips files. After every FAN runs compaction merges them into
+one and keeps the smallest identifier; a last one merges what is left. Digests of two
+rows or more make a filter of bounded size that every row consults: only texts that it
+can't exclude are read again and moved. A hit counts only after its bytes were compared
+with those of the row that stays; where a digest turns out to stand for several texts,
+its rows are grouped again by their whole bytes.
 
 Nulls: a null text counts as empty; null ids come after all others, a group of null
 ids alone has a null keep_id. Rows that repeat the smallest doc_id of their group:
@@ -26,6 +29,9 @@ from . import common
 
 SPACES = r"[\x20\x09-\x0D]+"
 MEMTABLES = 4
+#: Batches of rows, each a run of the index, and runs that a compaction merges.
+BATCHES = 4
+FAN = 3
 
 
 def normalized(text: Column) -> Column:
@@ -40,7 +46,7 @@ class DigestIndex:
     """Runs of (digest, keep_id, n) under one folder."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.runs = spark, path, []
+        self.spark, self.path, self.runs, self.written = spark, path, [], 0
 
     _SCHEMA = "digest binary, keep_id long, n long"
     _FILTERS = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true", "compression": "zstd"}
@@ -49,13 +55,18 @@ class DigestIndex:
         out = rows.sortWithinPartitions(*by, "digest").write.options(**self._FILTERS)
         (out.partitionBy(*by) if by else out).parquet(f"{self.path}/{name}")
 
-    def flush(self, entries: DataFrame, memtables: int = MEMTABLES) -> None:
-        """Add a batch (digest, doc_id): tasks aggregate their share of each memtable and flush it sorted."""
-        name = f"level0-{len(self.runs)}"
+    def flush(self, entries: DataFrame, memtables: int = MEMTABLES, fan: int = FAN) -> None:
+        """Add a batch (digest, doc_id): tasks aggregate their share of each memtable and flush it sorted; a FAN of runs is merged."""
         held = entries.withColumn("memtable", F.pmod(F.hash("doc_id"), F.lit(memtables)))
         held = held.groupBy("memtable", "digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
-        self._write(held, name, "memtable")
-        self.runs.append(name)
+        self._write(held, self._new("flushed"), "memtable")
+        if len(self.runs) > fan:
+            self.compact()
+
+    def _new(self, kind: str) -> str:
+        self.written += 1
+        self.runs.append(f"{kind}-{self.written}")
+        return self.runs[-1]
 
     def read(self) -> DataFrame:
         """The entries of all runs; after compact() one row a digest."""
@@ -68,9 +79,8 @@ class DigestIndex:
     def compact(self) -> None:
         """Merge all runs into one sorted run that keeps the smallest identifier of each digest."""
         old, merged = self.runs, self.read().groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"))
-        name = f"level1-{len(old)}-{sum(map(len, old))}"
-        self._write(merged, name)
-        self.runs = [name]
+        self.runs = []
+        self._write(merged, self._new("merged"))
         for r in old:
             common.drop_path(self.spark, f"{self.path}/{r}")
 
@@ -88,18 +98,23 @@ def grouped(docs: DataFrame, digest: Callable[[Column], Column] = sha256_digest)
     base = base.withColumns({"sha": F.sha2("norm", 256)}).withColumn("digest", digest(F.col("norm")))
     entries = common.materialize(base.drop("norm"), "dedup-entries")
     index = DigestIndex(spark, common.scratch_path(spark, "dedup-index"))
-    index.flush(entries)
+    batch = F.pmod(F.xxhash64("doc_id", "row"), F.lit(BATCHES))
+    for k in range(BATCHES):
+        index.flush(entries.where(batch == k))
     index.compact()
-    shared = index.read().where("n > 1")
+    shared = index.read().where("n > 1").select(F.col("digest").alias("of"), "keep_id")
 
+    maybe = common.KeyFilter(shared, "of", name="dedup-filter").split(base, F.col("digest"))
+    texts = common.materialize(maybe.where("__maybe").select(base.columns), "dedup-texts")
     # Joined by digest and id, so that a large group's rows go to many tasks; then one join that Spark can split.
-    first = shared.select(F.col("digest").alias("of"), F.col("keep_id"))
-    hits = base.select("doc_id", "norm", "digest").join(first, (F.col("digest") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    hits = texts.join(shared, (F.col("digest") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("keep_id")))
     stays = common.materialize(hits.groupBy("digest").agg(F.min("norm").alias("stays")), "dedup-stays")
-    differ = common.materialize(base.select("norm", "digest").join(stays, "digest").where("norm != stays").select("digest"), "dedup-differ")
+    differ = common.materialize(texts.join(stays, "digest").where("norm != stays").select("digest"), "dedup-differ")
     mixed = common.materialize(differ.distinct(), "dedup-mixed")
 
-    exact = base.join(mixed, "digest", "left_semi").withColumn("digest", F.concat("digest", F.encode("norm", "UTF-8"))).drop("norm")
+    if mixed.isEmpty():  # as always with whole SHA-256 digests
+        return entries, index.read()
+    exact = texts.join(mixed, "digest", "left_semi").withColumn("digest", F.concat("digest", F.encode("norm", "UTF-8")))
     again = exact.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
     groups = index.read().join(mixed, "digest", "left_anti").unionByName(again)
     return entries.join(mixed, "digest", "left_anti").unionByName(exact.select(entries.columns)), groups
@@ -122,9 +137,7 @@ def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256_digest) -
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with the columns of ``docs``."""
-    identity = {"__sha": F.sha2(normalized(F.col("text")), 256), "__id": F.col("doc_id"), "__hash": common.row_hash(docs)}
-    decided = dedup(docs).select(F.col("sha").alias("__sha"), F.col("doc_id").alias("__id"), F.col("row").alias("__hash"), "kept")
-    return common.keep_rows(docs, identity, decided, "dedup-marks")
+    return common.keep_rows(docs, dedup(docs), "dedup-marks")
 
 
 def op5_lsm_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

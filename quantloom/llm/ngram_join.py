@@ -342,11 +342,8 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "row")
     first = rows.join(classes.select("group"), "group", "left_semi").groupBy("group").agg(F.min(order).alias("first"))
     first = common.materialize(first, "ngram-first")
-    decided = rows.join(first, "group", "left").select(
-        F.col("key").alias("__key"), F.col("doc_id").alias("__id"), F.col("row").alias("__hash"), (F.col("first").isNull() | order.eqNullSafe(F.col("first"))).alias("kept")
-    )
-    identity = {"__key": key_of(words_of(F.col("text"))), "__id": F.col("doc_id"), "__hash": common.row_hash(docs)}
-    return common.keep_rows(docs, identity, decided, "ngram-marks")
+    decided = rows.join(first, "group", "left").select("doc_id", "row", (F.col("first").isNull() | order.eqNullSafe(F.col("first"))).alias("kept"))
+    return common.keep_rows(docs, decided, "ngram-marks")
 
 
 def op7_bayesian_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

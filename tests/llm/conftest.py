@@ -13,7 +13,7 @@ def odd(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string, n_chars long")
-    clash = {c: F.lit("clash") for c in ("score", "keep_id", "key", "size", "n", "ids", "part", "target", "taken", "digest", "rank", "file", "__row")}
+    clash = {c: F.lit("clash") for c in ("score", "keep_id", "key", "size", "n", "ids", "part", "target", "taken", "digest", "rank", "file", "row", "pcm", "pcm_rate", "words", "media", "__row", "__maybe", "__map")}
     return df.withColumns(clash)
 
 

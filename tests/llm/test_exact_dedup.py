@@ -51,9 +51,11 @@ def test_index_grows_by_runs_and_compacts(spark):
     index = x.DigestIndex(spark, common.scratch_path(spark, "t"))
     assert index.read().count() == 0
     digests = spark.range(100).select(F.unhex(F.sha2((F.col("id") % 40).cast("string"), 256)).alias("digest"), F.col("id").alias("doc_id"))
-    index.flush(digests.where("doc_id >= 50"))
-    index.flush(digests.where("doc_id < 50"))
-    assert len(index.runs) == 2
+    sizes = []
+    for k in range(5):
+        index.flush(digests.where(f"doc_id div 20 = {4 - k}"))
+        sizes.append(len(index.runs))
+    assert sizes == [1, 2, 3, 1, 2] and index.read().agg(F.sum("n")).first()[0] == 100
     index.compact()
     rows = index.read().collect()
     assert len(index.runs) == 1 and len(rows) == 40
@@ -62,3 +64,13 @@ def test_index_grows_by_runs_and_compacts(spark):
 
     assert [r.keep_id for r in index.probe([hashlib.sha256(b"7").digest()]).collect()] == [7]
     assert index.probe([b"none"]).count() == 0
+
+
+def test_key_filter_never_excludes_a_key(spark):
+    keys = spark.range(0, 3000, 3).select(F.col("id").cast("string").alias("k"))
+    f = common.KeyFilter(keys, "k")
+    rows = f.split(spark.range(30_000).select(F.col("id").cast("string").alias("x")), F.col("x")).select("x", "__maybe").collect()
+    assert len(rows) == 30_000 and all(r["__maybe"] for r in rows if int(r.x) < 3000 and int(r.x) % 3 == 0)
+    assert sum(r["__maybe"] for r in rows) < 1000 + 0.1 * 30_000
+    empty = common.KeyFilter(keys.limit(0), "k").split(keys, F.col("k"))
+    assert empty.where("__maybe").count() == 0 and empty.count() == 1000
