@@ -5,6 +5,11 @@ document; only the end-of-document id marks where documents end. Every block is
 searched on its own as a numpy vector. A prefix scan over the blocks' summaries
 (ids, separators, last separator), first within chunks of blocks and then over the
 chunks, stitches the documents that cross blocks.
+
+Nulls: a null text counts as empty, a document of 0 tokens; null doc_ids stay. Repeated
+rows count as often as they occur; very long texts cross as many blocks as they need.
+No rows, no blocks and no documents. write_flat() reads doc_id and text only, so other
+columns can't clash; the string of the end token in a text is ordinary text.
 """
 
 from __future__ import annotations
@@ -49,7 +54,7 @@ def write_flat(docs: DataFrame, path: str, vocabulary: str | None = None, end_id
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
-        enc, end, file = encoder(vocabulary), np.uint16(end_id).astype("<u2").tobytes(), f"part-{TaskContext.get().partitionId():06d}"
+        enc, end, file = encoder(vocabulary, plain=True), np.uint16(end_id).astype("<u2").tobytes(), f"part-{TaskContext.get().partitionId():06d}"
         names = ["kind", "file", "block", "data", "doc_ids"]
         kept, k, seen = bytearray(), 0, 0
 

@@ -36,14 +36,18 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 class ChunkEncoder:
-    """Encodes texts to little-endian uint16 ids; needs a vocabulary of at most 65,536 ids."""
+    """Encodes texts to little-endian uint16 ids; needs a vocabulary of at most 65,536 ids.
 
-    def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS):
+    ``plain`` takes the strings of special tokens in a text as ordinary text, else each is its own id, as the library has it."""
+
+    def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
-        self._tok.encode_special_tokens = True
+        self._tok.encode_special_tokens = plain
+        #: Strings that stand for one id each; texts with one of them are encoded whole.
+        self._special = [] if plain else [t.content for t in self._tok.get_added_tokens_decoder().values()]
         if self._tok.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
         plan = json.loads(self._tok.to_str())
@@ -109,7 +113,7 @@ class ChunkEncoder:
         split: list[tuple[list[str], list[bytes | None]] | None] = []
         new: set[str] = set()
         for t in texts:
-            if not t or t[0] in " ,.\n" or t[-1] in " \n" or any(c in t for c in _ODD_SPACES):
+            if not t or t[0] in " ,.\n" or t[-1] in " \n" or any(c in t for c in _ODD_SPACES) or any(x in t for x in self._special):
                 split.append(None)
                 continue
             marked = any(c in t for c in _MARK_AFTER_SPACE)
@@ -143,14 +147,14 @@ class ChunkEncoder:
         return out
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], ChunkEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
-    """One encoder per vocabulary and Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, plain: bool = False) -> ChunkEncoder:
+    """One encoder per vocabulary, way and Python worker."""
+    if (path, plain) not in _ENCODERS:
+        _ENCODERS[path, plain] = ChunkEncoder(path, plain=plain)
+    return _ENCODERS[path, plain]
 
 
 def slices(batch, most_chars: int = 8_000_000):

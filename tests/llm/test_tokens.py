@@ -10,19 +10,26 @@ from quantloom.llm.tokens import ChunkEncoder, vocabulary_path
 PATH = vocabulary_path()
 
 
-def library_ids(texts):
+def library_ids(texts, plain=False):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
+    if plain:
+        t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(alphabet=" \n\t ab'sé1!漢", max_size=30), max_size=6))
-def test_chunks_encode_as_the_library_does(texts):
-    got = [np.frombuffer(b, "<u2").tolist() for b in ChunkEncoder(PATH, 3).encode(texts)]
-    assert got == library_ids(texts)
+@given(st.lists(st.lists(st.sampled_from([*" \n\t ab'sé1!漢<|>", "<|endoftext|>", "endoftext"]), max_size=30).map("".join), max_size=6), st.booleans())
+def test_chunks_encode_as_the_library_does(texts, plain):
+    got = [np.frombuffer(b, "<u2").tolist() for b in ChunkEncoder(PATH, 3, plain).encode(texts)]
+    assert got == library_ids(texts, plain)
+
+
+def test_special_tokens_are_ids_of_their_own():
+    text = "a <|endoftext|> b"
+    own, plain = (np.frombuffer(ChunkEncoder(PATH, plain=p).encode([text])[0], "<u2").tolist() for p in (False, True))
+    assert 50256 in own and len(own) == 4 and 50256 not in plain and own == library_ids([text])[0]
 
 
 @settings(max_examples=40, deadline=None)
@@ -32,6 +39,15 @@ def test_rans_round_trip_and_checkpoints(ids, lanes, every):
     table = rans.Table(rans.quantize(np.bincount(ids, minlength=41)))
     block = rans.encode_block(ids, table, lanes, every)
     assert (rans.decode_block(block, table) == ids).all()
+    for bad in ("word", "states"):
+        if len(block["checkpoints"]) > 1:
+            points = [dict(p) for p in block["checkpoints"]]
+            points[1][bad] = points[1][bad] + 1 if bad == "word" else bytes(points[1][bad][:-1]) + bytes([points[1][bad][-1] ^ 1])
+            try:
+                rans.decode_block(block | {"checkpoints": points}, table)
+            except (ValueError, IndexError):
+                continue
+            raise AssertionError("a damaged checkpoint went unnoticed")
     pieces = [rans.decode_steps(block, table, k, (block["checkpoints"][k + 1 : k + 2] or [{"step": None}])[0]["step"]) for k in range(len(block["checkpoints"]))]
     assert np.concatenate(pieces or [ids[:0]]).tolist() == ids.tolist()
 
@@ -82,7 +98,7 @@ def test_token_file_of_odd_rows(spark, odd, none):
 
 def test_op1_counts_what_the_library_counts(spark, sf):
     rows = common.table(spark, sf, "documents").select("doc_id", "text").collect()
-    want = {r.doc_id: len(i) for r, i in zip(rows, library_ids([r.text for r in rows]))}
+    want = {r.doc_id: len(i) for r, i in zip(rows, library_ids([r.text for r in rows], True))}
     assert {r.doc_id: r.n_tokens for r in separators.op1_separator_token_counts(spark, sf).collect()} == want
 
 
@@ -104,6 +120,14 @@ def test_documents_across_blocks_and_chunks(spark, tmp_path):
         assert sorted((r.ordinal, r.start, r.n_tokens, r.closed) for r in got if r.file.endswith(f"/{name}")) == want
 
 
+def test_a_special_token_in_a_text(spark):
+    docs = spark.createDataFrame([(1, "x <|endoftext|> y"), (2, "<|endoftext|>"), (3, "plain")], "doc_id long, text string")
+    path = common.scratch_path(spark, "t")
+    rans.write_token_file(docs, path)
+    got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in rans.read_documents(spark, path).collect())
+    assert got == brute(list(zip([1, 2, 3], library_ids(["x <|endoftext|> y", "<|endoftext|>", "plain"]))))
+
+
 def test_flat_files_of_odd_rows(spark, odd, none):
     path = common.scratch_path(spark, "t")
     separators.write_flat(odd, path, block_bytes=64)
@@ -111,7 +135,7 @@ def test_flat_files_of_odd_rows(spark, odd, none):
     got = separators.separator_scan(blocks, separators.END_ID, chunk_blocks=2).join(order, ["file", "ordinal"]).collect()
     rows = odd.select("doc_id", "text").collect()
     key = lambda x: (x[0] is not None, x[0] or 0, x[1])
-    assert sorted(((r.doc_id, r.n_tokens) for r in got), key=key) == sorted(((r.doc_id, len(i)) for r, i in zip(rows, library_ids([r.text for r in rows]))), key=key)
+    assert sorted(((r.doc_id, r.n_tokens) for r in got), key=key) == sorted(((r.doc_id, len(i)) for r, i in zip(rows, library_ids([r.text for r in rows], True))), key=key)
     path = common.scratch_path(spark, "t")
     separators.write_flat(none, path)
     assert not separators.separator_scan(separators.read_flat(spark, path)[0], separators.END_ID).count()
