@@ -45,6 +45,18 @@ def test_labels_of_its_own(spark):
     assert got[6] == "gpl-3" and got[8] == "bsd" and got[0] == "mit" and got[9] == "" and got[1] == "apache-2"
 
 
+def test_inserted_words_and_full_paragraphs(spark):
+    mit = next(t for t in x.TEMPLATES if t.label == "mit" and len(t.split) > 40)
+    shuffled = "free of charge to any person obtaining a copy " + " ".join(reversed(mit.split))
+    texts = [
+        "licensed under the new gnu general public license version 2", f"x {mit.words} y", mit.words.replace("hereby ", "").replace("restriction", "any restriction"), shuffled,
+        "hereby permission and charge person", mit.words.split("publish")[0], "may not use this file except in compliance with the license",
+    ]
+    got = {r.doc_id: r.labels for r in x.summary(x.scan(frame(spark, texts))).collect()}
+    assert got == {0: "gpl-2", 1: "mit", 2: "mit", 3: got[3], 4: "", 5: "mit", 6: ""}
+    check(x.summary(x.scan(frame(spark, texts))), x.OP10_SQL, documents=frame(spark, texts))
+
+
 def test_odd_rows(spark, odd, none):
     check(x.summary(x.scan(odd)), x.OP10_SQL, documents=odd)
     assert of_spark(x.summary(x.scan(none)))[1] == []
