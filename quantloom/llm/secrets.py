@@ -1,16 +1,22 @@
 """Secret scans: candidates by shape, false positives removed by a random forest; native DataFrame and MLlib operations only.
 
-A candidate is a run of 16 or more of A-Z a-z 0-9 + / = _ - within a word. Features are
-its length, character classes and transitions between them, distinct characters, how
-much of it dictionary words cover, whether it is part of a path, and what the words
-beside it say. The forest learns from labelled findings: ``findings`` has word, before,
-after and label (1: a secret). ``synthetic_findings`` writes such a table by rule from
-hashes: keys behind assignments and alone against long words, numbers, dates, digests
-named as such, identifiers, paths and placeholders.
+A candidate is a run of 16 or more of A-Z a-z 0-9 + / = _ - within a word; or, in a word
+without such a run, eight or more characters that an assignment (= or :) follows a cue
+such as password or api_key with, whatever marks they have. Features are its length,
+character classes and transitions between them, distinct characters, how much of it
+dictionary words cover, whether it is part of a path, and what the words beside it say.
+The forest learns from labelled findings: ``findings`` has word, before, after and label
+(1: a secret). No table here has such labels, so ``synthetic_findings`` writes one by
+rule from hashes: keys and passwords behind assignments and alone against long words,
+numbers, dates, digests named as such, identifiers, paths and placeholders. Findings
+written by hand, of kinds and wordings that the rules don't know, measure recall in the
+tests.
 
 Nulls: a null text counts as empty and has no candidates; findings without word or
 label don't count; where the findings are of one kind only, every probability is that
-kind. Repeated rows repeat their candidates; no rows, no rows out.
+kind. Very long texts are scanned whole, word by word. Repeated rows repeat their
+candidates; no rows, no rows out. candidates() reads doc_id and text only; score() hands
+the columns of its input on in a struct, so only ``probability`` is added beside them.
 """
 
 from __future__ import annotations
@@ -40,6 +46,8 @@ DICTIONARY = (
     "token secret password default example sample test value string config index module class public private return function release version branch commit license image document report module chapter section"
 ).split()
 CUES = "token|secret|passw|api.?key|apikey|access.?key|auth|bearer|credential|private.?key|client.?key|signing"
+#: A cue, an assignment and what is assigned, at the end of some words.
+ASSIGNED = rf"(?i)(?:{CUES}|passphrase|pwd)[a-z0-9_\-]*[\"'`]?\s?[=:]\s?[\"'`(]?([^\s\"'`,;()]{{8,}})[\"'`,;.)]*$"
 DECOYS = "example|sample|dummy|test|placeholder|uuid|guid|sha|md5|commit|digest|checksum|hash|etag|order|invoice|phone|isbn|card|serial|version|build|revision"
 
 
@@ -56,6 +64,7 @@ def features(word: Column, before: Column, after: Column) -> dict[str, Column]:
         "upper": share("[A-Z]"),
         "lower": share("[a-z]"),
         "marks": share(r"[+/=_\-]"),
+        "other": share(r"[^A-Za-z0-9+/=_\-]"),
         "digit_to_letter": share("[0-9](?=[A-Za-z])"),
         "letter_to_digit": share("[A-Za-z](?=[0-9])"),
         "lower_to_upper": share("[a-z](?=[A-Z])"),
@@ -79,18 +88,26 @@ def features(word: Column, before: Column, after: Column) -> dict[str, Column]:
 
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, word_index, place (in the word), word, before, after of every candidate."""
-    words = F.split(common.text_or_empty(), r"[\x20\x09-\x0D]+")
-    rows = docs.select("doc_id", words.alias("words"))
-    at = F.array_compact(F.transform("words", lambda w, i: F.when((F.length(w) >= 16) & w.rlike(SHAPE), i)))
+    text = common.text_or_empty()
+    rows = docs.select("doc_id", F.split(text, r"[\x20\x09-\x0D]+").alias("words"), text.rlike(rf"(?i)(?:{CUES}|passphrase|pwd)[a-z0-9_\-]*[\"'`]?\s?[=:]").alias("cued"))
     slot = lambda i, by: F.coalesce(F.get(F.col("words"), i + by), F.lit(""))
-    side = lambda i: F.struct(i.alias("i"), slot(i, 0).alias("w"), F.concat_ws(" ", slot(i, -2), slot(i, -1)).alias("before"), F.concat_ws(" ", slot(i, 1), slot(i, 2)).alias("after"))
-    rows = rows.select("doc_id", F.explode(F.transform(at, side)).alias("x"))
-    rows = rows.select("doc_id", "x.*", F.regexp_extract_all("w", F.lit(f"({SHAPE})"), F.lit(1)).alias("found"), F.split("w", SHAPE).alias("between"))
-    rows = rows.select("doc_id", "i", "before", "after", "between", F.posexplode("found").alias("place", "word"))
-    head, tail = F.coalesce(F.get("between", F.col("place")), F.lit("")), F.coalesce(F.get("between", F.col("place") + 1), F.lit(""))
+    run = lambda w: (F.length(w) >= 16) & w.rlike(SHAPE)
+    tail = lambda w, i: F.right(F.concat_ws(" ", F.when(i >= 2, slot(i, -2)), F.when(i >= 1, slot(i, -1)), w), F.lit(512))
+    plain = F.transform("words", lambda w, i: F.when(run(w), i))
+    both = F.transform("words", lambda w, i: F.when(run(w) | ((F.length(w) >= 8) & tail(w, i).rlike(ASSIGNED)), i))
+    at = F.array_compact(F.when(F.col("cued"), both).otherwise(plain))
+    side = lambda i: F.struct(i.alias("i"), slot(i, 0).alias("w"), F.concat_ws(" ", slot(i, -2), slot(i, -1)).alias("before"), F.concat_ws(" ", slot(i, 1), slot(i, 2)).alias("after"), tail(slot(i, 0), i).alias("tail"))
+    rows = rows.select("doc_id", F.explode(F.transform(at, side)).alias("x")).select("doc_id", "x.*")
+    assigned = F.regexp_extract("tail", ASSIGNED, 1)
+    # What is assigned may reach back over the word before it only if the word itself holds it.
+    start = F.instr("w", assigned)
+    alone = F.when((assigned != "") & (start > 0), F.struct(F.array(assigned).alias("found"), F.array(F.left("w", start - 1), F.substring(F.col("w"), start + F.length(assigned), F.length("w"))).alias("between")))
+    runs = F.struct(F.regexp_extract_all("w", F.lit(f"({SHAPE})"), F.lit(1)).alias("found"), F.split("w", SHAPE).alias("between"))
+    rows = rows.withColumn("y", F.when(run(F.col("w")), runs).otherwise(alone)).select("doc_id", "i", "before", "after", "y.between", F.posexplode("y.found").alias("place", "word"))
+    head, tail_of = F.coalesce(F.get("between", F.col("place")), F.lit("")), F.coalesce(F.get("between", F.col("place") + 1), F.lit(""))
     return rows.select(
         "doc_id", F.col("i").cast("long").alias("word_index"), F.col("place").cast("long").alias("place"), "word",
-        F.right(F.concat("before", F.lit(" "), head), F.lit(NEAR)).alias("before"), F.left(F.concat(tail, F.lit(" "), F.col("after")), F.lit(NEAR)).alias("after"),
+        F.right(F.concat("before", F.lit(" "), head), F.lit(NEAR)).alias("before"), F.left(F.concat(tail_of, F.lit(" "), F.col("after")), F.lit(NEAR)).alias("after"),
     )
 
 
@@ -103,32 +120,38 @@ def synthetic_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
     cut = lambda text, n: F.left(text, n)
     letters = F.translate(sha("l"), "0123456789", "ghijklmnop")
     syllables = ("an er on th in ti re the he or en nd at st ea ou es ed to ing ion le la de que men te ra do ci os as na co ent ver ung sch lich ein zu ge be").split()
-    spoken = F.concat(*[pick(f"s{k}", *syllables) for k in range(14)])
+    parts = {"spoken": F.concat(*[pick(f"s{k}", *syllables) for k in range(14)])}
+    spoken = F.col("spoken")
     prose = lambda k: F.concat_ws(" ", F.concat(*[pick(f"{k}{i}", *syllables) for i in range(3)]), F.concat(*[pick(f"{k}{i}", *syllables) for i in range(3, 5)]))
     named = lambda k, *names: F.concat(pick(k, *names), pick(f"{k}b", " = ", "=", ": "), pick(f"{k}q", '"', "'", ""))
-    cue = named("cue", "token", "secret", "password", "api_key", "apikey", "access_key", "auth_token", "client_secret", "TOKEN", "API_KEY", "Authorization: Bearer")
-    decoy = named("decoy", "commit", "sha1", "md5", "digest", "checksum", "etag", "uuid", "order", "invoice", "serial", "build")
+    parts["cue"] = named("cue", "token", "secret", "password", "api_key", "apikey", "access_key", "auth_token", "client_secret", "TOKEN", "API_KEY", "Authorization: Bearer")
+    parts["decoy"] = named("decoy", "commit", "sha1", "md5", "digest", "checksum", "etag", "uuid", "order", "invoice", "serial", "build")
+    parts |= {"p": prose("p"), "a": prose("a"), "key": pick("kind", *range(8)), "wrong": pick("wrong", *range(10))}
+    cue, decoy, key, wrong, prose = F.col("cue"), F.col("decoy"), F.col("key"), F.col("wrong"), F.col
     numbers = F.translate(sha("n"), "abcdef", "483920")
     dashed = F.regexp_replace(sha("u"), "^(.{8})(.{4})(.{4})(.{4})(.{12}).*$", "$1-$2-$3-$4-$5")
-    key = pick("kind", *range(6))
+    mixed = F.concat(pick("m0", *"TbRqZkW"), F.left(F.regexp_replace(base("m"), "[+/=]", "x"), upto("m1", 3, 8)), pick("m2", *"!@#$%&*.?"), F.left(F.regexp_replace(base("w"), "[+/=]", "7"), upto("m3", 3, 8)), pick("m4", "!", "$", "", "9", "#"))
     secret = (
         F.when(key == 0, cut(sha("a"), F.lit(40))).when(key == 1, cut(sha("b"), upto("bl", 24, 64))).when(key == 2, cut(base("c"), upto("cl", 20, 44)))
         .when(key == 3, F.concat(F.lit("AKIA"), F.upper(cut(F.translate(base("d"), "+/=", "QXZ"), F.lit(16))))).when(key == 4, F.concat(pick("pre", "ghp_", "sk_live_", "xoxb-", "npm_"), cut(F.translate(base("e"), "+/=", "abc"), F.lit(36))))
+        .when(key == 5, mixed).when(key == 6, F.concat(F.initcap(F.left(spoken, upto("w6", 4, 9))), pick("m5", "-", "_", "!", "@", "#"), F.right(sha("v"), upto("w7", 3, 6)), pick("m6", "!", "", "?", "$")))
         .otherwise(F.upper(cut(sha("f"), upto("fl", 32, 40))))
     )
-    wrong = pick("wrong", *range(8))
     harmless = (
         F.when(wrong == 0, F.concat(F.initcap(F.left(spoken, F.lit(1))), F.substring(spoken, 2, 22))).when(wrong == 1, cut(numbers, upto("nl", 16, 20)))
         .when(wrong == 2, cut(sha("g"), F.lit(40))).when(wrong == 3, dashed).when(wrong == 4, F.concat(F.lit("src/"), cut(letters, F.lit(6)), F.lit("/"), cut(spoken, F.lit(9))))
         .when(wrong == 5, pick("place", "xxxxxxxxxxxxxxxxxxxx", "your-api-key-goes-here", "REPLACE_WITH_YOUR_TOKEN", "0000000000000000000000", "example-token-value-123", "changeme-changeme-changeme"))
+        .when(wrong == 8, pick("word", "required", "changeme", "expired.", "your-token", "<token>", "undefined", "optional", "forgotten?", "os.environ[X]", "${SECRET}", "********", "see-below", "getenv(KEY)", "settings.TOKEN"))
+        .when(wrong == 9, F.left(spoken, upto("w9", 8, 14)))
         .when(wrong == 6, cut(spoken, upto("sl", 16, 28))).otherwise(F.upper(cut(spoken, upto("ul", 16, 26))))
     )
-    ids = spark.range(rows).withColumn("label", (F.pmod(F.xxhash64(F.lit("y"), "id"), F.lit(2))).cast("int"))
+    ids = common.materialize(spark.range(rows).withColumns(parts), "secret-parts").withColumn("label", (F.pmod(F.xxhash64(F.lit("y"), "id"), F.lit(2))).cast("int"))
     yes, quote = F.col("label") == 1, pick("quote", '"', "'", "", ".")
-    before = F.when(yes, F.when(upto("alone", 0, 9) == 0, prose("p")).otherwise(F.concat_ws(" ", prose("p"), cue))).otherwise(
-        F.when(wrong.isin(2, 3), F.concat_ws(" ", prose("p"), decoy)).when(wrong == 5, F.concat_ws(" ", prose("p"), cue)).otherwise(F.concat(prose("p"), F.lit(" ")))
+    before = F.when(yes, F.when((upto("alone", 0, 9) == 0) & ~key.isin(5, 6), prose("p")).otherwise(F.concat_ws(" ", prose("p"), cue))).otherwise(
+        F.when(wrong.isin(2, 3), F.concat_ws(" ", prose("p"), decoy)).when(wrong.isin(5, 8, 9), F.concat_ws(" ", prose("p"), cue)).otherwise(F.concat(prose("p"), F.lit(" ")))
     )
-    return ids.select(F.when(yes, secret).otherwise(harmless).alias("word"), F.right(before, F.lit(NEAR)).alias("before"), F.left(F.concat(quote, F.lit(" "), prose("a")), F.lit(NEAR)).alias("after"), "label")
+    out = ids.select(F.when(yes, secret).otherwise(harmless).alias("word"), F.right(before, F.lit(NEAR)).alias("before"), F.left(F.concat(quote, F.lit(" "), prose("a")), F.lit(NEAR)).alias("after"), "label")
+    return common.materialize(out, "secret-findings")  # else its long expressions and the features would be compiled as one
 
 
 class Scanner:
