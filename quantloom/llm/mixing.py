@@ -10,7 +10,8 @@ one such bucket in which a source's cut falls.
 
 Nulls: a null text has size 0, a null source is a source of its own (the last), a
 null doc_id is ordered as the empty string. Rows that repeat a doc_id share their
-place in the seeded order and are taken or left together. No rows, no rows out.
+place in the seeded order and are taken or left together. No rows, no rows out. Long
+texts count whole; mix() hands all columns on whatever their names.
 """
 
 from __future__ import annotations

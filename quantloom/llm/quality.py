@@ -13,7 +13,8 @@ other labelled rows and all whole texts are scored by tasks of bounded memory.
 Nulls: a null text counts as empty and is one passage of zeros; label rows without
 doc_id or quality don't count, several label rows of a document are averaged. Where
 no labelled rows of both kinds exist, every score is (label 1 rows + 1) / (rows + 2).
-Repeated rows get equal scores; no rows, no rows out.
+Repeated rows get equal scores; no rows, no rows out. score() hands rows on as a struct
+and keep_good() takes that apart, so other columns can't clash whatever their names.
 """
 
 from __future__ import annotations

@@ -13,7 +13,10 @@ score until none is a piece: what a file of type BPE prescribes, whose scores ar
 of merges and don't add up. Encoding takes the way of the model's type unless told.
 
 Nulls: null and empty texts have no ids and decode to the empty text. A space mark in
-a text decodes to a space, as SentencePiece has it. Repeated rows give equal rows.
+a text decodes to a space, as SentencePiece has it. Repeated rows give equal rows; no
+rows, no rows out. Very long texts are encoded whole, a few at a time; a word without
+spaces of more than LONG characters merges in time that its length times its logarithm
+bounds. encode() keeps all columns and never overwrites one.
 """
 
 from __future__ import annotations
@@ -281,7 +284,9 @@ def pieces(path: str, how: str | None = None) -> Pieces:
 
 
 def encode(docs: DataFrame, path: str | None = None, how: str | None = None) -> DataFrame:
-    """``docs`` with a column ids (little-endian, 16 bits where the model has at most 65,536 pieces)."""
+    """``docs`` with a column ids (little-endian, 16 bits where the model has at most 65,536 pieces).
+
+    Where ``docs`` has a column of that name, it stays and the new one is ids_2, or the first free of ids_3, ..."""
     path = path or model_path()
 
     @F.pandas_udf("binary")
@@ -300,7 +305,7 @@ def encode(docs: DataFrame, path: str | None = None, how: str | None = None) ->
                 held, size = [], 0
         return pd.Series(out + table.encode(held, how), dtype=object)
 
-    return docs.withColumn("ids", of(common.text_or_empty()))
+    return docs.withColumn(common.free_name(docs, "ids"), of(common.text_or_empty()))
 
 
 def check(docs: DataFrame, path: str | None = None, how: str | None = None) -> DataFrame:
@@ -327,5 +332,5 @@ def check(docs: DataFrame, path: str | None = None, how: str | None = None) -> D
 
 
 def op8_viterbi_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text encoded and decoded again, by document."""
+    """Every text encoded and decoded again, by document. The model file is of type BPE, so the ids come from merges."""
     return check(common.table(spark, sf_dir, "documents"))

@@ -81,14 +81,17 @@ def test_unigram_ids_are_those_of_the_library(tmp_path):
         assert p.sp.decode(own) == p.sp.decode(want) and score(own) == pytest.approx(score(want))
 
 
-def test_op8(spark, sf):
+def test_viterbi_over_the_whole_table(spark, sf):
     texts = {r.doc_id: r.text for r in common.table(spark, sf, "documents").collect()}
-    rows = s.op8_viterbi_sentence_pieces(spark, sf).collect()
+    rows = s.check(common.table(spark, sf, "documents"), how="viterbi").collect()
     assert len(rows) == len(texts) and all(r.lossless for r in rows)
+    known = {}
     for r in rows:
-        if r.doc_id % 10 == 0:
-            ids = [i for w in P.word.findall(P.sp.normalize(texts[r.doc_id])) for piece in brute_viterbi(w) for i in P._ids(piece)]
-            assert (r.n_ids, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        words = P.word.findall(P.sp.normalize(texts[r.doc_id] or ""))
+        for w in set(words) - set(known):
+            known[w] = [i for piece in brute_viterbi(w) for i in P._ids(piece)]
+        ids = [i for w in words for i in known[w]]
+        assert (r.n_ids, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
 
 
 def test_op8_and_the_pipeline_take_the_ids_of_the_model(spark, sf):
@@ -111,8 +114,9 @@ def test_long_words_merge_as_in_the_library():
 def test_odd_rows(spark, odd, none):
     rows = s.check(odd).collect()
     assert len(rows) == odd.count() and all(r.lossless for r in rows)
-    out = s.encode(odd.drop("ids"))
-    assert out.columns == [*odd.drop("ids").columns, "ids"]
+    out = s.encode(odd)
+    assert out.columns == [*odd.columns, "ids_2"]
     for r in out.collect():
-        assert P.decode(bytes(r.ids)) == (r.text or "")
+        assert r.ids == "clash" and P.decode(bytes(r.ids_2)) == (r.text or "")
+    assert s.encode(odd.drop("ids")).columns[-1] == "ids"
     assert s.check(none).count() == 0 and s.encode(none).count() == 0
