@@ -50,9 +50,9 @@ def impact(relevance: Column, score: Column, keyword_hits: Column) -> Column:
 
 
 def encode_label(label: Column) -> Column:
-    """+1, -1 or 0; the positive test comes first, so NON_POSITIVE_RETURN is +1 as well."""
-    up = F.upper(F.coalesce(label, F.lit("")))
-    return F.when(F.contains(up, F.lit("POSITIVE")) | F.contains(up, F.lit("OUTPERFORM")), 1).when(F.contains(up, F.lit("NEGATIVE")) | F.contains(up, F.lit("UNDERPERFORM")), -1).otherwise(0)
+    """+1, -1 or 0; the positive test comes first, so NON_POSITIVE_RETURN is +1 and UNDERPERFORM, which has no OUTPERFORM in it, -1."""
+    up, has = F.upper(F.coalesce(label, F.lit(""))), lambda x: F.contains(up, F.lit(x))
+    return F.when(has("POSITIVE") | has("OUTPERFORM"), 1).when(has("DRAWDOWN") | has("UNDER") | has("NON_"), -1).otherwise(0)
 
 
 def contains_any(query: str, *cols: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quantloom.functions.numeric import clamp, divide, signal_of
+from quantloom.functions.numeric import clamp, divide, finite, flag, signal_of
 
 
 def by():
@@ -34,11 +34,29 @@ def sma(x: Column, n: int) -> Column:
     return full(x, n, F.avg(x))
 
 
+def prepare(rows: DataFrame) -> DataFrame:
+    """Bars as indicators need them: typed, without null keys or closes, gaps filled from the close.
+
+    A missing open, high or low column or value follows from open and close, a missing volume is 0.
+    Of several rows of a symbol and date, real ones come first, then the highest id (is_real and id, where there are such columns)."""
+    number = lambda c: F.expr(f"try_cast(`{c}` AS double)") if c in rows.columns else F.lit(None).cast("double")
+    close, opened = F.col("close"), F.coalesce("open", "close")
+    out = rows.withColumns({c: finite(number(c)) for c in ("open", "high", "low", "close", "volume")}).withColumn("date", F.expr("try_cast(`date` AS date)"))
+    out = out.where("symbol IS NOT NULL AND date IS NOT NULL AND close IS NOT NULL")
+    first = [F.desc(F.coalesce(F.col(c), F.lit(v))) for c, v in (("is_real", False), ("id", -1)) if c in rows.columns] or [F.desc("close")]
+    out = out.withColumn("__k", F.row_number().over(W.partitionBy("symbol", "date").orderBy(*first))).where("__k = 1")
+    return out.select(
+        "symbol", "date", opened.alias("open"), F.coalesce("high", F.greatest(opened, close)).alias("high"), F.coalesce("low", F.least(opened, close)).alias("low"),
+        "close", F.coalesce("volume", F.lit(0.0)).alias("volume"),
+    )
+
+
 def trend(bars: DataFrame) -> DataFrame:
     """Simple averages of 10 to 200 bars, crosses of the 50- and 200-bar ones."""
     out = bars.withColumns({f"sma_{n}": sma(F.col("close"), n) for n in (10, 20, 50, 100, 200)})
-    above, was = F.col("sma_50") > F.col("sma_200"), F.lag("sma_50").over(by()) > F.lag("sma_200").over(by())
-    return out.withColumns({"golden_cross": F.coalesce(above & ~was, F.lit(False)), "death_cross": F.coalesce(~above & was, F.lit(False))})
+    out = out.withColumns({"__a": F.lag("sma_50").over(by()), "__b": F.lag("sma_200").over(by())})
+    a, b = F.col("sma_50"), F.col("sma_200")
+    return out.withColumns({"golden_cross": flag((F.col("__a") <= F.col("__b")) & (a > b)), "death_cross": flag((F.col("__a") >= F.col("__b")) & (a < b))}).drop("__a", "__b")
 
 
 def oscillators(bars: DataFrame) -> DataFrame:
@@ -62,7 +80,7 @@ def bands(bars: DataFrame) -> DataFrame:
     out = out.withColumns({"__tps": F.collect_list("__tp").over(last(20)), "__mean": sma(F.col("__tp"), 20), "volatility_30": full(F.col("__ret"), 30, F.stddev_samp("__ret")) * (252**0.5)})
     spread = F.aggregate("__tps", F.lit(0.0), lambda a, x: a + F.abs(x - F.col("__mean"))) / 20
     up, down = F.col("bollinger_middle") + 2 * F.col("__sd"), F.col("bollinger_middle") - 2 * F.col("__sd")
-    return out.withColumns({"bollinger_upper": up, "bollinger_lower": down, "percent_b": divide(c - down, up - down), "cci_20": divide(F.col("__tp") - F.col("__mean"), 0.015 * spread)}).drop("__tp", "__ret", "__sd", "__tps", "__mean")
+    return out.withColumns({"bollinger_upper": up, "bollinger_lower": down, "percent_b": divide(c - down, up - down), "bandwidth": divide(up - down, F.col("bollinger_middle")), "cci_20": divide(F.col("__tp") - F.col("__mean"), 0.015 * spread)}).drop("__tp", "__ret", "__sd", "__tps", "__mean")
 
 
 def drawdowns(bars: DataFrame) -> DataFrame:
@@ -106,6 +124,7 @@ def recursive(bars: DataFrame) -> DataFrame:
             pdf[f"ema_{n}"] = ema(c, n)
         pdf["macd_line"] = pdf["ema_12"] - pdf["ema_26"]
         pdf["macd_signal"] = ema(pdf["macd_line"], 9)
+        pdf["macd_histogram"] = pdf["macd_line"] - pdf["macd_signal"]
         tr = np.fmax(h - lo, np.fmax((h - c.shift()).abs(), (lo - c.shift()).abs()))
         up, down = h.diff().fillna(0.0), -lo.diff().fillna(0.0)
         wilder = lambda x: x.ewm(alpha=1 / 14, adjust=False, min_periods=14).mean()
@@ -126,12 +145,63 @@ def recursive(bars: DataFrame) -> DataFrame:
         pdf["supertrend"] = line
         return pdf.replace({np.nan: None})[names]
 
-    added = ["ema_12", "ema_26", "ema_50", "ema_200", "macd_line", "macd_signal", "plus_di", "minus_di", "adx_14", "supertrend"]
+    added = ["ema_12", "ema_26", "ema_50", "ema_200", "macd_line", "macd_signal", "macd_histogram", "plus_di", "minus_di", "adx_14", "supertrend"]
     names = ["symbol", "date", "open", "high", "low", "close", "volume", *added]
     schema = "symbol string, date date, " + ", ".join(f"{n} double" for n in names[2:])
     return bars.select(*names[:7]).groupBy("symbol").applyInPandas(run, schema)
 
 
+def enriched(bars: DataFrame) -> DataFrame:
+    """Bars with all indicators: one exchange by symbol, the recursive pass first."""
+    return cloud_and_volume(drawdowns(bands(oscillators(trend(recursive(bars))))))
+
+
+#: What a snapshot holds besides close, support and resistance.
+SNAPSHOT = (
+    "sma_10 sma_20 sma_50 sma_100 sma_200 ema_12 ema_26 ema_50 ema_200 rsi_14 macd_line macd_signal macd_histogram stochastic_k stochastic_d cci_20 roc_12 bollinger_upper bollinger_middle "
+    "bollinger_lower bandwidth percent_b atr_14 volatility_30 max_drawdown adx_14 plus_di minus_di supertrend tenkan kijun senkou_a senkou_b chikou obv volume_sma_20 volume_ratio_20"
+).split()
+
+
+def snapshot(bars: DataFrame) -> DataFrame:
+    """Each symbol's latest row of all indicators to 6 digits, nearest pivots, and the conditions that rules ask for (missing: false)."""
+    every = enriched(bars)
+    first = W.partitionBy("symbol").orderBy(F.desc("date"))
+    top = every.withColumn("__k", F.row_number().over(first)).where("__k = 1")
+    top = top.select("symbol", "date", "close", *[F.round(c, 6).alias(c) for c in SNAPSHOT], "golden_cross", "death_cross")
+    top = top.join(pivots(bars).drop("close"), "symbol", "left")
+    c = F.col
+    return top.withColumns({
+        "above_sma50": flag(c("close") > c("sma_50")), "above_sma200": flag(c("close") > c("sma_200")), "bullish_macd": flag(c("macd_line") > c("macd_signal")), "bearish_macd": flag(c("macd_line") < c("macd_signal")),
+        "overbought": flag(c("rsi_14") >= 70), "oversold": flag(c("rsi_14") <= 30), "high_volatility": flag(c("volatility_30") >= 0.45), "near_support": flag(c("support_percent") <= 3), "near_resistance": flag(c("resistance_percent") <= 3),
+    })
+
+
+def features(bars: DataFrame) -> DataFrame:
+    """Features of every bar for models: returns, distances, and sub-scores of their own kind, from what is known at that bar."""
+    c = F.col
+    out = enriched(bars)
+    before = lambda n: divide(c("close"), F.lag("close", n).over(by())) - 1
+    recent = F.when(F.count("close").over(last(60)) >= 20, F.max("close").over(last(60)))
+    out = out.withColumns({
+        "return_1": before(1), "return_5": before(5), "return_20": before(20), "price_vs_sma50": divide(c("close"), c("sma_50")) - 1, "price_vs_sma200": divide(c("close"), c("sma_200")) - 1,
+        "sma50_vs_sma200": divide(c("sma_50"), c("sma_200")) - 1, "max_drawdown_recent": divide(c("close"), recent) - 1,
+    })
+    yes = lambda cond, x: F.when(cond, float(x)).otherwise(0.0)
+    within = lambda x: clamp(x.cast("double"))
+    vol, fall = c("volatility_30"), c("max_drawdown_recent")
+    ratio = F.greatest(F.least(F.coalesce("volume_ratio_20", F.lit(1.0)) - 1, F.lit(1.0)), F.lit(-1.0))
+    out = out.withColumns({
+        "trend_score": within(30 + yes(c("price_vs_sma50") > 0, 25) + yes(c("price_vs_sma200") > 0, 25) + yes(c("sma50_vs_sma200") > 0, 20)),
+        "momentum_score": within(45 + yes(c("rsi_14").between(40, 65), 25) + yes(c("macd_histogram") > 0, 20) + yes(c("roc_12") > 0, 10) - yes((c("rsi_14") > 75) | (c("rsi_14") < 25), 20)),
+        "volatility_score": within(100 - F.coalesce(vol, F.lit(0.3)) * 100 + F.coalesce(fall, F.lit(-0.2)) * 80),
+        "volume_score": within(50 + ratio * 25), "support_resistance_score": within(65 - F.abs(F.coalesce("percent_b", F.lit(0.5)) - 0.5) * 45),
+        "risk_penalty": within(F.coalesce(vol, F.lit(0.25)) * 55 + F.abs(F.coalesce(fall, F.lit(-0.15))) * 120),
+    })
+    total = c("trend_score") * 0.3 + c("momentum_score") * 0.25 + c("volatility_score") * 0.15 + c("volume_score") * 0.1 + c("support_resistance_score") * 0.1 - c("risk_penalty") * 0.1
+    return out.withColumn("technical_score", within(total))
+
+
 def rolling_score(bars: DataFrame) -> DataFrame:
     """score 0 to 100 of every bar from what is known at that bar, and its signal."""
     out = drawdowns(bands(oscillators(trend(recursive(bars)))))

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quantloom.functions.numeric import divide
+from quantloom.functions.dates import holding_days
+from quantloom.functions.numeric import divide, flag
 
-#: Class shocks in percent of the stress presets.
-PRESETS = {"crash": {"stock": -30.0, "etf": -25.0, "crypto": -50.0, "bond": -5.0, "bond_etf": -5.0}, "rates_up": {"stock": -8.0, "etf": -7.0, "crypto": -12.0, "bond": -10.0, "bond_etf": -9.0}}
-
-#: The six scenarios of the reference: class shocks in percent.
+#: Class shocks in percent of the six scenarios.
 SCENARIOS = {
     "MARKET_CRASH": {"stock": -25.0, "etf": -22.0, "crypto": -45.0, "bond": -3.0, "bond_etf": -5.0},
     "TECH_SELLOFF": {"stock": -18.0, "etf": -12.0, "crypto": -25.0, "bond": 1.0, "bond_etf": 0.0},
@@ -30,54 +28,110 @@ def latest(bars: DataFrame) -> DataFrame:
     return top.withColumn("change_percent", (divide(F.col("close"), F.col("previous_close")) - 1) * 100)
 
 
-def value(positions: DataFrame, prices: DataFrame, assets: DataFrame) -> DataFrame:
-    """Positions at latest prices with unrealised result and weight; NULL values where no price is known."""
+#: Limits in percent of the whole portfolio.
+LIMITS = {"asset": 25.0, "class": 50.0, "crypto": 15.0, "least_cash": 2.0, "most_cash": 35.0, "weak": 12.0, "three": 70.0}
+
+
+def value(positions: DataFrame, prices: DataFrame, assets: DataFrame, cash: float | Column = 0.0) -> DataFrame:
+    """Positions at latest prices with unrealised result and weight in all that is held, ``cash`` included; NULL values where no price is known."""
     out = positions.join(prices.select("symbol", F.col("close").alias("price")), "symbol", "left").join(assets.select("symbol", "asset_type", "currency", "risk_level"), "symbol", "left")
-    out = out.withColumn("value", F.col("quantity") * F.col("price"))
-    out = out.withColumns({"unrealized": F.col("value") - F.col("invested_amount"), "weight": divide(F.col("value") * 100, F.sum("value").over(W.partitionBy()))})
+    out = out.withColumn("value", F.col("quantity") * F.col("price")).persist()  # a row a position, used twice
+    total = out.agg(F.sum("value")).scalar() + (F.lit(cash) if isinstance(cash, float) else cash)  # one number, not a window over all rows
+    out = out.withColumns({"unrealized": F.col("value") - F.col("invested_amount"), "weight": divide(F.col("value") * 100, total)})
     return out.withColumns({"unrealized_percent": divide(F.col("unrealized") * 100, F.col("invested_amount")), "class_weight": F.sum("weight").over(W.partitionBy("asset_type"))})
 
 
-def recommend(valued: DataFrame, signals: DataFrame, most: float = 25.0, most_class: float = 50.0, most_crypto: float = 15.0) -> DataFrame:
-    rows = valued.join(signals.select("symbol", "signal", "score"), "symbol", "left")
-    buy = F.col("signal").isin("BUY", "STRONG_BUY")
+def summary(valued: DataFrame, cash: Column, initial: Column) -> DataFrame:
+    """One row: cash, invested and total value, unrealised result and its percentage of the initial cash, weights of classes and currencies as maps."""
+    shares = lambda by: F.map_from_entries(F.array_sort(F.collect_list(F.struct(by, "share"))))
+    total = valued.agg(F.coalesce(F.sum("value"), F.lit(0.0))).scalar() + cash
+    parts = [valued.groupBy(c).agg(F.round(F.sum("value") * 100 / F.first(total), 2).alias("share")).agg(shares(c)).scalar().alias(n) for c, n in (("asset_type", "by_class"), ("currency", "by_currency"))]
+    row = valued.agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("invested"), F.coalesce(F.sum("unrealized"), F.lit(0.0)).alias("unrealized"), F.count(F.lit(1)).alias("positions"))
+    row = row.withColumns({"cash": cash, "total": F.col("invested") + cash, "unrealized_percent": F.coalesce(divide(F.col("unrealized") * 100, initial), F.lit(0.0))})
+    return row.select("*", *parts)
+
+
+def recommend(valued: DataFrame, signals: DataFrame, assets: DataFrame, limits: dict[str, float] = LIMITS) -> DataFrame:
+    """What to do about every asset, held or not: signals (symbol, signal, score) within the limits of weights."""
+    classes = valued.groupBy("asset_type").agg(F.sum("weight").alias("class_weight"))
+    rows = assets.select("symbol", "asset_type", "risk_level").join(valued.select("symbol", "weight", "value"), "symbol", "left").join(classes, "asset_type", "left").join(signals.select("symbol", "signal", "score"), "symbol", "left")
+    rows = rows.withColumns({"weight": F.coalesce("weight", F.lit(0.0)), "class_weight": F.coalesce("class_weight", F.lit(0.0)), "__buy": flag(F.col("signal").isin("BUY", "STRONG_BUY"))})
+    c = F.col
     out = (
-        F.when(F.col("weight") > most, "TOO_CONCENTRATED").when(F.col("class_weight") > most_class, "TOO_CONCENTRATED").when((F.col("asset_type") == "crypto") & (F.col("class_weight") > most_crypto), "REDUCE")
-        .when(F.col("risk_level").isin("high", "very_high") & ~F.coalesce(buy, F.lit(False)), "AVOID").when(F.col("signal") == "SELL", "SELL").when(F.col("signal") == "REDUCE", "REDUCE")
-        .when(buy & (F.col("weight") < 0.8 * most), "BUY_ALLOWED").otherwise("HOLD")
+        F.when((c("weight") >= limits["asset"]) | (c("class_weight") >= limits["class"]), "BLOCK_BUY_TOO_CONCENTRATED")
+        .when((c("asset_type") == "crypto") & (c("class_weight") >= limits["crypto"]), "BLOCK_BUY_HIGH_RISK").when(F.lower("risk_level").isin("high", "very_high") & ~c("__buy"), "BLOCK_BUY_HIGH_RISK")
+        .when(c("signal").isin("SELL", "REDUCE"), c("signal")).when(c("__buy") & (c("weight") < 0.8 * limits["asset"]), "BUY_ALLOWED").otherwise("HOLD")
+    )
+    return rows.withColumn("recommendation", out).drop("__buy")
+
+
+def warnings(valued: DataFrame, signals: DataFrame, cash: Column, limits: dict[str, float] = LIMITS) -> DataFrame:
+    """level, code, subject, value of every broken limit; none where nothing is held and there is no cash."""
+    say = lambda cond, level, code, subject, v: F.when(cond, F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"), subject.cast("string").alias("subject"), v.cast("double").alias("value")))
+    each = lambda df, *said: df.select(F.inline(F.array_compact(F.array(*said))))
+    c, none = F.col, F.lit(None)
+    rows = valued.join(signals.select("symbol", "signal"), "symbol", "left")
+    kind = valued.groupBy("asset_type").agg(F.sum("weight").alias("w"))
+    three = valued.orderBy(F.desc_nulls_last("weight"), "symbol").limit(3).agg(F.sum("weight").alias("three"))
+    whole = valued.agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("held")).crossJoin(three).withColumn("share", F.when(c("held") + cash > 0, cash * 100 / (c("held") + cash)))  # one row each
+    return (
+        each(rows, say(c("weight") > limits["asset"], "WARNING", "SINGLE_ASSET_CONCENTRATION", c("symbol"), c("weight")), say((c("weight") > limits["weak"]) & c("signal").isin("SELL", "REDUCE"), "WARNING", "WEAK_SIGNAL_OVERWEIGHT", c("symbol"), c("weight")))
+        .unionByName(each(kind, say(c("w") > limits["class"], "WARNING", "ASSET_CLASS_CONCENTRATION", c("asset_type"), c("w")), say((c("asset_type") == "crypto") & (c("w") > limits["crypto"]), "WARNING", "CRYPTO_OVERWEIGHT", none, c("w"))))
+        .unionByName(each(whole, say(c("share") > limits["most_cash"], "INFO", "HIGH_CASH", none, c("share")), say(c("share") < limits["least_cash"], "WARNING", "LOW_CASH", none, c("share")), say(c("three") > limits["three"], "WARNING", "TOP_THREE_CONCENTRATION", none, c("three"))))
     )
-    return rows.withColumn("recommendation", out)
-
-
-def warnings(recommended: DataFrame, most: float = 25.0, most_class: float = 50.0, most_crypto: float = 15.0) -> DataFrame:
-    """code, subject, value of every broken limit."""
-    rows = recommended
-    kind = rows.select("asset_type", "class_weight").distinct()
-    three = rows.orderBy(F.desc("weight"), "symbol").limit(3).agg(F.sum("weight").alias("value"))
-    parts = [
-        rows.where(F.col("weight") > most).select(F.lit("SINGLE_ASSET_CONCENTRATION").alias("code"), F.col("symbol").alias("subject"), F.col("weight").alias("value")),
-        rows.where((F.col("weight") > 12) & F.col("signal").isin("SELL", "REDUCE")).select(F.lit("WEAK_SIGNAL_OVERWEIGHT"), "symbol", "weight"),
-        kind.where(F.col("class_weight") > most_class).select(F.lit("ASSET_CLASS_CONCENTRATION"), "asset_type", "class_weight"),
-        kind.where((F.col("asset_type") == "crypto") & (F.col("class_weight") > most_crypto)).select(F.lit("CRYPTO_OVERWEIGHT"), "asset_type", "class_weight"),
-        three.where("value > 70").select(F.lit("TOP_THREE_CONCENTRATION"), F.lit("portfolio"), "value"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
-
-
-def allocate(bars: DataFrame, signals: DataFrame, lookback: int = 120) -> DataFrame:
-    """Weights by four methods: equal, risk parity, score, and inverse volatility scaled to a target of 15 %."""
+
+
+#: How many assets to buy the board shows.
+BUYS = 6
+
+
+def board(recommended: DataFrame, warned: DataFrame) -> DataFrame:
+    """What to do today: place, kind, priority, symbol, code, score, weight; one OK row if there is nothing."""
+    c, held, none = F.col, F.col("weight") > 0, F.lit(None)
+    rows = recommended.withColumn("kind", (
+        F.when(held & (flag(c("signal") == "SELL") | (c("recommendation") == "SELL")), "SELL").when(held & (flag(c("signal") == "REDUCE") | (c("recommendation") == "REDUCE")), "REDUCE")
+        .when(~held & (c("recommendation") == "BUY_ALLOWED"), "BUY")
+    )).where("kind IS NOT NULL")
+    strong = flag((c("signal") == "STRONG_BUY") | (c("score") >= 75))
+    rows = rows.select("kind", F.when((c("kind") == "SELL") | ((c("kind") == "BUY") & strong), "HIGH").otherwise("MEDIUM").alias("priority"), "symbol", c("recommendation").alias("code"), "score", "weight")
+    buys = rows.where("kind = 'BUY'").orderBy(F.desc_nulls_last("score"), "symbol").limit(BUYS)
+    risks = warned.select(F.lit("RISK").alias("kind"), F.when(c("level") == "WARNING", "HIGH").otherwise("LOW").alias("priority"), c("subject").alias("symbol"), "code", none.cast("double").alias("score"), none.cast("double").alias("weight"))
+    found = rows.where("kind != 'BUY'").unionByName(buys).unionByName(risks)
+    quiet = found.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit("OK").alias("kind"), F.lit("LOW").alias("priority"), none.cast("string").alias("symbol"), F.lit("NOTHING_URGENT").alias("code"), none.cast("double").alias("score"), none.cast("double").alias("weight"))
+    rank = F.when(c("priority") == "HIGH", 0).when(c("priority") == "MEDIUM", 1).otherwise(2)
+    return found.unionByName(quiet).withColumn("rank", rank)
+
+
+def headline(acted: DataFrame) -> DataFrame:
+    """How many of each kind the board has."""
+    return acted.agg(*[F.count_if(F.col("kind") == k).alias(k.lower()) for k in ("BUY", "REDUCE", "SELL", "RISK")])
+
+
+def allocate(bars: DataFrame, signals: DataFrame, lookback: int = 120, target: float = 0.15, most: float | None = None) -> DataFrame:
+    """Weights by four methods: equal, risk parity, score, and inverse volatility scaled to a target; all but the last capped at ``most`` first.
+
+    A cap that can't be met (most times assets below 1) or of 1 or more is ignored. What is cut goes to the others by the room that they have left."""
     late = W.partitionBy("symbol").orderBy(F.desc("date"))
-    rows = bars.withColumn("__k", F.row_number().over(late)).where(F.col("__k") <= lookback)
+    rows = bars.where("close IS NOT NULL").withColumn("__k", F.row_number().over(late)).where(F.col("__k") <= lookback)
     rows = rows.withColumn("__r", divide(F.col("close"), F.lag("close").over(W.partitionBy("symbol").orderBy("date"))) - 1)
     vol = rows.groupBy("symbol").agg(F.coalesce(F.when(F.count("__r") >= 2, F.stddev_samp("__r") * (252**0.5)), F.lit(0.0)).alias("volatility"))
-    out = vol.join(signals.select("symbol", "score"), "symbol").withColumns({"__inv": F.when(F.col("volatility") > 1e-6, 1 / F.col("volatility")).otherwise(0.0), "__above": F.greatest(F.col("score") - 50, F.lit(0.0))})
-    equal = 1 / F.count(F.lit(1)).over(W.partitionBy())
-    out = out.withColumns({"equal": equal, "risk_parity": F.coalesce(divide(F.col("__inv"), F.sum("__inv").over(W.partitionBy())), equal), "score_weighted": F.coalesce(divide(F.col("__above"), F.sum("__above").over(W.partitionBy())), equal)})
-    risk = F.sum(F.col("risk_parity") * F.col("volatility")).over(W.partitionBy())
-    return out.withColumn("vol_target", F.col("risk_parity") * F.least(F.lit(1.0), F.coalesce(divide(F.lit(0.15), risk), F.lit(1.0)))).drop("__inv", "__above")
+    out = vol.join(signals.select("symbol", "score"), "symbol").withColumns({"__inv": F.when(F.col("volatility") > 1e-6, 1 / F.col("volatility")).otherwise(0.0), "__above": F.greatest(F.coalesce("score", F.lit(0.0)) - 50, F.lit(0.0))}).persist()  # a row an asset, used for its sums too
+    sums = out.agg(F.struct(F.count(F.lit(1)).alias("n"), F.sum("__inv").alias("inv"), F.sum("__above").alias("above"))).scalar()
+    equal = 1 / sums["n"]
+    out = out.withColumns({"equal": equal, "risk_parity": F.coalesce(divide(F.col("__inv"), sums["inv"]), equal), "score_weighted": F.coalesce(divide(F.col("__above"), sums["above"]), equal)})
+    names = ["equal", "risk_parity", "score_weighted"]
+    if most is not None and 0 < most < 1:
+        room = out.agg(F.struct(F.count(F.lit(1)).alias("n"), *[F.struct(F.sum(F.greatest(F.col(n) - most, F.lit(0.0))).alias("excess"), F.sum(F.greatest(most - F.col(n), F.lit(0.0))).alias("room")).alias(n) for n in names])).scalar()
+        share = lambda n: F.least(F.col(n), F.lit(most)) + F.coalesce(divide(room[n]["excess"], room[n]["room"]), F.lit(0.0)) * F.greatest(most - F.col(n), F.lit(0.0))
+        out = out.withColumns({n: F.when(most * room["n"] < 1 - 1e-9, F.col(n)).otherwise(share(n)) for n in names})
+    risk = out.agg(F.sum(F.col("risk_parity") * F.col("volatility"))).scalar()
+    return out.withColumn("vol_target", F.col("risk_parity") * F.least(F.lit(1.0), F.coalesce(divide(F.lit(target), risk), F.lit(1.0)))).drop("__inv", "__above")
+
+
+def plan_quantities(allocated: DataFrame, prices: DataFrame, weight: str, capital: float) -> DataFrame:
+    """Capital and whole quantity of each symbol at its latest price; 0 where none is known."""
+    out = allocated.join(prices.select("symbol", F.col("close").alias("price")), "symbol", "left").withColumn("capital", F.col(weight) * capital)
+    return out.withColumn("quantity", F.coalesce(F.floor(divide(F.col("capital"), F.when(F.col("price") > 0, F.col("price")))), F.lit(0)).cast("long"))
 
 
 def stress(valued: DataFrame, shocks: dict[str, float]) -> DataFrame:
@@ -87,56 +141,148 @@ def stress(valued: DataFrame, shocks: dict[str, float]) -> DataFrame:
     return out.withColumn("impact", F.col("stressed") - F.col("value"))
 
 
-def scenarios(valued: DataFrame, cash: float = 0.0) -> DataFrame:
-    """Each scenario's value of the portfolio before and after, its loss in percent and risk level; positions without a class count as stock."""
-    shocks = F.array(*[F.struct(F.lit(n).alias("scenario"), F.create_map(*[F.lit(x) for kv in m.items() for x in kv]).alias("shocks")) for n, m in SCENARIOS.items()])
-    rows = valued.select(F.lower(F.coalesce("asset_type", F.lit("stock"))).alias("kind"), "value", F.inline(shocks))
-    shock = F.coalesce(F.element_at("shocks", F.col("kind")), F.lit(0.0))
-    stressed = F.round(F.greatest(F.col("value") * (1 + shock / 100), F.lit(0.0)), 2)
-    out = rows.groupBy("scenario").agg((F.coalesce(F.sum("value"), F.lit(0.0)) + cash).alias("value"), (F.coalesce(F.sum(stressed), F.lit(0.0)) + cash).alias("stressed"))
+def impacts(valued: DataFrame, presets: dict[str, dict[str, float]] = SCENARIOS, symbol_shocks: dict[str, float] | None = None) -> DataFrame:
+    """scenario, symbol, kind, value, shock, stressed, impact, contribution (percent of the scenario's loss) of every position; a symbol's own shock goes before its class's.
+
+    Positions without a class count as stock, classes without a shock stay as they are."""
+    table = lambda m: F.create_map(*[F.lit(x) for kv in m.items() for x in kv]).cast("map<string,double>") if m else F.lit(None).cast("map<string,double>")
+    shocks = F.array(*[F.struct(F.lit(n).alias("scenario"), table({k.lower(): float(v) for k, v in m.items()}).alias("shocks")) for n, m in presets.items()])
+    own = F.try_element_at(table({k.upper(): float(v) for k, v in (symbol_shocks or {}).items()}), F.upper("symbol"))
+    rows = valued.select("symbol", F.lower(F.coalesce("asset_type", F.lit("stock"))).alias("kind"), "value", F.inline(shocks))
+    rows = rows.withColumn("shock", F.coalesce(own, F.try_element_at("shocks", F.col("kind")), F.lit(0.0))).drop("shocks")
+    rows = rows.withColumn("impact", F.col("value") * F.col("shock") / 100).withColumn("stressed", F.greatest(F.col("value") + F.col("impact"), F.lit(0.0)))
+    loss = rows.groupBy("scenario").agg(F.sum("impact").alias("__loss"))
+    return rows.join(loss, "scenario").withColumn("contribution", F.when(F.col("__loss") < 0, F.col("impact") * 100 / F.col("__loss")).otherwise(0.0)).drop("__loss")
+
+
+def class_impacts(hit: DataFrame) -> DataFrame:
+    out = hit.groupBy("scenario", "kind").agg(F.sum("value").alias("value"), F.sum("stressed").alias("stressed")).withColumn("impact", F.col("stressed") - F.col("value"))
+    return out.withColumn("shock", F.when(F.col("value") > 0, F.col("impact") * 100 / F.col("value")).otherwise(0.0))
+
+
+def scenarios(valued: DataFrame, cash: float | Column = 0.0, presets: dict[str, dict[str, float]] = SCENARIOS, symbol_shocks: dict[str, float] | None = None) -> DataFrame:
+    """Each scenario's value of the portfolio before and after, its loss in percent, risk level and tips (codes)."""
+    if "symbol" not in valued.columns:
+        valued = valued.withColumn("symbol", F.lit(None).cast("string"))
+    cash = F.lit(cash) if isinstance(cash, (int, float)) else cash
+    hit = impacts(valued, presets, symbol_shocks)
+    kinds = class_impacts(hit)
+    worst = kinds.groupBy("scenario").agg(F.min_by(F.struct("kind", "impact"), F.struct("impact", "kind")).alias("__worst"), F.coalesce(F.sum(F.when(F.col("kind") == "crypto", F.col("value"))), F.lit(0.0)).alias("__crypto"))
+    out = hit.groupBy("scenario").agg((F.coalesce(F.sum("value"), F.lit(0.0)) + cash).alias("value"), (F.coalesce(F.sum(F.floor(F.col("stressed") * 100 + 0.5) / 100), F.lit(0.0)) + cash).alias("stressed")).join(worst, "scenario")
     out = out.withColumn("loss", F.round(F.col("stressed") - F.col("value"), 2))
     out = out.withColumn("loss_percent", F.coalesce(F.when(F.col("value") > 0, F.round(divide(F.col("loss") * 100, F.col("value")), 2)), F.lit(0.0)))
-    return out.withColumn("risk_level", F.when(F.col("loss_percent") <= -25, "EXTREME").when(F.col("loss_percent") <= -15, "HIGH").when(F.col("loss_percent") <= -5, "MEDIUM").otherwise("LOW"))
+    out = out.withColumn("risk_level", F.when(F.col("loss_percent") <= -25, "EXTREME").when(F.col("loss_percent") <= -15, "HIGH").when(F.col("loss_percent") <= -5, "MEDIUM").otherwise("LOW"))
+    tips = F.array_compact(F.array(
+        F.when(F.col("risk_level").isin("HIGH", "EXTREME"), "REDUCE_RISK"), F.when(F.coalesce(divide(F.col("__crypto"), F.col("value")), F.lit(0.0)) > 0.15, "TRIM_CRYPTO"),
+        F.when(F.coalesce(F.when(F.col("value") > 0, cash * 100 / F.col("value")), F.lit(0.0)) < 5, "RAISE_CASH"), F.when(F.col("__worst.impact") < 0, F.concat(F.lit("DIVERSIFY:"), F.col("__worst.kind"))),
+    ))
+    return out.withColumn("tips", F.array_join(F.when(F.size(tips) > 0, tips).otherwise(F.array(F.lit("NONE_URGENT"))), ",")).drop("__worst", "__crypto")
 
 
 def rebalance(valued: DataFrame, target: DataFrame, weight: str, capital: float) -> DataFrame:
-    """Trades from held to target values beyond one unit of currency."""
-    rows = valued.select("symbol", "value", "price").join(target.select("symbol", F.col(weight).alias("w")), "symbol", "full")
-    rows = rows.withColumn("delta", F.coalesce(F.col("w") * capital, F.lit(0.0)) - F.coalesce("value", F.lit(0.0))).where(F.abs("delta") > 1)
-    return rows.select("symbol", F.when(F.col("delta") > 0, "BUY").otherwise("SELL").alias("side"), "delta", divide(F.abs("delta"), F.col("price")).alias("quantity"))
+    """From held to target values: action (HOLD within one unit of currency), delta, quantity; latest prices of both sides."""
+    rows = valued.select("symbol", "value", "price").join(target.select("symbol", F.col(weight).alias("w"), *(["close"] if "close" in target.columns else [])), "symbol", "full")
+    price = F.coalesce("close", "price") if "close" in target.columns else F.col("price")
+    rows = rows.withColumn("delta", F.coalesce(F.col("w") * capital, F.lit(0.0)) - F.coalesce("value", F.lit(0.0)))
+    action = F.when(F.col("delta") > 1, "BUY").when(F.col("delta") < -1, "SELL").otherwise("HOLD")
+    return rows.select("symbol", action.alias("side"), "delta", divide(F.abs("delta"), price).alias("quantity"))
 
 
-def fifo(orders: DataFrame) -> DataFrame:
-    """Matched pieces of buys and sells (symbol, year, quantity, cost, proceeds, sell, buy): first in, first out.
+def micro(x: Column) -> Column:
+    """Money in whole millionths, whose sums don't depend on their order."""
+    return F.floor(x * 1e6 + 0.5).cast("long")
+
+
+def cents_of(micros: Column) -> Column:
+    return F.floor(micros / 10_000 + 0.5) / 100
 
-    Buys and matched sells are intervals of cumulative quantity; their merged end points cut
-    the line into pieces with one buy and one sell each: windows only, no pair of all orders.
-    What is sold beyond the holding is dropped."""
+
+def lots(orders: DataFrame) -> DataFrame:
+    """Every buy and matched sell as an interval of cumulative quantity: symbol, side, start, end, unit (price with fees), order_date, seq, matched (the symbol's sold quantity).
+
+    What is sold beyond the holding is dropped: the holding after each order is its running sum less that sum's least value below 0."""
     way = W.partitionBy("symbol").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
     buy = F.col("side") == "BUY"
-    rows = orders.withColumn("__s", F.sum(F.when(buy, F.col("quantity")).otherwise(-F.col("quantity"))).over(way))
+    rows = orders.where("quantity > 0").withColumn("__s", F.sum(F.when(buy, F.col("quantity")).otherwise(-F.col("quantity"))).over(way))
     rows = rows.withColumn("__held", F.col("__s") - F.least(F.lit(0.0), F.min("__s").over(way)))
     before = F.coalesce(F.lag("__held").over(W.partitionBy("symbol").orderBy("seq")), F.lit(0.0))
-    rows = rows.withColumn("__q", F.when(buy, F.col("quantity")).otherwise(before - F.col("__held")))
+    rows = rows.withColumn("__q", F.when(buy, F.col("quantity")).otherwise(before - F.col("__held"))).where("__q > 0")
     side = W.partitionBy("symbol", "side").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    unit = (F.col("price") * F.col("quantity") + F.when(buy, F.col("fees")).otherwise(-F.col("fees"))) / F.col("quantity")
-    ends = rows.withColumns({"__end": F.sum("__q").over(side), "__x": F.struct("seq", unit.alias("unit"), "order_date")}).where("__q > 0")
-    points = ends.groupBy("symbol", "__end").agg(F.max(F.when(buy, F.col("__x"))).alias("b"), F.max(F.when(~buy, F.col("__x"))).alias("s"))
-    line = W.partitionBy("symbol").orderBy("__end")
-    rest = line.rowsBetween(0, W.unboundedFollowing)
-    cut = points.select("symbol", (F.col("__end") - F.coalesce(F.lag("__end").over(line), F.lit(0.0))).alias("quantity"), F.first("b", True).over(rest).alias("b"), F.first("s", True).over(rest).alias("s"))
+    unit = F.col("price") + F.when(buy, F.col("fees")).otherwise(-F.col("fees")) / F.col("quantity")
+    rows = rows.withColumns({"end": F.sum("__q").over(side), "unit": unit})
+    rows = rows.withColumn("matched", F.coalesce(F.sum(F.when(~buy, F.col("__q"))).over(W.partitionBy("symbol")), F.lit(0.0)))
+    return rows.select("symbol", "side", (F.col("end") - F.col("__q")).alias("start"), "end", "unit", "order_date", "seq", "matched")
+
+
+def fifo(orders: DataFrame) -> DataFrame:
+    """Matched pieces of buys and sells, first in, first out: symbol, year, quantity, cost and proceeds (whole millionths), sell, sell_date, buy, buy_date.
+
+    The merged end points of both kinds of intervals cut the line into pieces with one buy and one sell each; running
+    windows find them, from the far end to the near one, so time grows with the orders and no pair of all is made."""
+    ends = lots(orders).withColumn("x", F.struct("seq", "unit", "order_date"))
+    buy = F.col("side") == "BUY"
+    points = ends.groupBy("symbol", "end").agg(F.max(F.when(buy, F.col("x"))).alias("b"), F.max(F.when(~buy, F.col("x"))).alias("s"))
+    line = W.partitionBy("symbol").orderBy("end")
+    onward = W.partitionBy("symbol").orderBy(F.desc("end")).rowsBetween(W.unboundedPreceding, 0)
+    cut = points.withColumn("quantity", F.col("end") - F.coalesce(F.lag("end").over(line), F.lit(0.0))).withColumns({"b": F.last("b", True).over(onward), "s": F.last("s", True).over(onward)})
     q = F.col("quantity")
-    return cut.where("b IS NOT NULL AND s IS NOT NULL").select("symbol", F.year("s.order_date").alias("year"), "quantity", (q * F.col("b.unit")).alias("cost"), (q * F.col("s.unit")).alias("proceeds"), F.col("s.seq").alias("sell"), F.col("b.seq").alias("buy"))
+    return cut.where("b IS NOT NULL AND s IS NOT NULL").select(
+        "symbol", F.year("s.order_date").alias("year"), "quantity", micro(q * F.col("b.unit")).alias("cost"), micro(q * F.col("s.unit")).alias("proceeds"),
+        F.col("s.seq").alias("sell"), F.col("s.order_date").alias("sell_date"), F.col("b.seq").alias("buy"), F.col("b.order_date").alias("buy_date"),
+    )
+
 
+#: Tax on gains in percent.
+RATES = {"bond": 12.5, "standard": 26.0}
 
-def tax(sells: DataFrame, assets: DataFrame) -> DataFrame:
-    """Per category and year: gains, losses, losses carried on, tax (bonds 12.5 %, others 26 %). ``sells``: symbol, year, gain."""
-    kind = F.when(F.col("asset_type").isin("bond", "bond_etf"), "bonds").otherwise("others")
-    rows = sells.join(assets.select("symbol", "asset_type"), "symbol").groupBy(kind.alias("category"), "year")
-    rows = rows.agg(F.sum(F.greatest("gain", F.lit(0.0))).alias("gains"), F.sum(F.greatest(-F.col("gain"), F.lit(0.0))).alias("losses"))
+
+def category(asset_type: Column) -> Column:
+    return F.when(asset_type.isin("bond", "bond_etf"), "bond").otherwise("standard")
+
+
+def tax_events(pieces: DataFrame, assets: DataFrame) -> DataFrame:
+    """One row a matched sell: quantity, cost, proceeds and gain (to cents), rate, and days held since its last lot was bought."""
+    out = pieces.groupBy("symbol", "sell", "sell_date", "year").agg(F.sum("quantity").alias("quantity"), F.sum("cost").alias("__c"), F.sum("proceeds").alias("__p"), F.max_by("buy_date", "buy").alias("opened"))
+    out = out.join(assets.select("symbol", "asset_type"), "symbol").withColumn("category", category(F.col("asset_type")))
+    out = out.withColumns({"cost": cents_of(F.col("__c")), "proceeds": cents_of(F.col("__p")), "gain": cents_of(F.col("__p") - F.col("__c")), "holding_days": holding_days(F.col("opened"), F.col("sell_date"))})
+    return out.withColumn("rate", F.when(F.col("category") == "bond", RATES["bond"]).otherwise(RATES["standard"])).drop("__c", "__p", "opened")
+
+
+def tax(events: DataFrame) -> DataFrame:
+    """Per category and year: gains, losses, losses used and carried on, tax. ``events``: category, year, gain (to cents); years without a category's events carry its losses on."""
+    whole = lambda x: F.sum(F.floor(x * 100 + 0.5).cast("long"))
+    rows = events.groupBy("category", "year").agg(whole(F.greatest("gain", F.lit(0.0))).alias("g"), whole(F.greatest(-F.col("gain"), F.lit(0.0))).alias("l"))
+    spine = rows.select("year").distinct().select("year", F.explode(F.array(*map(F.lit, sorted(RATES)))).alias("category"))
+    rows = spine.join(rows, ["category", "year"], "left").withColumns({"g": F.coalesce("g", F.lit(0)), "l": F.coalesce("l", F.lit(0))})
     way = W.partitionBy("category").orderBy("year").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("__c", F.sum(F.col("losses") - F.col("gains")).over(way))
-    rows = rows.withColumn("carry", F.col("__c") - F.least(F.lit(0.0), F.min("__c").over(way)))
-    before = F.coalesce(F.lag("carry").over(W.partitionBy("category").orderBy("year")), F.lit(0.0))
-    due = F.greatest(F.col("gains") - F.col("losses") - before, F.lit(0.0)) * F.when(F.col("category") == "bonds", 0.125).otherwise(0.26)
-    return rows.withColumn("tax", due).drop("__c")
+    rows = rows.withColumn("__c", F.sum(F.col("l") - F.col("g")).over(way))
+    rows = rows.withColumn("__carry", F.col("__c") - F.least(F.lit(0), F.min("__c").over(way)))
+    there = F.col("l") + F.coalesce(F.lag("__carry").over(W.partitionBy("category").orderBy("year")), F.lit(0))
+    due = F.greatest(F.col("g") - there, F.lit(0)) * F.when(F.col("category") == "bond", RATES["bond"]).otherwise(RATES["standard"]) / 10_000
+    return rows.select("category", "year", (F.col("g") / 100).alias("gains"), (F.col("l") / 100).alias("losses"), (F.least("g", there) / 100).alias("used"), (F.col("__carry") / 100).alias("carry"), due.alias("tax"))
+
+
+def tax_years(taxed: DataFrame) -> DataFrame:
+    """All categories of a year together."""
+    out = taxed.groupBy("year").agg(*[F.round(F.sum(c), 2).alias(c) for c in ("gains", "losses", "used", "carry", "tax")])
+    return out.withColumn("net", F.round(F.col("gains") - F.col("losses"), 2))
+
+
+def open_lots(orders: DataFrame, prices: DataFrame, assets: DataFrame) -> DataFrame:
+    """What is left of all buys after first in, first out: quantity, cost, value and unrealised gain at the latest price, to cents."""
+    left = F.col("end") - F.greatest("start", "matched")
+    rows = lots(orders).where("side = 'BUY' AND end > matched").groupBy("symbol").agg(F.sum(left).alias("quantity"), F.sum(micro(left * F.col("unit"))).alias("__c"))
+    rows = rows.join(prices.select("symbol", "close"), "symbol", "left").join(assets.select("symbol", "asset_type"), "symbol", "left")
+    worth = micro(F.col("quantity") * F.when(F.col("close") != 0, F.col("close")))
+    return rows.select("symbol", "asset_type", "quantity", cents_of(F.col("__c")).alias("cost"), cents_of(worth).alias("value"), cents_of(worth - F.col("__c")).alias("unrealized"))
+
+
+def paper_account(orders: DataFrame, initial: float) -> DataFrame:
+    """Cash after each order of a log that is taken as it is: net amount (fees included) and running cash, by seq, of each ``account``.
+
+    Orders that lack cash or quantity aren't refused here; ``short`` marks them."""
+    way = W.partitionBy("account").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    gross = F.col("price") * F.col("quantity")
+    out = orders.withColumn("net", F.when(F.col("side") == "BUY", gross + F.col("fees")).otherwise(gross - F.col("fees")))
+    out = out.withColumn("cash", initial - F.sum(F.when(F.col("side") == "BUY", F.col("net")).otherwise(-F.col("net"))).over(way))
+    return out.withColumn("short", F.col("cash") < 0)

@@ -75,7 +75,7 @@ TREND = "t AS (SELECT *, " + ", ".join(f"{full(n, 'close', 'avg(close)')} AS sma
 
 
 @query("sma_crosses", f"""WITH {TREND} SELECT symbol, date, {r('sma_10 sma_20 sma_50 sma_100 sma_200')},
-    coalesce(sma_50 > sma_200 AND NOT lag(sma_50 > sma_200) OVER {W1}, FALSE) AS golden_cross, coalesce(NOT sma_50 > sma_200 AND lag(sma_50 > sma_200) OVER {W1}, FALSE) AS death_cross FROM t""", "prices")
+    coalesce(sma_50 > sma_200 AND lag(sma_50) OVER {W1} <= lag(sma_200) OVER {W1}, FALSE) AS golden_cross, coalesce(sma_50 < sma_200 AND lag(sma_50) OVER {W1} >= lag(sma_200) OVER {W1}, FALSE) AS death_cross FROM t""", "prices")
 def sma_crosses(spark, sf):
     return rounded(indicators.trend(views.prices(spark, sf)), "symbol", "date", "sma_10", "sma_20", "sma_50", "sma_100", "sma_200", "golden_cross", "death_cross")
 
@@ -125,11 +125,6 @@ def support_resistance(spark, sf):
     return rounded(indicators.pivots(views.prices(spark, sf)), "symbol", "close", "support", "resistance", "support_percent", "resistance_percent")
 
 
-@query("recursive_indicators")
-def recursive_indicators(spark, sf):
-    return indicators.recursive(views.prices(spark, sf))
-
-
 @query("ema_macd", f"""WITH RECURSIVE p AS (SELECT symbol, date, close, row_number() OVER {W1} AS k FROM prices),
     e AS (SELECT symbol, k, date, close AS ema_12, close AS ema_26, 0.0::DOUBLE AS macd_signal FROM p WHERE k = 1
     UNION ALL SELECT p.symbol, p.k, p.date, 2 / 13.0::DOUBLE * close + 11 / 13.0::DOUBLE * ema_12, 2 / 27.0::DOUBLE * close + 25 / 27.0::DOUBLE * ema_26,
@@ -139,21 +134,6 @@ def ema_macd(spark, sf):
     return rounded(indicators.recursive(views.prices(spark, sf)), "symbol", "date", "ema_12", "ema_26", "macd_line", "macd_signal", digits=3)
 
 
-def _scores(spark, sf):
-    return indicators.rolling_score(views.prices(spark, sf))
-
-
-@query("rolling_score_signal")
-def rolling_score_signal(spark, sf):
-    return rounded(_scores(spark, sf), "symbol", "date", "close", "score", "signal")
-
-
-@query("top_n_by_score")
-def top_n_by_score(spark, sf):
-    best = W.partitionBy("date").orderBy(F.desc("score"), "symbol")
-    return _scores(spark, sf).withColumn("place", F.row_number().over(best)).where("place <= 3").select("date", "place", "symbol", "score", "signal")
-
-
 @query("forward_targets", f"""WITH m AS (SELECT *, lead(close, 4) OVER {W1} / close - 1 AS future_return, lead(date, 4) OVER {W1} AS target_date,
     CASE WHEN count(*) OVER v = 4 THEN min(close) OVER v / close - 1 END AS worst FROM prices WINDOW v AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING))
     SELECT symbol, date, round(future_return, 5) AS future_return, target_date, round(worst, 5) AS worst, (future_return > 0)::INT AS positive_return, (worst <= -0.08)::INT AS drawdown_risk FROM m""", "prices")
@@ -211,88 +191,6 @@ def trailing_news(spark, sf):
     return rows.where("bar").select("symbol", "date", "n", F.round(F.try_divide("t", "n"), 4).alias("sentiment"))
 
 
-SIGNAL = f"""{OSC.replace('FROM prices', 'FROM prices', 1)}, signals AS (SELECT symbol, arg_max(round(coalesce(rsi_14, 50), 4), date) AS score FROM osc GROUP BY symbol)"""
-VALUED = f"""v0 AS (SELECT q.symbol, quantity, invested_amount, l.close AS price, quantity * l.close AS value, asset_type, currency, risk_level FROM positions q LEFT JOIN latest l USING (symbol) LEFT JOIN assets USING (symbol)),
-    v1 AS (SELECT *, value * 100 / sum(value) OVER () AS weight FROM v0), valued AS (SELECT *, sum(weight) OVER (PARTITION BY asset_type) AS class_weight FROM v1)"""
-
-
-def _signals(spark, sf):
-    """The latest RSI stands in for a stored score."""
-    score = F.max_by(F.round(F.coalesce("rsi_14", F.lit(50.0)), 4), "date").alias("score")
-    return indicators.oscillators(views.prices(spark, sf)).groupBy("symbol").agg(score).withColumn("signal", numeric.signal_of(F.col("score")))
-
-
-def _valued(spark, sf):
-    return portfolio.value(views.positions(spark, sf), portfolio.latest(views.prices(spark, sf)), views.assets(spark, sf))
-
-
-@query("portfolio_valuation", f"WITH {LATEST}, {VALUED} SELECT symbol, asset_type, round(value, 2) AS value, round(value - invested_amount, 4) AS unrealized, round(weight, 4) AS weight, round(class_weight, 4) AS class_weight FROM valued", "prices", "positions", "assets")
-def portfolio_valuation(spark, sf):
-    return _valued(spark, sf).select("symbol", "asset_type", F.round("value", 2).alias("value"), F.round("unrealized", 4).alias("unrealized"), F.round("weight", 4).alias("weight"), F.round("class_weight", 4).alias("class_weight"))
-
-
-@query("recommendations", f"""WITH {LATEST}, {VALUED}, {SIGNAL}, g AS (SELECT *, CASE WHEN score >= 80 THEN 'STRONG_BUY' WHEN score >= 70 THEN 'BUY' WHEN score >= 55 THEN 'HOLD' WHEN score >= 40 THEN 'REDUCE' ELSE 'SELL' END AS signal FROM signals)
-    SELECT symbol, signal, CASE WHEN weight > 25 OR class_weight > 50 THEN 'TOO_CONCENTRATED' WHEN asset_type = 'crypto' AND class_weight > 15 THEN 'REDUCE' WHEN risk_level IN ('high', 'very_high') AND NOT signal IN ('BUY', 'STRONG_BUY') THEN 'AVOID'
-    WHEN signal IN ('SELL', 'REDUCE') THEN signal WHEN signal IN ('BUY', 'STRONG_BUY') AND weight < 20 THEN 'BUY_ALLOWED' ELSE 'HOLD' END AS recommendation FROM valued JOIN g USING (symbol)""", "prices", "positions", "assets")
-def recommendations(spark, sf):
-    return portfolio.recommend(_valued(spark, sf), _signals(spark, sf)).select("symbol", "signal", "recommendation")
-
-
-@query("risk_warnings")
-def risk_warnings(spark, sf):
-    return portfolio.warnings(portfolio.recommend(_valued(spark, sf), _signals(spark, sf)))
-
-
-@query("allocation", f"""WITH {SIGNAL}, late AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS k FROM prices), rets AS (SELECT *, close / lag(close) OVER {W1} - 1 AS ret FROM late WHERE k <= 120),
-    v AS (SELECT symbol, coalesce(stddev_samp(ret), 0) * sqrt(252) AS volatility FROM rets GROUP BY symbol),
-    w AS (SELECT symbol, volatility, 1 / (count(*) OVER ())::DOUBLE AS equal, CASE WHEN volatility > 1e-6 THEN 1 / volatility ELSE 0 END AS inv, greatest(score - 50, 0) AS above FROM v JOIN signals USING (symbol)),
-    x AS (SELECT *, coalesce(inv / nullif(sum(inv) OVER (), 0), equal) AS risk_parity, coalesce(above / nullif(sum(above) OVER (), 0), equal) AS score_weighted FROM w)
-    SELECT symbol, {r('volatility equal risk_parity score_weighted')}, round(risk_parity * least(1, coalesce(.15 / nullif(sum(risk_parity * volatility) OVER (), 0), 1)), 5) AS vol_target FROM x""", "prices")
-def allocation(spark, sf):
-    return rounded(portfolio.allocate(views.prices(spark, sf), _signals(spark, sf)), "symbol", "volatility", "equal", "risk_parity", "score_weighted", "vol_target")
-
-
-@query("scenario_crash", f"""WITH {LATEST}, {VALUED}, z(asset_type, shock) AS (VALUES ('stock', -30.0), ('etf', -25.0), ('crypto', -50.0), ('bond', -5.0), ('bond_etf', -5.0))
-    SELECT asset_type, round(sum(value), 2) AS value, round(sum(greatest(value * (1 + coalesce(shock, 0)::DOUBLE / 100), 0)), 2) AS stressed FROM valued LEFT JOIN z USING (asset_type) GROUP BY asset_type""", "prices", "positions", "assets")
-def scenario_crash(spark, sf):
-    return portfolio.stress(_valued(spark, sf), portfolio.PRESETS["crash"]).select("asset_type", F.round("value", 2).alias("value"), F.round("stressed", 2).alias("stressed"))
-
-
-@query("scenario_presets")
-def scenario_presets(spark, sf):
-    return portfolio.scenarios(_valued(spark, sf))
-
-
-@query("rebalance_trades", f"""WITH {LATEST}, {VALUED}, a AS (SELECT symbol, 1 / (count(*) OVER ())::DOUBLE AS w FROM latest), d AS (SELECT symbol, coalesce(w * 1e6, 0) - coalesce(value, 0) AS delta, price FROM valued FULL JOIN a USING (symbol))
-    SELECT symbol, CASE WHEN delta > 0 THEN 'BUY' ELSE 'SELL' END AS side, round(delta, 2) AS delta FROM d WHERE abs(delta) > 1""", "prices", "positions", "assets")
-def rebalance_trades(spark, sf):
-    target = portfolio.latest(views.prices(spark, sf)).withColumn("equal", 1 / F.count(F.lit(1)).over(W.partitionBy()))
-    return portfolio.rebalance(_valued(spark, sf), target, "equal", 1e6).select("symbol", "side", F.round("delta", 2).alias("delta"))
-
-
-FIFO = """f0 AS (SELECT *, sum(CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END) OVER (PARTITION BY symbol ORDER BY seq) AS s FROM trades),
-    f1 AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY symbol ORDER BY seq)) AS held FROM f0),
-    f2 AS (SELECT *, CASE WHEN side = 'BUY' THEN quantity ELSE coalesce(lag(held) OVER (PARTITION BY symbol ORDER BY seq), 0) - held END AS q FROM f1),
-    f3 AS (SELECT *, sum(q) OVER (PARTITION BY symbol, side ORDER BY seq) AS e FROM f2),
-    pieces AS (SELECT b.symbol, year(s.order_date) AS year, least(b.e, s.e) - greatest(b.e - b.q, s.e - s.q) AS quantity, (b.price * b.quantity + b.fees) / b.quantity AS cu, (s.price * s.quantity - s.fees) / s.quantity AS pu
-    FROM f3 b JOIN f3 s ON b.symbol = s.symbol AND b.side = 'BUY' AND s.side = 'SELL' AND b.e > s.e - s.q AND s.e > b.e - b.q)"""
-
-
-def _gains(spark, sf):
-    return portfolio.fifo(views.orders(spark, sf))
-
-
-@query("fifo_realized", f"WITH {FIFO} SELECT symbol, year::INT AS year, sum(quantity) AS quantity, round(sum(quantity * cu), 2) AS cost, round(sum(quantity * pu), 2) AS proceeds FROM pieces GROUP BY symbol, year", "trades")
-def fifo_realized(spark, sf):
-    return _gains(spark, sf).groupBy("symbol", "year").agg(F.sum("quantity").alias("quantity"), F.round(F.sum("cost"), 2).alias("cost"), F.round(F.sum("proceeds"), 2).alias("proceeds"))
-
-
-@query("tax_by_year")
-def tax_by_year(spark, sf):
-    sells = _gains(spark, sf).groupBy("symbol", "year", "sell").agg(F.sum(F.col("proceeds") - F.col("cost")).alias("gain"))
-    return portfolio.tax(sells, views.assets(spark, sf))
-
-
 @query("dashboard_counts", "SELECT asset_type, risk_level, count(*) AS n FROM assets GROUP BY ALL", "assets")
 def dashboard_counts(spark, sf):
     return views.assets(spark, sf).groupBy("asset_type", "risk_level").agg(F.count(F.lit(1)).alias("n"))
@@ -303,26 +201,4 @@ def json_props(spark, sf):
     return views.table(spark, sf, "events").select("event_id", F.from_json("props", "k long").k.alias("k"))
 
 
-def _market(spark, sf):
-    grid = backtest.asof_grid(_scores(spark, sf), "close", "score")
-    return grid.join(F.broadcast(backtest.folds(grid.select("date").distinct(), 4)), "date")  # one row a trading day
-
-
-def _runs(spark, *rows):
-    schema = "run_id string, strategy string, run_fold int, buy double, sell double, top int, most double, fee double, stop double, `take` double"
-    return spark.createDataFrame([(i, s, f, 55.0, 40.0, 3, 0.2, 0.1, 8.0, 25.0) for i, s, f in rows], schema)
-
-
-@query("backtest_compare")
-def backtest_compare(spark, sf):
-    return backtest.metrics(backtest.simulate(_market(spark, sf), _runs(spark, *[(s, s, None) for s in backtest.STRATEGIES])))
-
-
-@query("backtest_equity")
-def backtest_equity(spark, sf):
-    return backtest.simulate(_market(spark, sf), _runs(spark, ("top", "TOP_N_SCORE", None)))
-
-
-@query("backtest_walk_forward")
-def backtest_walk_forward(spark, sf):
-    return backtest.metrics(backtest.simulate(_market(spark, sf), _runs(spark, *[(f"fold {k}", "SCORE_THRESHOLD", k) for k in range(4)])))
+from . import books, feeds, learning, runs, technical  # noqa: E402, F401 (they register their queries)

@@ -62,6 +62,11 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("invested_amount", F.col("quantity") * F.col("average_price"))
 
 
+def cash(spark: SparkSession, sf_dir: str) -> Column:
+    """The portfolio's cash: all customers' balances together, as one number."""
+    return table(spark, sf_dir, "customer").agg(F.sum(F.floor(F.col("c_acctbal") * 100 + 0.5).cast("long")) / 100).scalar()
+
+
 #: Words that occur in the documents stand in for the phrases of good and bad news.
 NEWS_POSITIVE = ("inger", "oration", "elleou", "mentai")
 NEWS_NEGATIVE = ("stnd", "hawh", "ouenaux", "zuung", "ciónas")
@@ -95,6 +100,7 @@ SQL = {
     "positions": """SELECT *, quantity * average_price AS invested_amount FROM (
     SELECT symbol, sum(CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END) AS quantity,
     floor(sum(price * quantity + fees) FILTER (WHERE side = 'BUY') / sum(quantity) FILTER (WHERE side = 'BUY') * 10000 + .5::DOUBLE) / 10000 AS average_price FROM trades GROUP BY symbol) WHERE quantity > 0""",
+    "money": "SELECT sum(floor(c_acctbal * 100 + .5::DOUBLE)::BIGINT) / 100 AS cash FROM customer",
     "news": """SELECT doc_id AS item_id, 'Brand#' || (doc_id % 25 + 1)::VARCHAR AS symbol,
     DATE '1999-01-04' + (doc_id * 7 % 700)::INT AS published_at, coalesce(text, '') AS text, (doc_id * 13 % 101)::DOUBLE AS relevance FROM documents""",
 }

@@ -3,7 +3,7 @@
 import pytest
 
 from quantloom.operators import portfolio
-from quantloom.plans import catalog
+from quantloom.plans import books, catalog, views
 
 
 def test_six_scenarios(spark):
@@ -18,6 +18,7 @@ def test_six_scenarios(spark):
 
 
 def test_presets_over_the_small_table(spark, sf):
-    total = catalog._valued(spark, sf).agg({"value": "sum"}).first()[0]
-    rows = catalog.scenario_presets(spark, sf).collect()
-    assert {r.scenario for r in rows} == set(portfolio.SCENARIOS) and all(r.value == pytest.approx(total) for r in rows)
+    total = books.valued(spark, sf).agg({"value": "sum"}).first()[0]
+    (cash,) = spark.range(1).select(views.cash(spark, sf)).first()
+    rows = catalog.QUERIES["scenario_presets"](spark, sf).collect()
+    assert {r.scenario for r in rows} == set(portfolio.SCENARIOS) and all(r.value == pytest.approx(total + cash, abs=0.01) for r in rows)

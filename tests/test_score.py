@@ -55,7 +55,7 @@ def brute(bars):
 
 def test_score_of_every_bar(spark, sf):
     want = brute(views.prices(spark, sf).toPandas())
-    rows = catalog.rolling_score_signal(spark, sf).collect()
+    rows = catalog.QUERIES["rolling_score_signal"](spark, sf).collect()
     assert {(r.symbol, r.date): r.score for r in rows} == want
     for r in rows:
         assert r.signal == next((n for least, n in ((80, "STRONG_BUY"), (70, "BUY"), (55, "HOLD"), (40, "REDUCE")) if r.score >= least), "SELL")
