@@ -148,6 +148,11 @@ def verdict(measured: DataFrame) -> DataFrame:
     return out.withColumn("verdict", said)
 
 
+def side_by_side(curves: DataFrame, *names: str) -> DataFrame:
+    """Curves (run_id, date, equity; one row a run and date) as a column a run, null where a run has no such date."""
+    return curves.groupBy("date").pivot("run_id", list(names)).agg(F.max("equity"))
+
+
 #: Slippage a side and stamp duty a year in percent.
 SLIPPAGE, STAMP = 0.05, 0.2
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quantloom.functions import numeric
-from quantloom.operators import portfolio
+from quantloom.operators import backtest, portfolio
 
 from . import views
 from .catalog import LATEST, W1, query, r, rounded
@@ -255,6 +255,24 @@ def tax_events(spark, sf):
     return events(spark, sf).select("symbol", "sell_date", "year", "category", "quantity", "cost", "proceeds", "gain", "rate", "holding_days")
 
 
+@query("realized_measures", f"""WITH {EVENTS}, m AS (SELECT symbol, count(*) AS sells, count_if(gain > 0) * 100 / count(*) AS win_rate, coalesce(sum(gain) FILTER (WHERE gain > 0), 0) AS won, coalesce(-sum(gain) FILTER (WHERE gain < 0), 0) AS lost FROM events GROUP BY symbol)
+    SELECT symbol, sells, round(win_rate, 4) AS win_rate, round(won, 2) AS won, round(lost, 2) AS lost, round(CASE WHEN lost > 0 THEN won / lost WHEN won > 0 THEN 999 ELSE 0 END, 4)::DOUBLE AS profit_factor FROM m""", "trades", "assets")
+def realized_measures(spark, sf):
+    """Win rate and profit factor of each symbol's matched sells."""
+    sold = events(spark, sf).select(F.col("symbol").alias("run_id"), F.lit("SELL").alias("side"), F.col("gain").alias("pnl"))
+    out = backtest.trade_measures(sold)
+    return out.select(F.col("run_id").alias("symbol"), "sells", F.round("win_rate", 4).alias("win_rate"), F.round("won", 2).alias("won"), F.round("lost", 2).alias("lost"), F.round("profit_factor", 4).alias("profit_factor"))
+
+
+@query("paper_cash", """WITH n AS (SELECT *, round(price * quantity + CASE WHEN side = 'BUY' THEN fees ELSE -fees END, 2) AS net FROM trades),
+    c AS (SELECT *, 1e6 - sum(CASE WHEN side = 'BUY' THEN net ELSE -net END) OVER (PARTITION BY symbol ORDER BY seq) AS cash FROM n)
+    SELECT symbol AS account, order_date, side, net, round(cash, 2)::DOUBLE AS cash, round(cash, 2) < 0 AS short FROM c""", "trades")
+def paper_cash(spark, sf):
+    """Running cash of a paper account for each symbol, and where it would have run short."""
+    out = portfolio.paper_account(views.orders(spark, sf).withColumn("account", F.col("symbol")), 1e6)
+    return out.select("account", "order_date", "side", F.round("net", 2).alias("net"), F.round("cash", 2).alias("cash"), (F.round("cash", 2) < 0).alias("short"))
+
+
 # Years one after another, as a person would fill in the form.
 TAX = f"""{EVENTS}, y AS (SELECT category, year, coalesce(sum(floor(gain * 100 + .5::DOUBLE)) FILTER (WHERE gain > 0), 0)::BIGINT AS g, coalesce(sum(floor(-gain * 100 + .5::DOUBLE)) FILTER (WHERE gain < 0), 0)::BIGINT AS l FROM taxed GROUP BY category, year),
     grid AS (SELECT c.category, d.year, coalesce(y.g, 0) AS g, coalesce(y.l, 0) AS l, row_number() OVER (PARTITION BY c.category ORDER BY d.year) AS k FROM (SELECT DISTINCT year FROM y) d CROSS JOIN (SELECT unnest(['bond', 'standard']) AS category) c LEFT JOIN y ON y.year = d.year AND y.category = c.category),

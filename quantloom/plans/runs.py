@@ -78,3 +78,12 @@ def hold_net(spark, sf):
     equity, trades = _held(spark, sf)
     out = backtest.net_analysis(trades, equity, views.assets(spark, sf))
     return out.select("run_id", F.round("final", 2).alias("final"), *[F.round(c, 3).alias(c) for c in ("commission", "slippage", "stamp_duty")], F.round("net_final", 2).alias("net_final"))
+
+
+@query("curves_by_date", f"WITH {HELD}, b AS (SELECT date, 100000 * close / first(close) OVER (ORDER BY date) AS benchmark FROM grid WHERE symbol = 'Brand#11') SELECT date, round(equity, 3) AS hold, round(benchmark, 3) AS benchmark FROM equity FULL JOIN b USING (date)", "prices")
+def curves_by_date(spark, sf):
+    """Buy-and-hold and its benchmark, a column each."""
+    equity, _ = _held(spark, sf)
+    bench = backtest.benchmark(backtest.asof_grid(views.prices(spark, sf), "close"), "Brand#11").select(F.lit("benchmark").alias("run_id"), "date", F.col("benchmark_value").alias("equity"))
+    out = backtest.side_by_side(equity.select("run_id", "date", "equity").unionByName(bench), "hold", "benchmark")
+    return out.select("date", F.round("hold", 3).alias("hold"), F.round("benchmark", 3).alias("benchmark"))
