@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Phrases of good and bad news.
@@ -58,3 +58,13 @@ def encode_label(label: Column) -> Column:
 def contains_any(query: str, *cols: Column) -> Column:
     """Free-text filter over several columns, without regard to case."""
     return F.contains(F.lower(F.concat_ws(" ", *cols)), F.lit(query.lower()))
+
+
+def market_mood(news: DataFrame, day: str, days: int = 7) -> DataFrame:
+    """One row on all items (score, label, impact, published_at) of the ``days`` before ``day`` on, and those without a date: count, mean, label, strongest impact and counts of labels."""
+    rows = news.where(F.col("published_at").isNull() | (F.col("published_at") >= F.date_sub(F.lit(day).cast("date"), days)))
+    told = lambda x: F.count_if(F.col("label") == x)
+    strong = F.max(F.when(F.col("impact") == "HIGH", 3).when(F.col("impact") == "MEDIUM", 2).otherwise(1))
+    out = rows.agg(F.count(F.lit(1)).alias("news_count"), F.coalesce(F.round(F.avg(F.coalesce("score", F.lit(0.0))), 4), F.lit(0.0)).alias("average_sentiment"), strong.alias("__s"), told("POSITIVE").alias("positive"), told("NEGATIVE").alias("negative"), told("NEUTRAL").alias("neutral"))
+    level = F.when(F.col("__s") == 3, "HIGH").when(F.col("__s") == 2, "MEDIUM").otherwise("LOW")
+    return out.withColumns({"sentiment_label": sentiment_label(F.col("average_sentiment")), "impact_level": level}).drop("__s")

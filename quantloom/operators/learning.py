@@ -37,6 +37,15 @@ def trailing_news(bars: DataFrame, news: DataFrame, days: int = 7) -> DataFrame:
     return rows.where("bar").drop("bar")
 
 
+def universe(bars: DataFrame, assets: DataFrame, named: tuple[str, ...] = (), most: int = 120) -> DataFrame:
+    """symbol, place: the symbols to train on, at most ``most``: the named ones in their order, each once, or all assets that have bars, by name."""
+    if named:
+        own = list(dict.fromkeys([x.strip().upper() for x in named if x.strip()][:most]))
+        return bars.sparkSession.createDataFrame([(x, k + 1) for k, x in enumerate(own)], "symbol string, place int")
+    rows = assets.join(bars, "symbol", "left_semi").select(F.upper("symbol").alias("symbol")).distinct().orderBy("symbol").limit(most)
+    return rows.withColumn("place", F.row_number().over(W.orderBy("symbol")))
+
+
 def dataset(bars: DataFrame, news: DataFrame, target: str = "POSITIVE_RETURN", horizon: int = 4, benchmark: str | None = None) -> DataFrame:
     """symbol, date, target_date, target and FEATURES of every bar that has them all."""
     if target not in TARGETS:

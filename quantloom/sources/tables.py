@@ -96,3 +96,29 @@ def tax_export(events: DataFrame) -> DataFrame:
 def write_csv(rows: DataFrame, path: str, one_file: bool = False) -> None:
     """CSV files with a header each, one a partition; ``one_file`` is for reports of a few rows."""
     (rows.coalesce(1) if one_file else rows).write.mode("overwrite").option("header", True).csv(path)
+
+
+def scan_prices(rows: DataFrame, symbols: list[str], until: str) -> DataFrame:
+    """Rows of the named symbols, whatever their case and the space around them, up to and with a date."""
+    return rows.where(F.upper("symbol").isin([x.strip().upper() for x in symbols]) & (F.col("date") <= F.lit(until).cast("date")))
+
+
+def one_a_date(rows: DataFrame) -> DataFrame:
+    """One row a symbol and date: of several the last with real ones first, then by id, so a seeded row goes before a real one; rows without date or close are left out after that."""
+    others = [c for c in rows.columns if c not in ("symbol", "date")]
+    last = rows.groupBy("symbol", "date").agg(F.max_by(F.struct(*others), F.struct(~F.col("is_real"), "id")).alias("x"))
+    return last.select("symbol", "date", "x.*").dropna(subset=["date", "close"])
+
+
+def refresh_summary(requested: DataFrame, merged: DataFrame) -> DataFrame:
+    """One row on a refresh: symbols asked for, those that got rows and those that didn't, and rows inserted and updated."""
+    got = merged.groupBy("symbol").agg(*[F.count_if(F.col("action") == a).alias(a) for a in ("inserted", "updated")])
+    rows = requested.join(got.withColumnsRenamed({"inserted": "__i", "updated": "__u"}), "symbol", "left").fillna(0, ["__i", "__u"])
+    fresh = F.col("__i") + F.col("__u") > 0
+    return rows.agg(F.count(F.lit(1)).alias("requested"), F.count_if(fresh).alias("updated"), F.count_if(~fresh).alias("fallback"), F.coalesce(F.sum("__i"), F.lit(0)).alias("rows_inserted"), F.coalesce(F.sum("__u"), F.lit(0)).alias("rows_updated"))
+
+
+def cache_stats(entries: DataFrame, now: str) -> DataFrame:
+    """Entries of a response cache, and how many are valid at ``now`` by their expires_at (text); those without a time, or one that can't be read, count as expired."""
+    good = F.count_if(F.try_to_timestamp("expires_at") > F.lit(now).cast("timestamp"))
+    return entries.agg(F.count(F.lit(1)).alias("entries"), good.alias("valid")).withColumn("expired", F.col("entries") - F.col("valid"))
