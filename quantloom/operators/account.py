@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .portfolio import cents_of, micro
+
 TAKEN, NO_CASH, NO_HOLDING, INVALID = "SIMULATED", "NO_CASH", "NO_HOLDING", "INVALID"
 ADDED = "status string, cash double, held double, average_price double, invested double, realized double"
 
@@ -67,16 +69,16 @@ def execute(orders: DataFrame, initial: float, fee_percent: float = 0.1) -> Data
 
 
 def holdings(executed: DataFrame) -> DataFrame:
-    """What each account holds at the end, and what it has realised with each symbol, sold out ones left out."""
+    """What each account holds at the end, and what it has realised (to cents) with each symbol, sold out ones left out."""
     taken = executed.where(F.col("status") == TAKEN)
     last = F.max_by(F.struct("held", "average_price", "invested"), "seq").alias("x")
-    out = taken.groupBy("account", "symbol").agg(last, F.sum("realized").alias("realized")).select("account", "symbol", F.col("x.held").alias("quantity"), "x.average_price", F.col("x.invested").alias("invested_amount"), "realized")
+    out = taken.groupBy("account", "symbol").agg(last, cents_of(F.sum(micro(F.col("realized")))).alias("realized")).select("account", "symbol", F.col("x.held").alias("quantity"), "x.average_price", F.col("x.invested").alias("invested_amount"), "realized")
     return out.where("quantity > 0")
 
 
 def snapshots(executed: DataFrame, most: int = 20) -> DataFrame:
-    """The last ``most`` states of each account, numbered upwards: cash and what has been realised so far."""
+    """The last ``most`` states of each account, numbered upwards: cash and what has been realised so far (to cents)."""
     way = W.partitionBy("account").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    taken = executed.where(F.col("status") == TAKEN).withColumn("total_realized", F.sum("realized").over(way))
+    taken = executed.where(F.col("status") == TAKEN).withColumn("total_realized", cents_of(F.sum(micro(F.col("realized"))).over(way)))
     late = taken.withColumn("__k", F.row_number().over(W.partitionBy("account").orderBy(F.desc("seq")))).where(F.col("__k") <= most)
     return late.withColumn("place", F.row_number().over(W.partitionBy("account").orderBy("seq"))).select("account", "place", "seq", "cash", "total_realized")

@@ -39,22 +39,33 @@ def executed(spark, sf):
     return account.execute(rows, CASH)
 
 
-@query("paper_orders", f"WITH RECURSIVE {PAPER} SELECT account, n, symbol, side, CASE WHEN good THEN 'SIMULATED' WHEN side = 'BUY' THEN 'NO_CASH' ELSE 'NO_HOLDING' END AS status, round(cash, 3) AS cash, held, round(average_price, 3) AS average_price, round(invested, 3) AS invested, round(realized, 3) AS realized FROM done")
+def _milli(*columns: str) -> str:
+    return ", ".join(f"floor({c} * 1000 + .5::DOUBLE) / 1000 AS {c}" for c in columns)
+
+
+def _gain(x: str) -> str:
+    return f"floor({x} / 10000 + .5::DOUBLE) / 100"
+
+
+MICRO = "floor(realized * 1e6::DOUBLE + .5::DOUBLE)::BIGINT"
+milli = lambda c: views.cents(F.col(c), 3).alias(c)
+
+
+@query("paper_orders", f"WITH RECURSIVE {PAPER} SELECT account, n, symbol, side, CASE WHEN good THEN 'SIMULATED' WHEN side = 'BUY' THEN 'NO_CASH' ELSE 'NO_HOLDING' END AS status, held, {_milli('cash', 'average_price', 'invested', 'realized')} FROM done")
 def paper_orders(spark, sf):
     place = F.row_number().over(W.partitionBy("account").orderBy("seq")).cast("long").alias("n")
-    return executed(spark, sf).select("account", place, "symbol", "side", "status", F.round("cash", 3).alias("cash"), "held", *[F.round(c, 3).alias(c) for c in ("average_price", "invested", "realized")])
+    return executed(spark, sf).select("account", place, "symbol", "side", "status", "held", *map(milli, ("cash", "average_price", "invested", "realized")))
 
 
-@query("paper_positions", f"WITH RECURSIVE {PAPER} SELECT account, symbol, arg_max(held, n) AS quantity, round(arg_max(average_price, n), 3) AS average_price, round(arg_max(invested, n), 3) AS invested_amount, round(sum(realized), 2) AS realized FROM done WHERE good GROUP BY account, symbol HAVING arg_max(held, n) > 0")
+@query("paper_positions", f"WITH RECURSIVE {PAPER}, p AS (SELECT account, symbol, arg_max(held, n) AS quantity, arg_max(average_price, n) AS average_price, arg_max(invested, n) AS invested_amount, sum({MICRO}) AS m FROM done WHERE good GROUP BY account, symbol) SELECT account, symbol, quantity, {_milli('average_price', 'invested_amount')}, {_gain('m')} AS realized FROM p WHERE quantity > 0")
 def paper_positions(spark, sf):
-    out = account.holdings(executed(spark, sf))
-    return out.select("account", "symbol", "quantity", F.round("average_price", 3).alias("average_price"), F.round("invested_amount", 3).alias("invested_amount"), F.round("realized", 2).alias("realized"))
+    return account.holdings(executed(spark, sf)).select("account", "symbol", "quantity", milli("average_price"), milli("invested_amount"), "realized")
 
 
-@query("paper_snapshots", f"""WITH RECURSIVE {PAPER}, s AS (SELECT account, n, cash, sum(realized) OVER (PARTITION BY account ORDER BY n) AS total, row_number() OVER (PARTITION BY account ORDER BY n DESC) AS back FROM done WHERE good)
-    SELECT account, (row_number() OVER (PARTITION BY account ORDER BY n))::INT AS place, round(cash, 3) AS cash, round(total, 2) AS total_realized FROM s WHERE back <= 20""")
+@query("paper_snapshots", f"""WITH RECURSIVE {PAPER}, s AS (SELECT account, n, cash, sum({MICRO}) OVER (PARTITION BY account ORDER BY n) AS m, row_number() OVER (PARTITION BY account ORDER BY n DESC) AS back FROM done WHERE good)
+    SELECT account, (row_number() OVER (PARTITION BY account ORDER BY n))::INT AS place, {_milli('cash')}, {_gain('m')} AS total_realized FROM s WHERE back <= 20""")
 def paper_snapshots(spark, sf):
-    return account.snapshots(executed(spark, sf)).select("account", "place", F.round("cash", 3).alias("cash"), F.round("total_realized", 2).alias("total_realized"))
+    return account.snapshots(executed(spark, sf)).select("account", "place", milli("cash"), "total_realized")
 
 
 @query("price_scan", f"WITH {HISTORY} SELECT symbol, date, is_real, close, volume FROM hist WHERE upper(symbol) IN ('BRAND#11', 'BRAND#23') AND date <= DATE '1996-12-31'")
