@@ -1,6 +1,6 @@
 """Queries of the llm operators and, where SQL can express them, their SQL."""
 
-from . import exact_dedup, licenses, mixing, ngram_join, quality, rans, secrets, sentence_pieces, separators, telephony
+from . import exact_dedup, fill_middle, licenses, mixing, ngram_join, quality, rans, secrets, sentence_pieces, separators, telephony
 
 QUERIES = {
     "op1_separator_token_counts": separators.op1_separator_token_counts,
@@ -13,10 +13,12 @@ QUERIES = {
     "op8_viterbi_sentence_pieces": sentence_pieces.op8_viterbi_sentence_pieces,
     "op9_telephony_audio": telephony.op9_telephony_audio,
     "op10_rare_token_licenses": licenses.op10_rare_token_licenses,
+    "op12_distinct_text_fill_middle": fill_middle.op12_distinct_text_fill_middle,
 }
 
 ORACLE_SQL = {
     "op4_water_filling_mix": mixing.OP4_SQL,
     "op5_lsm_exact_dedup": exact_dedup.OP5_SQL,
     "op10_rare_token_licenses": licenses.OP10_SQL,
+    "op12_distinct_text_fill_middle": fill_middle.OP12_SQL,
 }
