@@ -1,6 +1,6 @@
 """Queries of the llm operators and, where SQL can express them, their SQL."""
 
-from . import exact_dedup, fill_middle, licenses, mixing, ngram_join, quality, rans, secrets, sentence_pieces, separators, telephony
+from . import exact_dedup, fill_middle, licenses, mixing, ngram_join, periodic_runs, quality, rans, secrets, sentence_pieces, separators, telephony
 
 QUERIES = {
     "op1_separator_token_counts": separators.op1_separator_token_counts,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_viterbi_sentence_pieces": sentence_pieces.op8_viterbi_sentence_pieces,
     "op9_telephony_audio": telephony.op9_telephony_audio,
     "op10_rare_token_licenses": licenses.op10_rare_token_licenses,
+    "op11_lyndon_array_runs": periodic_runs.op11_lyndon_array_runs,
     "op12_distinct_text_fill_middle": fill_middle.op12_distinct_text_fill_middle,
 }
 
