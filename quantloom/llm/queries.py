@@ -1,6 +1,6 @@
 """Queries of the llm operators and, where SQL can express them, their SQL."""
 
-from . import exact_dedup, fill_middle, licenses, mixing, ngram_join, periodic_runs, quality, rans, secrets, sentence_pieces, separators, telephony
+from . import cover_tree, exact_dedup, fill_middle, licenses, mixing, ngram_join, periodic_runs, quality, rans, secrets, sentence_pieces, separators, telephony
 
 QUERIES = {
     "op1_separator_token_counts": separators.op1_separator_token_counts,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_rare_token_licenses": licenses.op10_rare_token_licenses,
     "op11_lyndon_array_runs": periodic_runs.op11_lyndon_array_runs,
     "op12_distinct_text_fill_middle": fill_middle.op12_distinct_text_fill_middle,
+    "op13_cover_tree_embedding_dedup": cover_tree.op13_cover_tree_embedding_dedup,
 }
 
 ORACLE_SQL = {
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op5_lsm_exact_dedup": exact_dedup.OP5_SQL,
     "op10_rare_token_licenses": licenses.OP10_SQL,
     "op12_distinct_text_fill_middle": fill_middle.OP12_SQL,
+    "op13_cover_tree_embedding_dedup": cover_tree.OP13_SQL,
 }
