@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from quantloom.functions.dates import holding_days
 from quantloom.functions.numeric import divide, flag
 
+from . import scan
+
 #: Class shocks in percent of the six scenarios.
 SCENARIOS = {
     "MARKET_CRASH": {"stock": -25.0, "etf": -22.0, "crypto": -45.0, "bond": -3.0, "bond_etf": -5.0},
@@ -197,37 +199,59 @@ def cents_of(micros: Column) -> Column:
     return F.floor(micros / 10_000 + 0.5) / 100
 
 
+#: Parts of a unit of quantity that are told apart: an order of less counts as none. A symbol's volume stays below 9.2e9 units; arithmetic beyond that raises an error.
+PARTS = 10**9
+
+
+def parts_of(quantity: Column) -> Column:
+    """Whole billionths, whose sums meet where the quantities do."""
+    return F.floor(quantity * PARTS + 0.5).cast("long")
+
+
 def lots(orders: DataFrame) -> DataFrame:
-    """Every buy and matched sell as an interval of cumulative quantity: symbol, side, start, end, unit (price with fees), order_date, seq, matched (the symbol's sold quantity).
+    """Every buy and matched sell as an interval of cumulative quantity in whole billionths: symbol, side, start, end, unit (price with fees), order_date, seq, matched (the symbol's sold quantity).
 
-    What is sold beyond the holding is dropped: the holding after each order is its running sum less that sum's least value below 0."""
-    way = W.partitionBy("symbol").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    What is sold beyond the holding is dropped: the holding after each order is its running sum less that sum's least value
+    below 0. A chunk of a symbol's orders hands on its sum and least sum, which compose, so one symbol fills many tasks."""
     buy = F.col("side") == "BUY"
-    rows = orders.where("quantity > 0").withColumn("__s", F.sum(F.when(buy, F.col("quantity")).otherwise(-F.col("quantity"))).over(way))
-    rows = rows.withColumn("__held", F.col("__s") - F.least(F.lit(0.0), F.min("__s").over(way)))
-    before = F.coalesce(F.lag("__held").over(W.partitionBy("symbol").orderBy("seq")), F.lit(0.0))
-    rows = rows.withColumn("__q", F.when(buy, F.col("quantity")).otherwise(before - F.col("__held"))).where("__q > 0")
-    side = W.partitionBy("symbol", "side").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    rows = orders.select("symbol", "side", parts_of(F.col("quantity")).alias("__q"), "quantity", "price", "fees", "order_date", "seq").where("__q > 0")
     unit = F.col("price") + F.when(buy, F.col("fees")).otherwise(-F.col("fees")) / F.col("quantity")
-    rows = rows.withColumns({"end": F.sum("__q").over(side), "unit": unit})
-    rows = rows.withColumn("matched", F.coalesce(F.sum(F.when(~buy, F.col("__q"))).over(W.partitionBy("symbol")), F.lit(0.0)))
+    rows = scan.cut(rows.withColumn("unit", unit).drop("quantity", "price", "fees"), "symbol", "seq")
+    way, bought = scan.up_to("symbol", "seq"), F.when(buy, F.col("__q")).otherwise(0)
+    rows = rows.withColumns({"__s": F.sum(F.when(buy, F.col("__q")).otherwise(-F.col("__q"))).over(way), "__b": F.sum(bought).over(way)}).withColumn("__m", F.min("__s").over(way))
+
+    total = rows.groupBy("symbol", "chunk").agg(F.sum(F.when(buy, F.col("__q")).otherwise(-F.col("__q"))).alias("s"), F.min("__m").alias("m"), F.sum(bought).alias("b"))
+    before = scan.earlier("symbol")
+    total = total.withColumns({"s0": F.coalesce(F.sum("s").over(before), F.lit(0)), "b0": F.coalesce(F.sum("b").over(before), F.lit(0))}).withColumn("__low", F.col("s0") + F.col("m"))
+    total = total.withColumn("m0", F.least(F.lit(0), F.min("__low").over(before)))
+    sold = F.col("b0") + F.col("b") - F.col("s0") - F.col("s") + F.least("m0", "__low")
+    total = total.withColumn("matched", F.max(sold).over(W.partitionBy("symbol"))).select("symbol", "chunk", "s0", "b0", "m0", "matched")
+
+    rows = rows.join(total, ["symbol", "chunk"])
+    rows = rows.withColumn("__held", F.col("s0") + F.col("__s") - F.least("m0", F.col("s0") + F.col("__m")))
+    rows = rows.withColumn("__was", F.coalesce(F.lag("__held").over(scan.within("symbol", "seq")), F.col("s0") - F.col("m0")))
+    rows = rows.withColumns({"__q": F.when(buy, F.col("__q")).otherwise(F.col("__was") - F.col("__held")), "end": F.col("b0") + F.col("__b") - F.when(buy, F.lit(0)).otherwise(F.col("__held"))}).where("__q > 0")
     return rows.select("symbol", "side", (F.col("end") - F.col("__q")).alias("start"), "end", "unit", "order_date", "seq", "matched")
 
 
 def fifo(orders: DataFrame) -> DataFrame:
-    """Matched pieces of buys and sells, first in, first out: symbol, year, quantity, cost and proceeds (whole millionths), sell, sell_date, buy, buy_date.
+    """Matched pieces of buys and sells, first in, first out: symbol, year, quantity, parts (whole billionths), cost and proceeds (whole millionths), sell, sell_date, buy, buy_date.
 
-    The merged end points of both kinds of intervals cut the line into pieces with one buy and one sell each; running
-    windows find them, from the far end to the near one, so time grows with the orders and no pair of all is made."""
-    ends = lots(orders).withColumn("x", F.struct("seq", "unit", "order_date"))
+    The end points of both kinds of intervals cut the line into pieces with one buy and one sell each: the nearest of either
+    kind at or behind the piece's end. Chunks of the line hand on their last end and their first buy and sell."""
     buy = F.col("side") == "BUY"
-    points = ends.groupBy("symbol", "end").agg(F.max(F.when(buy, F.col("x"))).alias("b"), F.max(F.when(~buy, F.col("x"))).alias("s"))
-    line = W.partitionBy("symbol").orderBy("end")
-    onward = W.partitionBy("symbol").orderBy(F.desc("end")).rowsBetween(W.unboundedPreceding, 0)
-    cut = points.withColumn("quantity", F.col("end") - F.coalesce(F.lag("end").over(line), F.lit(0.0))).withColumns({"b": F.last("b", True).over(onward), "s": F.last("s", True).over(onward)})
-    q = F.col("quantity")
-    return cut.where("b IS NOT NULL AND s IS NOT NULL").select(
-        "symbol", F.year("s.order_date").alias("year"), "quantity", micro(q * F.col("b.unit")).alias("cost"), micro(q * F.col("s.unit")).alias("proceeds"),
+    ends = scan.cut(lots(orders).select("symbol", "side", "end", F.struct("seq", "unit", "order_date").alias("x")), "symbol", "end")
+    ends = ends.withColumns({"__b": F.when(buy, F.col("x")), "__s": F.when(~buy, F.col("x"))})
+    line, onward = scan.within("symbol", "end", "side"), scan.up_to("symbol", F.desc("end"), F.desc("side"))
+    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("end", c)))[c]
+    edge = ends.groupBy("symbol", "chunk").agg(F.max("end").alias("e"), first("__b").alias("b"), first("__s").alias("s"))
+    edge = edge.select("symbol", "chunk", F.max("e").over(scan.earlier("symbol")).alias("e0"), *[F.last(c, True).over(scan.later("symbol")).alias(f"{c}1") for c in ("b", "s")])
+
+    rows = ends.withColumns({"__e": F.lag("end").over(line), "__b": F.last("__b", True).over(onward), "__s": F.last("__s", True).over(onward)}).join(edge, ["symbol", "chunk"])
+    rows = rows.select("symbol", (F.col("end") - F.coalesce("__e", "e0", F.lit(0))).alias("parts"), F.coalesce("__b", "b1").alias("b"), F.coalesce("__s", "s1").alias("s"))
+    q = F.col("parts") / PARTS
+    return rows.where("parts > 0 AND b IS NOT NULL AND s IS NOT NULL").select(
+        "symbol", F.year("s.order_date").alias("year"), q.alias("quantity"), "parts", micro(q * F.col("b.unit")).alias("cost"), micro(q * F.col("s.unit")).alias("proceeds"),
         F.col("s.seq").alias("sell"), F.col("s.order_date").alias("sell_date"), F.col("b.seq").alias("buy"), F.col("b.order_date").alias("buy_date"),
     )
 
@@ -242,7 +266,7 @@ def category(asset_type: Column) -> Column:
 
 def tax_events(pieces: DataFrame, assets: DataFrame) -> DataFrame:
     """One row a matched sell: quantity, cost, proceeds and gain (to cents), rate, and days held since its last lot was bought."""
-    out = pieces.groupBy("symbol", "sell", "sell_date", "year").agg(F.sum("quantity").alias("quantity"), F.sum("cost").alias("__c"), F.sum("proceeds").alias("__p"), F.max_by("buy_date", "buy").alias("opened"))
+    out = pieces.groupBy("symbol", "sell", "sell_date", "year").agg((F.sum("parts") / PARTS).alias("quantity"), F.sum("cost").alias("__c"), F.sum("proceeds").alias("__p"), F.max_by("buy_date", "buy").alias("opened"))
     out = out.join(assets.select("symbol", "asset_type"), "symbol").withColumn("category", category(F.col("asset_type")))
     out = out.withColumns({"cost": cents_of(F.col("__c")), "proceeds": cents_of(F.col("__p")), "gain": cents_of(F.col("__p") - F.col("__c")), "holding_days": holding_days(F.col("opened"), F.col("sell_date"))})
     return out.withColumn("rate", F.when(F.col("category") == "bond", RATES["bond"]).otherwise(RATES["standard"])).drop("__c", "__p", "opened")
@@ -271,7 +295,7 @@ def tax_years(taxed: DataFrame) -> DataFrame:
 def open_lots(orders: DataFrame, prices: DataFrame, assets: DataFrame) -> DataFrame:
     """What is left of all buys after first in, first out: quantity, cost, value and unrealised gain at the latest price, to cents."""
     left = F.col("end") - F.greatest("start", "matched")
-    rows = lots(orders).where("side = 'BUY' AND end > matched").groupBy("symbol").agg(F.sum(left).alias("quantity"), F.sum(micro(left * F.col("unit"))).alias("__c"))
+    rows = lots(orders).where("side = 'BUY' AND end > matched").groupBy("symbol").agg((F.sum(left) / PARTS).alias("quantity"), F.sum(micro(left / PARTS * F.col("unit"))).alias("__c"))
     rows = rows.join(prices.select("symbol", "close"), "symbol", "left").join(assets.select("symbol", "asset_type"), "symbol", "left")
     worth = micro(F.col("quantity") * F.when(F.col("close") != 0, F.col("close")))
     return rows.select("symbol", "asset_type", "quantity", cents_of(F.col("__c")).alias("cost"), cents_of(worth).alias("value"), cents_of(worth - F.col("__c")).alias("unrealized"))

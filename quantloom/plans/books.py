@@ -241,7 +241,7 @@ def events(spark, sf):
 
 @query("fifo_realized", f"WITH {FIFO} SELECT symbol, year(sell_date)::INT AS year, sum(quantity) AS quantity, {_cents('sum(cost)')} AS cost, {_cents('sum(proceeds)')} AS proceeds FROM money_pieces GROUP BY ALL", "trades")
 def fifo_realized(spark, sf):
-    out = pieces(spark, sf).groupBy("symbol", "year").agg(F.sum("quantity").alias("quantity"), F.sum("cost").alias("c"), F.sum("proceeds").alias("p"))
+    out = pieces(spark, sf).groupBy("symbol", "year").agg((F.sum("parts") / portfolio.PARTS).alias("quantity"), F.sum("cost").alias("c"), F.sum("proceeds").alias("p"))
     return out.select("symbol", "year", "quantity", portfolio.cents_of(F.col("c")).alias("cost"), portfolio.cents_of(F.col("p")).alias("proceeds"))
 
 
@@ -299,6 +299,29 @@ def open_lots(spark, sf):
     return portfolio.open_lots(views.orders(spark, sf), portfolio.latest(views.prices(spark, sf)), views.assets(spark, sf))
 
 
+# The same in whole billionths, over quantities such as 1.26: sums of doubles would meet nowhere.
+PARTS = """g0 AS (SELECT *, floor(quantity * 1e9::DOUBLE + .5::DOUBLE)::BIGINT AS n FROM fractions), g1 AS (SELECT *, sum(CASE WHEN side = 'BUY' THEN n ELSE -n END) OVER (PARTITION BY symbol ORDER BY seq) AS s FROM g0 WHERE n > 0),
+    g2 AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY symbol ORDER BY seq)) AS held FROM g1), g3 AS (SELECT *, CASE WHEN side = 'BUY' THEN n ELSE coalesce(lag(held) OVER (PARTITION BY symbol ORDER BY seq), 0) - held END AS q FROM g2),
+    g4 AS (SELECT *, sum(q) OVER (PARTITION BY symbol, side ORDER BY seq) AS e, CASE WHEN side = 'BUY' THEN price + fees / quantity ELSE price + (-fees) / quantity END AS unit FROM g3 WHERE q > 0),
+    cuts AS (SELECT DISTINCT symbol, e FROM g4), spans AS (SELECT symbol, e, e - coalesce(lag(e) OVER (PARTITION BY symbol ORDER BY e), 0) AS n FROM cuts),
+    pieces AS (SELECT p.symbol, p.n, b.seq AS buy, b.order_date AS buy_date, b.unit AS cu, s.seq AS sell, s.order_date AS sell_date, s.unit AS pu FROM spans p ASOF JOIN (SELECT * FROM g4 WHERE side = 'BUY') b ON p.symbol = b.symbol AND p.e <= b.e ASOF JOIN (SELECT * FROM g4 WHERE side = 'SELL') s ON p.symbol = s.symbol AND p.e <= s.e),
+    paid AS (SELECT *, floor(n / 1e9::DOUBLE * cu * 1000000 + .5::DOUBLE)::BIGINT AS cost, floor(n / 1e9::DOUBLE * pu * 1000000 + .5::DOUBLE)::BIGINT AS proceeds FROM pieces)"""
+
+
+@query("tax_events_fractions", f"WITH {PARTS} SELECT symbol, any_value(sell_date) AS sell_date, (sum(n) / 1e9::DOUBLE)::DOUBLE AS quantity, {_cents('sum(cost)')} AS cost, {_cents('sum(proceeds)')} AS proceeds, {_cents('sum(proceeds) - sum(cost)')} AS gain, greatest(any_value(sell_date) - arg_max(buy_date, buy), 0)::INT AS holding_days FROM paid GROUP BY symbol, sell", "fractions")
+def tax_events_fractions(spark, sf):
+    """Matched sells of an order log with fractional quantities."""
+    out = portfolio.tax_events(portfolio.fifo(views.fractions(spark, sf)), views.assets(spark, sf))
+    return out.select("symbol", "sell_date", "quantity", "cost", "proceeds", "gain", "holding_days")
+
+
+@query("open_lots_fractions", f"""WITH {PARTS}, sold AS (SELECT symbol, sum(q) AS m FROM g4 WHERE side = 'SELL' GROUP BY symbol), rest AS (SELECT g4.symbol, e - greatest(e - q, coalesce(m, 0)) AS n, unit FROM g4 LEFT JOIN sold USING (symbol) WHERE side = 'BUY' AND e > coalesce(m, 0))
+    SELECT symbol, (sum(n) / 1e9::DOUBLE)::DOUBLE AS quantity, {_cents('sum(floor(n / 1e9::DOUBLE * unit * 1000000 + .5::DOUBLE)::BIGINT)')} AS cost FROM rest GROUP BY symbol""", "fractions")
+def open_lots_fractions(spark, sf):
+    """What is left of buys of fractional quantities."""
+    return portfolio.open_lots(views.fractions(spark, sf), portfolio.latest(views.prices(spark, sf)), views.assets(spark, sf)).select("symbol", "quantity", "cost")
+
+
 @query("report_summary", f"WITH {LATEST}, {VALUED}, {FIFO} SELECT (SELECT count(*) FROM valued) AS positions_count, (SELECT count(*) FROM trades) AS orders_count, (SELECT count(DISTINCT (symbol, sell)) FROM pieces) AS realized_events, (SELECT round(sum(value), 2) FROM valued) AS portfolio_value", "trades", *BOOK)
 def report_summary(spark, sf):
     count = lambda df: df.agg(F.count(F.lit(1))).scalar()

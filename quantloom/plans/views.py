@@ -28,17 +28,23 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order log: symbol, side, quantity, price, fees, order_date and the key seq that orders it."""
+def orders(spark: SparkSession, sf_dir: str, quantity: Column | None = None) -> DataFrame:
+    """Order log: symbol, side, quantity (whole, where no other is given), price, fees, order_date and the key seq that orders it."""
+    quantity = F.col("l_quantity") if quantity is None else quantity
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     price = cents(F.col("l_extendedprice") / F.col("l_quantity"), 2)
     return rows.select(
-        F.col("p_brand").alias("symbol"), F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("side"), F.col("l_quantity").alias("quantity"), price.alias("price"),
-        cents(price * F.col("l_quantity") * F.col("l_tax") / 100, 2).alias("fees"), F.to_date("l_shipdate").alias("order_date"),
+        F.col("p_brand").alias("symbol"), F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("side"), quantity.alias("quantity"), price.alias("price"),
+        cents(price * quantity * F.col("l_tax") / 100, 2).alias("fees"), F.to_date("l_shipdate").alias("order_date"),
         F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("seq"),
     )
 
 
+def fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order log with fractional quantities, some of them 0."""
+    return orders(spark, sf_dir, F.col("l_quantity") * F.col("l_discount"))
+
+
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly bars a brand: symbol, date, open, high, low, close, volume."""
     return bars(orders(spark, sf_dir).select("symbol", F.to_date(F.date_trunc("week", "order_date")).alias("date"), "seq", "price", "quantity"))
@@ -95,6 +101,8 @@ SQL = {
     "trades": """SELECT p_brand AS symbol, CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS side, l_quantity AS quantity, floor(l_extendedprice / l_quantity * 100 + .5::DOUBLE) / 100 AS price,
     floor(floor(l_extendedprice / l_quantity * 100 + .5::DOUBLE) / 100 * l_quantity * l_tax / 100 * 100 + .5::DOUBLE) / 100 AS fees, CAST(l_shipdate AS DATE) AS order_date,
     (l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS seq FROM lineitem JOIN part ON l_partkey = p_partkey""",
+    "fractions": """SELECT symbol, side, quantity * l_discount AS quantity, price, floor(price * (quantity * l_discount) * l_tax / 100 * 100 + .5::DOUBLE) / 100 AS fees, order_date, seq FROM trades
+    JOIN (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_discount, l_tax FROM lineitem) ON seq = (l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey)""",
     "prices": """SELECT symbol, CAST(date_trunc('week', order_date) AS DATE) AS date, arg_min(price, seq) AS open, max(price) AS high, min(price) AS low, arg_max(price, seq) AS close,
     sum(quantity) AS volume FROM trades GROUP BY ALL""",
     "positions": """SELECT *, quantity * average_price AS invested_amount FROM (
@@ -104,7 +112,7 @@ SQL = {
     "news": """SELECT doc_id AS item_id, 'Brand#' || (doc_id % 25 + 1)::VARCHAR AS symbol,
     DATE '1999-01-04' + (doc_id * 7 % 700)::INT AS published_at, coalesce(text, '') AS text, (doc_id * 13 % 101)::DOUBLE AS relevance FROM documents""",
 }
-_NEEDS = {"prices": ["trades"], "positions": ["trades"]}
+_NEEDS = {"prices": ["trades"], "fractions": ["trades"], "positions": ["trades"]}
 
 
 def sql(body: str, *names: str) -> str:

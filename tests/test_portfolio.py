@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantloom.functions.numeric import signal_of
-from quantloom.operators import backtest, portfolio
+from quantloom.operators import backtest, portfolio, scan
 
 ORDERS = "symbol string, side string, quantity double, price double, fees double, order_date string, seq int"
 
@@ -43,32 +43,66 @@ def test_losses_are_carried_on(spark):
     assert years == {2025: (0, 500, -500, 500), 2026: (600, 0, 600, 0)}
 
 
-def test_fifo_against_queues(spark):
-    rng, rows = random.Random(4), []
-    for k in range(400):
-        rows.append((rng.choice("AB"), rng.choice(["BUY", "BUY", "SELL"]), float(rng.randint(1, 30)), rng.randint(100, 9999) / 100, rng.randint(0, 300) / 100, f"2025-{1 + k // 40:02d}-{1 + k % 28:02d}"))
-    want, queues = {}, {"A": deque(), "B": deque()}
-    for k, (s, side, q, price, fees, _) in enumerate(rows):
+def queued(rows):
+    """Whole billionths through queues: of every sell parts, cost, proceeds and the day of its last lot, and what is left of each symbol."""
+    want, queues = {}, {}
+    for k, (s, side, q, price, fees, day) in enumerate(rows):
+        parts, lots = round(q * 1e9), queues.setdefault(s, deque())
         if side == "BUY":
-            queues[s].append([q, price + fees / q, k])
+            lots.append([parts, price + fees / q, day])
             continue
-        left, cost = q, 0.0
-        while left > 1e-9 and queues[s]:
-            take = min(left, queues[s][0][0])
-            cost, left, queues[s][0][0] = cost + take * queues[s][0][1], left - take, queues[s][0][0] - take
-            if queues[s][0][0] <= 1e-9:
-                queues[s].popleft()
-        if left < q:
-            want[k] = (q - left, cost, (price * q - fees) * (q - left) / q)
+        left, cost, bought = parts, 0.0, None
+        while left and lots:
+            take = min(left, lots[0][0])
+            cost, left, lots[0][0], bought = cost + take / 1e9 * lots[0][1], left - take, lots[0][0] - take, lots[0][2]
+            if not lots[0][0]:
+                lots.popleft()
+        if left < parts:
+            want[k] = ((parts - left), cost, (price - fees / q) * (parts - left) / 1e9, bought)
+    return want, {s: (sum(x[0] for x in q), sum(x[0] / 1e9 * x[1] for x in q)) for s, q in queues.items() if q}
+
+
+def same_as_queues(spark, rows):
+    want, left = queued(rows)
     orders = orders_of(spark, rows)
-    got = portfolio.fifo(orders).groupBy("sell").agg(F.sum("quantity").alias("q"), F.sum("cost").alias("c"), F.sum("proceeds").alias("p")).collect()
-    assert {r.sell: (r.q, pytest.approx(r.c / 1e6, abs=1e-3), pytest.approx(r.p / 1e6, abs=1e-3)) for r in got} == want
+    got = portfolio.fifo(orders).groupBy("sell").agg(F.sum("parts").alias("q"), F.sum("cost").alias("c"), F.sum("proceeds").alias("p"), F.max_by("buy_date", "buy").alias("d")).collect()
+    assert {r.sell: (r.q, pytest.approx(r.c / 1e6, abs=1e-3), pytest.approx(r.p / 1e6, abs=1e-3), str(r.d)) for r in got} == want
     prices, assets = spark.createDataFrame([("A", 1.0)], "symbol string, close double"), assets_of(spark, ("A", "stock"))
-    left = {r.symbol: (r.quantity, r.cost, r.value) for r in portfolio.open_lots(orders, prices, assets).collect()}
-    for s, q in queues.items():
-        if q:
-            assert left[s][:2] == (sum(x[0] for x in q), pytest.approx(sum(x[0] * x[1] for x in q), abs=0.02))
-    assert left["B"][2] is None if "B" in left else True
+    lots = {r.symbol: (r.quantity, r.cost) for r in portfolio.open_lots(orders, prices, assets).collect()}
+    assert lots == {s: (n / 1e9, pytest.approx(c, abs=0.02)) for s, (n, c) in left.items()}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_fifo_against_queues(spark, seed):
+    rng, rows = random.Random(seed), []
+    amount = [lambda: float(rng.randint(1, 30)), lambda: rng.choice((0.1, 0.2, 0.3, 0.18, 2.5, 1.0, 1e-9, 0.7)), lambda: round(rng.random() * 3, rng.randint(1, 8)) + 1e-8][seed]
+    for k in range(500):
+        rows.append((rng.choice("AAB"), rng.choice(["BUY", "BUY", "SELL"]) if k % 100 < 60 else "SELL", amount(), rng.randint(100, 9999) / 100, rng.randint(0, 300) / 100, f"2025-{1 + k // 50:02d}-{1 + k % 28:02d}"))
+    same_as_queues(spark, rows)
+
+
+def test_fractions_meet_where_they_are_equal(spark):
+    rows = [("A", "BUY", 0.3, 10.0, 0.0, "2024-01-01"), ("A", "BUY", 1.0, 10.0, 0.0, "2025-01-01"), ("A", "SELL", 0.1, 10.0, 0.0, "2025-06-02"), ("A", "SELL", 0.2, 10.0, 0.0, "2025-06-02")]
+    events = portfolio.tax_events(portfolio.fifo(orders_of(spark, rows)), assets_of(spark, ("A", "stock"))).orderBy("sell").collect()
+    assert [(e.quantity, e.holding_days) for e in events] == [(0.1, 518), (0.2, 518)]
+    rows = [("A", "BUY", 0.1, 10.0, 0.0, "2024-01-01"), ("A", "BUY", 0.2, 10.0, 0.0, "2024-01-01"), ("A", "SELL", 0.3, 10.0, 0.0, "2024-02-01"), ("B", "BUY", 4e-10, 10.0, 0.0, "2024-01-01")]
+    assert portfolio.open_lots(orders_of(spark, rows), spark.createDataFrame([("A", 1.0)], "symbol string, close double"), assets_of(spark, ("A", "stock"))).count() == 0
+    assert portfolio.fifo(orders_of(spark, rows).limit(0)).count() == 0
+
+
+def test_one_symbol_fills_many_tasks(spark):
+    rng, rows = random.Random(8), []
+    for k in range(20_000):
+        rows.append(("A", "BUY" if rng.random() < (0.7 if k % 4000 < 2000 else 0.3) else "SELL", rng.randint(1, 300) / 100, rng.randint(100, 9999) / 100, 0.0, f"2025-{1 + k // 2000:02d}-{1 + k % 28:02d}"))
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        chunks = scan.cut(orders_of(spark, rows), "symbol", "seq").groupBy("chunk").agg(F.count("*").alias("n"), F.min("seq").alias("lo"), F.max("seq").alias("hi")).orderBy("chunk").collect()
+        assert len(chunks) == 16 and max(c.n for c in chunks) < 4000 and all(a.hi < b.lo for a, b in zip(chunks, chunks[1:]))
+        same_as_queues(spark, rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 LIMITS = portfolio.LIMITS
