@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .numeric import finite
+
 #: Phrases of good and bad news.
 POSITIVE = ("earnings beat", "revenue growth", "raises guidance", "upgrade", "partnership", "approval", "buyback", "dividend increase")
 NEGATIVE = ("earnings miss", "revenue decline", "lawsuit", "downgrade", "investigation", "recall", "bankruptcy", "guidance cut", "regulatory risk")
 
 
+#: A number in digits, with a sign, a fraction or an exponent.
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
+
 def parse_number(text: Column) -> Column:
     """Numbers in European or American form; blank is 0, what can't be read is NULL."""
     bare = F.regexp_replace(F.trim(text), "[€$£  ]", "")
@@ -22,7 +28,8 @@ def parse_number(text: Column) -> Column:
         F.when((dots > 0) & (commas > 0), F.when(comma_last, decimal_comma).otherwise(no_commas))
         .when(commas == 1, decimal_comma).when(commas > 1, no_commas).when(dots > 1, grouped).otherwise(bare)
     )
-    return F.when(F.coalesce(bare, F.lit("")) == "", 0.0).otherwise(F.coalesce(bare.try_cast("double"), usual.try_cast("double")))
+    number = lambda x: finite(F.when(x.rlike(NUMBER), x.try_cast("double")))  # noqa: E731  a cast alone takes 12d, NaN and Infinity too
+    return F.when(F.coalesce(bare, F.lit("")) == "", 0.0).otherwise(F.coalesce(number(bare), number(usual)))
 
 
 def hits(text: Column, phrases: tuple[str, ...]) -> Column:

@@ -6,6 +6,8 @@ A moving value is NULL until its window is full; division by 0 gives NULL.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -111,27 +113,74 @@ def pivots(bars: DataFrame, rows: int = 180) -> DataFrame:
     return out.withColumns({"support_percent": divide(F.col("close") - F.col("support"), F.col("close")) * 100, "resistance_percent": divide(F.col("resistance") - F.col("close"), F.col("close")) * 100})
 
 
-def recursive(bars: DataFrame) -> DataFrame:
-    """EMA 12, 26, 50, 200, MACD, ADX and Supertrend: one Arrow pass a symbol, since each value needs the one before."""
+#: Powers of e that a block of a recurrence decays by; what lies before the last whole block weighs less than a double's last digit.
+DECAY = 40.0
+
+
+def decayed(rows: DataFrame, least: int = 1, gaps: bool = False, **wanted: tuple[str, float]) -> DataFrame:
+    """``rows`` with y = (1 - alpha) y before + alpha x for each wanted y=(x, alpha), from the first x on; NULL until ``least`` values are there.
+
+    Steps y = a y + b compose, and y is the sum of all b, each times the product of the later a. Rows are cut into blocks
+    over which that product falls by e^DECAY; a block's running sum of b over its decay so far, plus the total of the block
+    before, gives y without going row by row, and neither overflows however long the series. ``gaps``: x may be NULL,
+    y stays there while its weight goes on decaying."""
+    c, made = F.col, {}
+    rows = rows.withColumn("__t", F.row_number().over(by()))
+    if gaps:  # what the old value weighs, against alpha
+        before = lambda x: F.last(F.when(c(x).isNotNull(), c("__t")), True).over(by().rowsBetween(W.unboundedPreceding, -1))
+        rows = rows.withColumns({f"__w_{y}": F.pow(F.lit(1 - alpha), c("__t") - before(x)) for y, (x, alpha) in wanted.items()})
+    for y, (x, alpha) in wanted.items():
+        if gaps:
+            w = c(f"__w_{y}")
+            step = F.when(c(x).isNotNull() & w.isNotNull(), F.least(F.log1p(divide(F.lit(alpha), w)), F.lit(1e3)))
+            fallen = F.coalesce(F.sum(step).over(so_far()), F.lit(0.0))
+            b = F.coalesce(F.when(w.isNull(), c(x)).otherwise(alpha * c(x) / (w + alpha)), F.lit(0.0))
+        else:
+            fallen, b = (c("__t") - 1) * -math.log(1 - alpha), F.when(c("__t") == 1, c(x)).otherwise(alpha * c(x))
+        made[y] = fallen, b
+    rows = rows.withColumns({f"__l_{y}": fallen for y, (fallen, _) in made.items()})
+    block = {y: F.floor(c(f"__l_{y}") / DECAY) for y in wanted}
+    rows = rows.withColumns({f"__m_{y}": m for y, m in block.items()} | {f"__e_{y}": F.exp(m * DECAY - c(f"__l_{y}")) for y, m in block.items()})
+    rows = rows.withColumns({f"__b_{y}": b / c(f"__e_{y}") for y, (_, b) in made.items()})
+    values = {}
+    for y, (x, _) in wanted.items():
+        own = F.sum(f"__b_{y}").over(W.partitionBy("symbol", f"__m_{y}").orderBy("date").rowsBetween(W.unboundedPreceding, 0))
+        past = F.sum(f"__b_{y}").over(W.partitionBy("symbol").orderBy(f"__m_{y}").rangeBetween(-1, -1))
+        value = c(f"__e_{y}") * (own + F.coalesce(past, F.lit(0.0)) * math.exp(-DECAY))
+        values[y] = F.when(F.count(x).over(so_far()) >= least, value) if least > 1 or gaps else value
+    return rows.withColumns(values).drop("__t", *[f"__{k}_{y}" for k in "wlmeb" for y in wanted])
+
+
+def averages(bars: DataFrame) -> DataFrame:
+    """EMA 12, 26, 50, 200 and MACD."""
+    bars = decayed(bars, **{f"ema_{n}": ("close", 2 / (n + 1)) for n in (12, 26, 50, 200)})
+    bars = decayed(bars.withColumn("macd_line", F.col("ema_12") - F.col("ema_26")), macd_signal=("macd_line", 2 / 10))
+    return bars.withColumn("macd_histogram", F.col("macd_line") - F.col("macd_signal"))
+
+
+def directions(bars: DataFrame) -> DataFrame:
+    """plus_di, minus_di and adx_14 by Wilder's averages."""
+    c, was = F.col, lambda x: F.lag(x).over(by())
+    up, down = c("high") - was("high"), was("low") - c("low")
+    out = bars.withColumns({
+        "__tr": F.greatest(c("high") - c("low"), F.abs(c("high") - was("close")), F.abs(c("low") - was("close"))),
+        "__up": F.when((up > down) & (up > 0), up).otherwise(0.0), "__down": F.when((down > up) & (down > 0), down).otherwise(0.0),
+    })
+    out = decayed(out, 14, **{f"__{x}_14": (f"__{x}", 1 / 14) for x in ("tr", "up", "down")})
+    out = out.withColumns({"plus_di": divide(100 * c("__up_14"), c("__tr_14")), "minus_di": divide(100 * c("__down_14"), c("__tr_14"))})
+    out = out.withColumn("__dx", divide(100 * F.abs(c("plus_di") - c("minus_di")), c("plus_di") + c("minus_di")))
+    return decayed(out, 14, gaps=True, adx_14=("__dx", 1 / 14)).drop("__tr", "__up", "__down", "__tr_14", "__up_14", "__down_14", "__dx")
+
+
+def supertrend(bars: DataFrame) -> DataFrame:
+    """Bars with supertrend, whose bands depend on which side the price was on: one Arrow pass a symbol."""
 
     def run(pdf):
         import numpy as np
 
         pdf = pdf.sort_values("date", ignore_index=True)
         c, h, lo = pdf["close"], pdf["high"], pdf["low"]
-        ema = lambda x, n: x.ewm(span=n, adjust=False).mean()
-        for n in (12, 26, 50, 200):
-            pdf[f"ema_{n}"] = ema(c, n)
-        pdf["macd_line"] = pdf["ema_12"] - pdf["ema_26"]
-        pdf["macd_signal"] = ema(pdf["macd_line"], 9)
-        pdf["macd_histogram"] = pdf["macd_line"] - pdf["macd_signal"]
         tr = np.fmax(h - lo, np.fmax((h - c.shift()).abs(), (lo - c.shift()).abs()))
-        up, down = h.diff().fillna(0.0), -lo.diff().fillna(0.0)
-        wilder = lambda x: x.ewm(alpha=1 / 14, adjust=False, min_periods=14).mean()
-        atr = wilder(tr)
-        plus, minus = 100 * wilder(up.where((up > down) & (up > 0), 0.0)) / atr, 100 * wilder(down.where((down > up) & (down > 0), 0.0)) / atr
-        pdf["plus_di"], pdf["minus_di"] = plus, minus
-        pdf["adx_14"] = wilder(100 * (plus - minus).abs() / (plus + minus).replace(0.0, np.nan))
         band, mid = 3 * tr.rolling(10).mean(), (h + lo) / 2
         line, top, bottom, rising = np.full(len(pdf), np.nan), np.nan, np.nan, None
         for i, (price, m, b) in enumerate(zip(c, mid, band)):
@@ -145,14 +194,18 @@ def recursive(bars: DataFrame) -> DataFrame:
         pdf["supertrend"] = line
         return pdf.replace({np.nan: None})[names]
 
-    added = ["ema_12", "ema_26", "ema_50", "ema_200", "macd_line", "macd_signal", "macd_histogram", "plus_di", "minus_di", "adx_14", "supertrend"]
-    names = ["symbol", "date", "open", "high", "low", "close", "volume", *added]
+    names = ["symbol", "date", "open", "high", "low", "close", "volume", "supertrend"]
     schema = "symbol string, date date, " + ", ".join(f"{n} double" for n in names[2:])
     return bars.select(*names[:7]).groupBy("symbol").applyInPandas(run, schema)
 
 
+def recursive(bars: DataFrame) -> DataFrame:
+    """EMA 12, 26, 50, 200, MACD, ADX and Supertrend, which alone goes through Python."""
+    return directions(averages(supertrend(bars)))
+
+
 def enriched(bars: DataFrame) -> DataFrame:
-    """Bars with all indicators: one exchange by symbol, the recursive pass first."""
+    """Bars with all indicators: one exchange by symbol, the pass through Python first."""
     return cloud_and_volume(drawdowns(bands(oscillators(trend(recursive(bars))))))
 
 
@@ -204,7 +257,7 @@ def features(bars: DataFrame) -> DataFrame:
 
 def rolling_score(bars: DataFrame) -> DataFrame:
     """score 0 to 100 of every bar from what is known at that bar, and its signal."""
-    out = drawdowns(bands(oscillators(trend(recursive(bars)))))
+    out = drawdowns(bands(oscillators(trend(averages(bars)))))
     c, rsi = F.col("close"), F.col("rsi_14")
     add = lambda yes, a, b: F.when(yes, a).when(~yes, b).otherwise(0)
     score = 50 + add(c > F.col("sma_50"), 10, -10) + add(c > F.col("sma_200"), 12, -12) + add(F.col("sma_50") > F.col("sma_200"), 8, -8)

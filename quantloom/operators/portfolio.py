@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.dates import holding_days
 from quantloom.functions.numeric import divide, flag
+from quantloom.sources import scratch
 
 from . import scan
 
@@ -37,7 +38,7 @@ LIMITS = {"asset": 25.0, "class": 50.0, "crypto": 15.0, "least_cash": 2.0, "most
 def value(positions: DataFrame, prices: DataFrame, assets: DataFrame, cash: float | Column = 0.0) -> DataFrame:
     """Positions at latest prices with unrealised result and weight in all that is held, ``cash`` included; NULL values where no price is known."""
     out = positions.join(prices.select("symbol", F.col("close").alias("price")), "symbol", "left").join(assets.select("symbol", "asset_type", "currency", "risk_level"), "symbol", "left")
-    out = out.withColumn("value", F.col("quantity") * F.col("price")).persist()  # a row a position, used twice
+    out = scratch.keep(out.withColumn("value", F.col("quantity") * F.col("price")), "valued")  # a row a position, used twice
     total = out.agg(F.sum("value")).scalar() + (F.lit(cash) if isinstance(cash, float) else cash)  # one number, not a window over all rows
     out = out.withColumns({"unrealized": F.col("value") - F.col("invested_amount"), "weight": divide(F.col("value") * 100, total)})
     return out.withColumns({"unrealized_percent": divide(F.col("unrealized") * 100, F.col("invested_amount")), "class_weight": F.sum("weight").over(W.partitionBy("asset_type"))})
@@ -117,7 +118,7 @@ def allocate(bars: DataFrame, signals: DataFrame, lookback: int = 120, target: f
     rows = bars.where("close IS NOT NULL").withColumn("__k", F.row_number().over(late)).where(F.col("__k") <= lookback)
     rows = rows.withColumn("__r", divide(F.col("close"), F.lag("close").over(W.partitionBy("symbol").orderBy("date"))) - 1)
     vol = rows.groupBy("symbol").agg(F.coalesce(F.when(F.count("__r") >= 2, F.stddev_samp("__r") * (252**0.5)), F.lit(0.0)).alias("volatility"))
-    out = vol.join(signals.select("symbol", "score"), "symbol").withColumns({"__inv": F.when(F.col("volatility") > 1e-6, 1 / F.col("volatility")).otherwise(0.0), "__above": F.greatest(F.coalesce("score", F.lit(0.0)) - 50, F.lit(0.0))}).persist()  # a row an asset, used for its sums too
+    out = scratch.keep(vol.join(signals.select("symbol", "score"), "symbol").withColumns({"__inv": F.when(F.col("volatility") > 1e-6, 1 / F.col("volatility")).otherwise(0.0), "__above": F.greatest(F.coalesce("score", F.lit(0.0)) - 50, F.lit(0.0))}), "allocated")  # a row an asset, used for its sums too
     sums = out.agg(F.struct(F.count(F.lit(1)).alias("n"), F.sum("__inv").alias("inv"), F.sum("__above").alias("above"))).scalar()
     equal = 1 / sums["n"]
     out = out.withColumns({"equal": equal, "risk_parity": F.coalesce(divide(F.col("__inv"), sums["inv"]), equal), "score_weighted": F.coalesce(divide(F.col("__above"), sums["above"]), equal)})
@@ -208,28 +209,31 @@ def parts_of(quantity: Column) -> Column:
     return F.floor(quantity * PARTS + 0.5).cast("long")
 
 
-def lots(orders: DataFrame) -> DataFrame:
+def lots(orders: DataFrame, split: bool) -> DataFrame:
     """Every buy and matched sell as an interval of cumulative quantity in whole billionths: symbol, side, start, end, unit (price with fees), order_date, seq, matched (the symbol's sold quantity).
 
     What is sold beyond the holding is dropped: the holding after each order is its running sum less that sum's least value
-    below 0. A chunk of a symbol's orders hands on its sum and least sum, which compose, so one symbol fills many tasks."""
+    below 0. A chunk of a symbol's orders hands on its sum and least sum, which compose; with ``split`` one symbol fills many tasks."""
     buy = F.col("side") == "BUY"
     rows = orders.select("symbol", "side", parts_of(F.col("quantity")).alias("__q"), "quantity", "price", "fees", "order_date", "seq").where("__q > 0")
     unit = F.col("price") + F.when(buy, F.col("fees")).otherwise(-F.col("fees")) / F.col("quantity")
-    rows = scan.cut(rows.withColumn("unit", unit).drop("quantity", "price", "fees"), "symbol", "seq")
-    way, bought = scan.up_to("symbol", "seq"), F.when(buy, F.col("__q")).otherwise(0)
+    rows = scan.cut(rows.withColumn("unit", unit).drop("quantity", "price", "fees"), split, "symbol", "seq")
+    way, bought = scan.up_to("symbol"), F.when(buy, F.col("__q")).otherwise(0)
     rows = rows.withColumns({"__s": F.sum(F.when(buy, F.col("__q")).otherwise(-F.col("__q"))).over(way), "__b": F.sum(bought).over(way)}).withColumn("__m", F.min("__s").over(way))
 
-    total = rows.groupBy("symbol", "chunk").agg(F.sum(F.when(buy, F.col("__q")).otherwise(-F.col("__q"))).alias("s"), F.min("__m").alias("m"), F.sum(bought).alias("b"))
-    before = scan.earlier("symbol")
-    total = total.withColumns({"s0": F.coalesce(F.sum("s").over(before), F.lit(0)), "b0": F.coalesce(F.sum("b").over(before), F.lit(0))}).withColumn("__low", F.col("s0") + F.col("m"))
-    total = total.withColumn("m0", F.least(F.lit(0), F.min("__low").over(before)))
-    sold = F.col("b0") + F.col("b") - F.col("s0") - F.col("s") + F.least("m0", "__low")
-    total = total.withColumn("matched", F.max(sold).over(W.partitionBy("symbol"))).select("symbol", "chunk", "s0", "b0", "m0", "matched")
-
-    rows = rows.join(total, ["symbol", "chunk"])
+    if split:
+        total = rows.groupBy("symbol", "chunk").agg(F.max_by(F.struct(F.col("__s").alias("s"), F.col("__m").alias("m"), F.col("__b").alias("b")), "pos").alias("x")).select("symbol", "chunk", "x.*")
+        before = scan.earlier("symbol")
+        total = total.withColumns({"s0": F.coalesce(F.sum("s").over(before), F.lit(0)), "b0": F.coalesce(F.sum("b").over(before), F.lit(0))}).withColumn("__low", F.col("s0") + F.col("m"))
+        total = total.withColumn("m0", F.least(F.lit(0), F.min("__low").over(before)))
+        sold = F.col("b0") + F.col("b") - F.col("s0") - F.col("s") + F.least("m0", "__low")
+        rows = rows.join(total.select("symbol", "chunk", "s0", "b0", "m0", F.max(sold).over(W.partitionBy("symbol")).alias("matched")), ["symbol", "chunk"])
+    else:
+        rows = rows.withColumns({"s0": F.lit(0), "b0": F.lit(0), "m0": F.lit(0)})
     rows = rows.withColumn("__held", F.col("s0") + F.col("__s") - F.least("m0", F.col("s0") + F.col("__m")))
-    rows = rows.withColumn("__was", F.coalesce(F.lag("__held").over(scan.within("symbol", "seq")), F.col("s0") - F.col("m0")))
+    rows = rows.withColumn("__was", F.coalesce(F.lag("__held").over(scan.within("symbol")), F.col("s0") - F.col("m0")))
+    if not split:
+        rows = rows.withColumn("matched", F.max(F.col("__b") - F.col("__held")).over(W.partitionBy("symbol", "chunk")))
     rows = rows.withColumns({"__q": F.when(buy, F.col("__q")).otherwise(F.col("__was") - F.col("__held")), "end": F.col("b0") + F.col("__b") - F.when(buy, F.lit(0)).otherwise(F.col("__held"))}).where("__q > 0")
     return rows.select("symbol", "side", (F.col("end") - F.col("__q")).alias("start"), "end", "unit", "order_date", "seq", "matched")
 
@@ -239,16 +243,17 @@ def fifo(orders: DataFrame) -> DataFrame:
 
     The end points of both kinds of intervals cut the line into pieces with one buy and one sell each: the nearest of either
     kind at or behind the piece's end. Chunks of the line hand on their last end and their first buy and sell."""
-    buy = F.col("side") == "BUY"
-    ends = scan.cut(lots(orders).select("symbol", "side", "end", F.struct("seq", "unit", "order_date").alias("x")), "symbol", "end")
+    buy, split = F.col("side") == "BUY", scan.is_long(orders, "symbol")
+    ends = scan.cut(lots(orders, split).select("symbol", "side", "end", F.struct("seq", "unit", "order_date").alias("x")), split, "symbol", "end", "side")
     ends = ends.withColumns({"__b": F.when(buy, F.col("x")), "__s": F.when(~buy, F.col("x"))})
-    line, onward = scan.within("symbol", "end", "side"), scan.up_to("symbol", F.desc("end"), F.desc("side"))
-    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("end", c)))[c]
-    edge = ends.groupBy("symbol", "chunk").agg(F.max("end").alias("e"), first("__b").alias("b"), first("__s").alias("s"))
-    edge = edge.select("symbol", "chunk", F.max("e").over(scan.earlier("symbol")).alias("e0"), *[F.last(c, True).over(scan.later("symbol")).alias(f"{c}1") for c in ("b", "s")])
-
-    rows = ends.withColumns({"__e": F.lag("end").over(line), "__b": F.last("__b", True).over(onward), "__s": F.last("__s", True).over(onward)}).join(edge, ["symbol", "chunk"])
-    rows = rows.select("symbol", (F.col("end") - F.coalesce("__e", "e0", F.lit(0))).alias("parts"), F.coalesce("__b", "b1").alias("b"), F.coalesce("__s", "s1").alias("s"))
+    line, onward = scan.within("symbol"), scan.up_to("symbol", last_first=True)
+    rows = ends.withColumns({"__e": F.lag("end").over(line), "__b1": F.last("__b", True).over(onward), "__s1": F.last("__s", True).over(onward)})
+    if split:
+        first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("pos")))
+        edge = ends.groupBy("symbol", "chunk").agg(F.max("end").alias("e"), first("__b").alias("b"), first("__s").alias("s"))
+        edge = edge.select("symbol", "chunk", F.max("e").over(scan.earlier("symbol")).alias("e0"), *[F.last(c, True).over(scan.later("symbol")).alias(f"{c}0") for c in ("b", "s")])
+        rows = rows.join(edge, ["symbol", "chunk"]).withColumns({"__e": F.coalesce("__e", "e0"), "__b1": F.coalesce("__b1", "b0"), "__s1": F.coalesce("__s1", "s0")})
+    rows = rows.select("symbol", (F.col("end") - F.coalesce("__e", F.lit(0))).alias("parts"), F.col("__b1").alias("b"), F.col("__s1").alias("s"))
     q = F.col("parts") / PARTS
     return rows.where("parts > 0 AND b IS NOT NULL AND s IS NOT NULL").select(
         "symbol", F.year("s.order_date").alias("year"), q.alias("quantity"), "parts", micro(q * F.col("b.unit")).alias("cost"), micro(q * F.col("s.unit")).alias("proceeds"),
@@ -295,7 +300,7 @@ def tax_years(taxed: DataFrame) -> DataFrame:
 def open_lots(orders: DataFrame, prices: DataFrame, assets: DataFrame) -> DataFrame:
     """What is left of all buys after first in, first out: quantity, cost, value and unrealised gain at the latest price, to cents."""
     left = F.col("end") - F.greatest("start", "matched")
-    rows = lots(orders).where("side = 'BUY' AND end > matched").groupBy("symbol").agg((F.sum(left) / PARTS).alias("quantity"), F.sum(micro(left / PARTS * F.col("unit"))).alias("__c"))
+    rows = lots(orders, scan.is_long(orders, "symbol")).where("side = 'BUY' AND end > matched").groupBy("symbol").agg((F.sum(left) / PARTS).alias("quantity"), F.sum(micro(left / PARTS * F.col("unit"))).alias("__c"))
     rows = rows.join(prices.select("symbol", "close"), "symbol", "left").join(assets.select("symbol", "asset_type"), "symbol", "left")
     worth = micro(F.col("quantity") * F.when(F.col("close") != 0, F.col("close")))
     return rows.select("symbol", "asset_type", "quantity", cents_of(F.col("__c")).alias("cost"), cents_of(worth).alias("value"), cents_of(worth - F.col("__c")).alias("unrealized"))

@@ -15,20 +15,33 @@ from pyspark.sql import functions as F
 from quantloom.sources import scratch
 
 
-def cut(rows: DataFrame, key: str, *order: str) -> DataFrame:
-    """``rows`` with a column chunk: of two rows of a key in different chunks the one that comes first by ``order`` has the lower one.
+#: Rows of a key up to which one task takes it whole.
+CHUNK = 1_000_000
 
-    Rows alike in key and order share a chunk. There are as many chunks as the session has shuffle partitions, at most.
-    Written, since another sample would cut elsewhere."""
-    return scratch.keep(rows.repartitionByRange(key, *order).withColumn("chunk", F.spark_partition_id()), "scan")
 
+def is_long(rows: DataFrame, key: str, most: int | None = None) -> bool:
+    """Whether a key has more rows than one task should take."""
+    most = CHUNK if most is None else most
+    return not rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).isEmpty()
 
-def within(key: str, *order) -> WindowSpec:
-    return W.partitionBy(key, "chunk").orderBy(*order)
 
+def cut(rows: DataFrame, split: bool, key: str, *order: str) -> DataFrame:
+    """``rows`` with columns pos and chunk: pos has the order of ``order`` within the key, chunks are stretches of it; one a key unless ``split``.
 
-def up_to(key: str, *order) -> WindowSpec:
-    return within(key, *order).rowsBetween(W.unboundedPreceding, 0)
+    Rows alike in key and the first of ``order`` share a chunk. There are as many chunks as the session has shuffle
+    partitions, at most. Those are written, since another sample would cut elsewhere."""
+    if not split:
+        return rows.withColumns({"pos": F.struct(*order), "chunk": F.lit(0)})
+    dealt = rows.repartitionByRange(key, order[0]).sortWithinPartitions(key, *order).withColumn("pos", F.monotonically_increasing_id())
+    return scratch.keep(dealt.withColumn("chunk", F.shiftright("pos", 33).cast("int")), "scan")  # the upper bits are the partition's
+
+
+def within(key: str, last_first: bool = False) -> WindowSpec:
+    return W.partitionBy(key, "chunk").orderBy(F.desc("pos") if last_first else "pos")
+
+
+def up_to(key: str, last_first: bool = False) -> WindowSpec:
+    return within(key, last_first).rowsBetween(W.unboundedPreceding, 0)
 
 
 def earlier(key: str) -> WindowSpec:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions import numeric
 from quantloom.operators import backtest, portfolio
+from quantloom.sources import scratch
 
 from . import views
 from .catalog import LATEST, W1, query, r, rounded
@@ -17,8 +18,8 @@ VALUED = """v0 AS (SELECT q.symbol, quantity, average_price, invested_amount, l.
 BOOK = ("prices", "positions", "assets", "money")
 
 
-def valued(spark, sf):
-    return portfolio.value(views.positions(spark, sf), portfolio.latest(views.prices(spark, sf)), views.assets(spark, sf), views.cash(spark, sf))
+def valued(spark, sf, bars=None):
+    return portfolio.value(views.positions(spark, sf), portfolio.latest(views.prices(spark, sf) if bars is None else bars), views.assets(spark, sf), views.cash(spark, sf))
 
 
 @query("portfolio_valuation", f"WITH {LATEST}, {VALUED} SELECT symbol, asset_type, round(value, 2) AS value, round(value - invested_amount, 4) AS unrealized, round((value - invested_amount) * 100 / nullif(invested_amount, 0), 4) AS unrealized_percent, round(weight, 4) AS weight, round(class_weight, 4) AS class_weight FROM valued", *BOOK)
@@ -47,13 +48,15 @@ ALL = (*BOOK, "news")
 
 
 def advised(spark, sf):
-    """A row an asset; kept, since lists and board use it several times."""
-    return portfolio.recommend(valued(spark, sf), signal_rows(spark, sf), views.assets(spark, sf)).persist()
+    """Positions at their value and what to do about every asset, each a small table written once: lists and board read them several times."""
+    bars = scratch.keep(views.prices(spark, sf), "bars")
+    held = valued(spark, sf, bars)
+    return held, scratch.keep(portfolio.recommend(held, signal_rows(spark, sf, bars), views.assets(spark, sf)), "advised")
 
 
 @query("recommendations", f"WITH RECURSIVE {LATEST}, {VALUED}, {SIGNALS}, {ADVICE} SELECT symbol, signal, score, round(weight, 4)::DOUBLE AS weight, recommendation FROM advice", *ALL)
 def recommendations(spark, sf):
-    return advised(spark, sf).select("symbol", "signal", "score", F.round("weight", 4).alias("weight"), "recommendation")
+    return advised(spark, sf)[1].select("symbol", "signal", "score", F.round("weight", 4).alias("weight"), "recommendation")
 
 
 WARNED = """share AS (SELECT cash * 100 / (cash + (SELECT coalesce(sum(value), 0) FROM valued)) AS value FROM money),
@@ -67,7 +70,8 @@ WARNED = """share AS (SELECT cash * 100 / (cash + (SELECT coalesce(sum(value), 0
 
 @query("risk_warnings", f"WITH RECURSIVE {LATEST}, {VALUED}, {SIGNALS}, {ADVICE}, {WARNED} SELECT level, code, subject, round(value, 4) AS value FROM warned", *ALL)
 def risk_warnings(spark, sf):
-    return portfolio.warnings(valued(spark, sf), signal_rows(spark, sf), views.cash(spark, sf)).withColumn("value", F.round("value", 4))
+    bars = scratch.keep(views.prices(spark, sf), "bars")
+    return portfolio.warnings(valued(spark, sf, bars), signal_rows(spark, sf, bars), views.cash(spark, sf)).withColumn("value", F.round("value", 4))
 
 
 BOARD = f"""acts AS (SELECT CASE WHEN weight > 0 AND signal = 'SELL' THEN 'SELL' WHEN weight > 0 AND signal = 'REDUCE' THEN 'REDUCE' WHEN weight <= 0 AND recommendation = 'BUY_ALLOWED' THEN 'BUY' END AS kind, * FROM advice),
@@ -77,8 +81,8 @@ BOARD = f"""acts AS (SELECT CASE WHEN weight > 0 AND signal = 'SELL' THEN 'SELL'
 
 
 def acted(spark, sf):
-    rows = advised(spark, sf)
-    return portfolio.board(rows, portfolio.warnings(valued(spark, sf), rows.select("symbol", "signal"), views.cash(spark, sf)))
+    held, rows = advised(spark, sf)
+    return portfolio.board(rows, portfolio.warnings(held, rows.select("symbol", "signal"), views.cash(spark, sf)))
 
 
 @query("action_board", f"WITH RECURSIVE {LATEST}, {VALUED}, {SIGNALS}, {ADVICE}, {WARNED}, {BOARD} SELECT kind, priority, symbol, code, score, weight, CASE priority WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END::INT AS rank FROM board", *ALL)
@@ -93,14 +97,16 @@ def action_counts(spark, sf):
 
 @query("asset_list", f"WITH RECURSIVE {LATEST}, {SIGNALS} SELECT a.symbol, a.name, a.asset_type, a.currency, a.risk_level, l.close AS last_price, l.date AS last_price_date, round((l.close - previous_close) / nullif(previous_close, 0) * 100, 4) AS daily_change, s.score, s.technical_score, {_signal('s.score')} AS signal, s.news_label, s.news_impact FROM assets a LEFT JOIN latest l USING (symbol) LEFT JOIN signals s USING (symbol)", "prices", "assets", "news")
 def asset_list(spark, sf):
-    latest = portfolio.latest(views.prices(spark, sf)).select("symbol", F.col("close").alias("last_price"), F.col("date").alias("last_price_date"), F.round("change_percent", 4).alias("daily_change"))
-    rows = views.assets(spark, sf).join(latest, "symbol", "left").join(signal_rows(spark, sf).drop("news_count", "news_score"), "symbol", "left")
+    bars = scratch.keep(views.prices(spark, sf), "bars")
+    latest = portfolio.latest(bars).select("symbol", F.col("close").alias("last_price"), F.col("date").alias("last_price_date"), F.round("change_percent", 4).alias("daily_change"))
+    rows = views.assets(spark, sf).join(latest, "symbol", "left").join(signal_rows(spark, sf, bars).drop("news_count", "news_score"), "symbol", "left")
     return rows.select("symbol", "name", "asset_type", "currency", "risk_level", "last_price", "last_price_date", "daily_change", "score", "technical_score", "signal", "news_label", "news_impact")
 
 
 @query("position_list", f"WITH RECURSIVE {LATEST}, {VALUED}, {SIGNALS}, {ADVICE} SELECT v.symbol, v.quantity, round(v.average_price, 2) AS average_price, round(v.value, 2) AS value, round(v.weight, 2) AS weight, v.currency, advice.signal, advice.recommendation FROM valued v LEFT JOIN advice USING (symbol)", *ALL)
 def position_list(spark, sf):
-    rows = valued(spark, sf).join(advised(spark, sf).select("symbol", "signal", "recommendation"), "symbol", "left")
+    held, told = advised(spark, sf)
+    rows = held.join(told.select("symbol", "signal", "recommendation"), "symbol", "left")
     return rows.select("symbol", "quantity", *[F.round(c, 2).alias(c) for c in ("average_price", "value", "weight")], "currency", "signal", "recommendation")
 
 
@@ -134,7 +140,8 @@ ALLOC = f"""{LATE}, a0 AS (SELECT symbol, volatility, 1 / (count(*) OVER ())::DO
 
 
 def allocated(spark, sf, most=None):
-    return portfolio.allocate(views.prices(spark, sf), signal_rows(spark, sf), most=most)
+    bars = scratch.keep(views.prices(spark, sf), "bars")
+    return portfolio.allocate(bars, signal_rows(spark, sf, bars), most=most)
 
 
 @query("allocation", f"WITH RECURSIVE {SIGNALS}, {ALLOC} SELECT symbol, {r('volatility equal risk_parity score_weighted')}, round(risk_parity * least(1, coalesce(.15 / nullif(sum(risk_parity * volatility) OVER (), 0), 1)), 5) AS vol_target FROM a1", "prices", "assets", "news")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quantloom.operators import indicators, learning
+from quantloom.sources import scratch
 
 from . import views
 from .catalog import NEWS, OSC, TREND, W1, _news, query
@@ -68,7 +69,7 @@ def ml_lookahead(spark, sf):
 @query("ml_logistic")
 def ml_logistic(spark, sf):
     """Measures of a logistic regression on the last quarter of the dates."""
-    parts = learning.split_by_time(data(spark, sf)).cache()
+    parts = scratch.keep(learning.split_by_time(data(spark, sf)), "parts")
     model = learning.train(parts.where("part = 'train'"))
     told = learning.predict(model, parts.where("part = 'test'"))
     return learning.measures(told).withColumn("auc", F.lit(learning.auc(told)))
@@ -78,7 +79,7 @@ def ml_logistic(spark, sf):
 def ml_predictions(spark, sf):
     """What the model says of every symbol's latest bar."""
     rows = data(spark, sf)
-    parts = learning.split_by_time(rows).cache()
+    parts = scratch.keep(learning.split_by_time(rows), "parts")
     model = learning.train(parts.where("part = 'train'"))
     told = learning.predict(model, parts.where("part = 'test'"))
     m, area = learning.measures(told).first(), learning.auc(told)

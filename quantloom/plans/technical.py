@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quantloom.operators import indicators, scoring
+from quantloom.sources import scratch
 
 from . import views
 from .catalog import NEWS, OSC, TREND, W1, _mid, _news, full, query, r, rounded
@@ -73,18 +74,19 @@ SIGNALS = f"""{TECH}, {NEWS}, n7 AS (SELECT symbol, count(*) AS news_count, roun
         CASE WHEN coalesce(mood, 0) >= .15 THEN 'POSITIVE' WHEN coalesce(mood, 0) <= -.15 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS news_label, CASE strong WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS news_impact FROM tech LEFT JOIN n7 USING (symbol))"""
 
 
-def snapshot(spark, sf):
-    return indicators.snapshot(views.prices(spark, sf))
+def snapshot(spark, sf, bars=None):
+    """Of bars that are written once, as the indicators and the pivots both read them."""
+    return indicators.snapshot(scratch.keep(views.prices(spark, sf), "bars") if bars is None else bars)
 
 
-def technical_rows(spark, sf):
-    return scoring.technical(snapshot(spark, sf), views.assets(spark, sf))
+def technical_rows(spark, sf, bars=None):
+    return scoring.technical(snapshot(spark, sf, bars), views.assets(spark, sf))
 
 
-def signal_rows(spark, sf):
-    """Stored signals: symbol, technical_score, score (final), signal and what the news say."""
-    out = scoring.overlay(technical_rows(spark, sf).select("symbol", "score"), _news(spark, sf), AS_OF)
-    return out.select("symbol", F.col("score").alias("technical_score"), "news_count", "news_score", F.col("final_score").alias("score"), F.col("final_signal").alias("signal"), "news_label", "news_impact")
+def signal_rows(spark, sf, bars=None):
+    """Stored signals, written once: symbol, technical_score, score (final), signal and what the news say."""
+    out = scoring.overlay(technical_rows(spark, sf, bars).select("symbol", "score"), _news(spark, sf), AS_OF)
+    return scratch.keep(out.select("symbol", F.col("score").alias("technical_score"), "news_count", "news_score", F.col("final_score").alias("score"), F.col("final_signal").alias("signal"), "news_label", "news_impact"), "signals")
 
 
 @query("recursive_indicators", f"WITH RECURSIVE {REC} SELECT symbol, date, " + ", ".join(f"round({n}, 3) AS {n}" for n in "ema_12 ema_26 ema_50 ema_200 macd_line macd_signal macd_histogram plus_di minus_di adx_14 supertrend".split()) + " FROM ri", "prices")
@@ -125,7 +127,10 @@ def score_reasons(spark, sf):
     coalesce(rsi_14 <= 30, FALSE) AS oversold, coalesce(volatility_30 >= .45::DOUBLE, FALSE) AS high_volatility, coalesce(support_percent <= 3, FALSE) AS near_support, coalesce(resistance_percent <= 3, FALSE) AS near_resistance, technical_score, final_score, {_signal('technical_score')} AS signal, {_signal('final_score')} AS stored_signal, news_label, news_impact,
     CASE WHEN close > sma_50 AND close > sma_200 THEN 'Rising: the price is above its 50- and 200-bar averages.' WHEN coalesce(close <= sma_50, TRUE) AND coalesce(close <= sma_200, TRUE) THEN 'Weak: the price is below its main averages.' WHEN adx_14 >= 25 THEN 'Directed, says the ADX.' ELSE 'Mixed or sideways.' END AS trend_summary FROM x""", "prices", "assets", "news")
 def technical_analysis(spark, sf):
-    rows = technical_rows(spark, sf).withColumnRenamed("score", "technical_score").join(signal_rows(spark, sf).select("symbol", F.col("score").alias("final_score"), F.col("signal").alias("stored_signal"), "news_label", "news_impact"), "symbol")
+    bars = scratch.keep(views.prices(spark, sf), "bars")
+    rows = scratch.keep(technical_rows(spark, sf, bars), "technical")
+    told = scoring.overlay(rows.select("symbol", "score"), _news(spark, sf), AS_OF)
+    rows = rows.withColumnRenamed("score", "technical_score").join(told.select("symbol", "final_score", F.col("final_signal").alias("stored_signal"), "news_label", "news_impact"), "symbol")
     return rows.select(
         "symbol", "above_sma50", "above_sma200", "bullish_macd", "bearish_macd", "overbought", "oversold", "high_volatility", "near_support", "near_resistance",
         "technical_score", "final_score", "signal", "stored_signal", "news_label", "news_impact", "trend_summary",
@@ -141,7 +146,7 @@ def signals(spark, sf):
     FROM osc JOIN t USING (symbol, date) JOIN more USING (symbol, date) JOIN ri USING (symbol, date)""", "prices")
 def price_view(spark, sf):
     """Bars with the indicators that a chart shows."""
-    rows = indicators.bands(indicators.oscillators(indicators.trend(indicators.recursive(views.prices(spark, sf)))))
+    rows = indicators.bands(indicators.oscillators(indicators.trend(indicators.averages(views.prices(spark, sf)))))
     names = "sma_20 sma_50 sma_200 ema_12 ema_26 ema_50 ema_200 rsi_14 macd_line macd_signal macd_histogram bollinger_upper bollinger_lower bandwidth".split()
     return rows.select("symbol", "date", "open", "high", "low", "close", F.round("volume", 2).alias("volume"), *[F.round(n, 5 if n.startswith("sma") else 3).alias(n) for n in names])
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quantloom.operators import indicators
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -46,8 +48,8 @@ def fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weekly bars a brand: symbol, date, open, high, low, close, volume."""
-    return bars(orders(spark, sf_dir).select("symbol", F.to_date(F.date_trunc("week", "order_date")).alias("date"), "seq", "price", "quantity"))
+    """Weekly bars a brand: symbol, date, open, high, low, close, volume, prepared for the indicators."""
+    return indicators.prepare(bars(orders(spark, sf_dir).select("symbol", F.to_date(F.date_trunc("week", "order_date")).alias("date"), "seq", "price", "quantity")))
 
 
 def bars(ticks: DataFrame) -> DataFrame:
@@ -87,11 +89,6 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ticks of the event stream: symbol (event type), ts, price, quantity."""
-    return table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("price"), F.lit(1.0).alias("quantity"))
-
-
 SQL = {
     "assets": """SELECT symbol, x.p_name AS name,
     CASE WHEN x.p_type IN ('STANDARD', 'PROMO') THEN 'stock' WHEN x.p_type = 'ECONOMY' THEN 'etf' WHEN x.p_type = 'MEDIUM' THEN 'bond' WHEN x.p_type = 'SMALL' THEN 'crypto' ELSE 'bond_etf' END AS asset_type,

@@ -90,14 +90,15 @@ def test_fractions_meet_where_they_are_equal(spark):
     assert portfolio.fifo(orders_of(spark, rows).limit(0)).count() == 0
 
 
-def test_one_symbol_fills_many_tasks(spark):
+def test_one_symbol_fills_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(scan, "CHUNK", 10_000)
     rng, rows = random.Random(8), []
     for k in range(20_000):
         rows.append(("A", "BUY" if rng.random() < (0.7 if k % 4000 < 2000 else 0.3) else "SELL", rng.randint(1, 300) / 100, rng.randint(100, 9999) / 100, 0.0, f"2025-{1 + k // 2000:02d}-{1 + k % 28:02d}"))
     spark.conf.set("spark.sql.shuffle.partitions", "16")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        chunks = scan.cut(orders_of(spark, rows), "symbol", "seq").groupBy("chunk").agg(F.count("*").alias("n"), F.min("seq").alias("lo"), F.max("seq").alias("hi")).orderBy("chunk").collect()
+        chunks = scan.cut(orders_of(spark, rows), True, "symbol", "seq").groupBy("chunk").agg(F.count("*").alias("n"), F.min("seq").alias("lo"), F.max("seq").alias("hi")).orderBy("chunk").collect()
         assert len(chunks) == 16 and max(c.n for c in chunks) < 4000 and all(a.hi < b.lo for a, b in zip(chunks, chunks[1:]))
         same_as_queues(spark, rows)
     finally:
