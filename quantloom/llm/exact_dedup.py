@@ -77,7 +77,9 @@ class DigestIndex:
         return out
 
     def compact(self) -> None:
-        """Merge all runs into one sorted run that keeps the smallest identifier of each digest."""
+        """Merge all runs into one sorted run that keeps the smallest identifier of each digest; one run alone stays."""
+        if len(self.runs) < 2:
+            return
         old, merged = self.runs, self.read().groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"))
         self.runs = []
         self._write(merged, self._new("merged"))
