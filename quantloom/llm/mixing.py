@@ -9,8 +9,9 @@ order whose words come nearest to what is left. Only sums for each source and ea
 one such bucket in which a source's cut falls.
 
 Nulls: a null text has size 0, a null source is a source of its own (the last), a
-null doc_id is ordered as the empty string. Rows that repeat a doc_id share their
-place in the seeded order and are taken or left together. No rows, no rows out. Long
+null doc_id is ordered as the empty string. The seeded order is that of a hash of seed,
+doc_id and text: rows that repeat a doc_id have places of their own, unless their texts
+are the same too; these are taken or left together. No rows, no rows out. Long
 texts count whole; mix() hands all columns on whatever their names.
 """
 
@@ -33,8 +34,8 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def _keys(doc_id: Column, source: Column, seed: str) -> dict[str, Column]:
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def _keys(doc_id: Column, source: Column, text: Column, seed: str) -> dict[str, Column]:
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")))))
     return {
         "__source": F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), source.cast("string"))),
         "__key": key,
@@ -43,14 +44,17 @@ def _keys(doc_id: Column, source: Column, seed: str) -> dict[str, Column]:
 
 
 def water_level(sources: DataFrame, total: float) -> float:
-    """The level at which weights, clamped at caps, sum to ``total``; a row of sums a round reaches the driver."""
-    level, clamped = 0.0, -1
-    while True:
-        below = F.col("cap") < F.col("weight") * F.lit(level)
-        row = sources.agg(F.count_if(below).alias("n"), F.sum(F.when(below, F.col("cap")).otherwise(0)).alias("cap"), F.sum(F.when(below, 0).otherwise(F.col("weight"))).alias("weight")).first()
-        if not row.weight or row.n == clamped:
-            return level
-        clamped, level = row.n, (total - row.cap) / row.weight
+    """The level at which weights, clamped at caps, sum to ``total``.
+
+    Sources clamp in the order of cap / weight: with those before it clamped, the rest share what is left, and the first
+    source that this doesn't lift above its cap has the level. One row reaches the driver."""
+    c, before = F.col, W.orderBy(F.col("cap") / F.col("weight"), "__source").rowsBetween(W.unboundedPreceding, -1)  # a row a source
+    rows = sources.withColumns({"__capped": F.coalesce(F.sum("cap").over(before), F.lit(0)), "__used": F.coalesce(F.sum("weight").over(before), F.lit(0))})
+    weights = sources.agg(F.sum("weight")).scalar()
+    rows = rows.withColumn("__level", (F.lit(total) - c("__capped")) / (weights - c("__used")))
+    fits = F.when(c("cap") >= c("weight") * c("__level"), c("__level"))
+    row = rows.agg(F.count(F.lit(1)).alias("n"), F.min_by(fits, F.when(fits.isNotNull(), F.struct(c("cap") / c("weight"), "__source"))).alias("level")).first()
+    return row.level if row.level is not None else float("inf") if row.n else 0.0  # inf: all are clamped
 
 
 def mixing_plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
@@ -89,14 +93,14 @@ def repetitions() -> Column:
 
 
 def size_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    sized = docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"))
-    return common.materialize(sized.withColumns(_keys(F.col("doc_id"), F.col("source"), seed)), "mix-sized")
+    sized = docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), F.col("text"))
+    return common.materialize(sized.withColumns(_keys(F.col("doc_id"), F.col("source"), F.col("text"), seed)).drop("text"), "mix-sized")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
     """Every row of ``docs`` as often as the mix takes it, with the columns of ``docs``."""
     plan = mixing_plan(size_documents(docs, seed), weights, share, epochs)
-    rows = docs.select(F.struct("*").alias("__row")).withColumns(_keys(F.col("__row.doc_id"), F.col("__row.source"), seed))
+    rows = docs.select(F.struct("*").alias("__row")).withColumns(_keys(F.col("__row.doc_id"), F.col("__row.source"), F.col("__row.text"), seed))
     rows = rows.join(plan, "__source").withColumn("__times", repetitions()).where("__times > 0")
     return rows.select("__row", F.explode(F.sequence(F.lit(1), F.col("__times")))).select("__row.*")
 
@@ -111,7 +115,7 @@ def op4_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP4_SQL = rf"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')) AS k
+         md5('{SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS k
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS r

@@ -1,3 +1,4 @@
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -47,11 +48,42 @@ def test_mix_repeats_whole_rows(spark, odd, none):
 
 def test_water_level_clamps_in_rounds(spark):
     rows = [("a", 10.0, 3), ("b", 1000.0, 1), ("c", 30.0, 2), ("d", 500.0, 3)]
-    level = m.water_level(spark.createDataFrame(rows, "s string, cap double, weight int"), 600.0)
+    level = m.water_level(spark.createDataFrame(rows, "__source string, cap double, weight int"), 600.0)
     got = [min(cap, w * level) for _, cap, w in rows]
     assert got[0] == 10 and got[2] == 30 and sum(got) == pytest.approx(600) and got[3] == pytest.approx(3 * got[1])
 
 
+def plain_level(rows, total):
+    left, spent = list(rows), 0.0
+    while left:
+        level = (total - spent) / sum(w for _, _, w in left)
+        over = [x for x in left if x[1] < x[2] * level]
+        if not over:
+            return level
+        spent, left = spent + sum(x[1] for x in over), [x for x in left if x not in over]
+    return float("inf")
+
+
+def test_water_level_against_rounds(spark):
+    rng = random.Random(1)
+    for n in (1, 2, 7, 40):
+        rows = [(f"s{k}", float(rng.choice((0, 5, 5, rng.randint(1, 900)))), rng.randint(1, 3)) for k in range(n)]
+        for share in (0.0, 0.2, 0.75, 1.0, 1.5):
+            total = share * sum(x[1] for x in rows)
+            level, want = m.water_level(spark.createDataFrame(rows, "__source string, cap double, weight int"), total), plain_level(rows, total)
+            assert sum(min(c, w * level) for _, c, w in rows) == pytest.approx(sum(min(c, w * want) for _, c, w in rows))
+    assert m.water_level(spark.createDataFrame([], "__source string, cap double, weight int"), 5.0) == 0.0
+
+
+def test_rows_without_ids_are_taken_apart(spark):
+    df = spark.createDataFrame([(None, f"w{k} a b c d", "a") for k in range(60)] + [(1, "x " * 40, "b"), (1, "y " * 40, "b")], "doc_id long, text string, source string")
+    s = sized(df)
+    rows = s.join(m.mixing_plan(s), "__source").withColumn("taken", F.col("size") * m.repetitions()).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(r.taken - r.target) <= (2.5 if r.source == "a" else 20) for r in rows)
+    got = s.join(m.mixing_plan(s), "__source").withColumn("repetitions", m.repetitions())
+    check(got.select("doc_id", "source", "size", "source_size", "target", "repetitions", (F.col("size") * F.col("repetitions")).alias("taken")), m.OP4_SQL, documents=df)
+
+
 def test_null_text_and_zero_sizes(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
     s = sized(df)

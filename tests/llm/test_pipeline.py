@@ -85,11 +85,12 @@ def plain_mix(rows):
         over = [x for x in left if weight[x] * level > 2 * total[x]]
         target |= {x: 2 * total[x] for x in over} if over else {x: weight[x] * level for x in left}
         left = [x for x in left if x in set(over) ^ set(left)] if over else []
-    times = Counter()
+    times, text = Counter(), {r.doc_id: r.text or "" for r in rows}
+    place = lambda d: hashlib.md5(f"{mixing.SEED}:{'' if d is None else d}:{hashlib.md5(text[d].encode()).hexdigest()}".encode()).hexdigest()
     for x in order:
         whole = int(target[x] // total[x]) if total[x] else 0
         rest, seen = target[x] - whole * total[x], 0
-        for d in sorted(by[x], key=lambda d: hashlib.md5(f"{mixing.SEED}:{'' if d is None else d}".encode()).hexdigest()):
+        for d in sorted(by[x], key=place):
             times[d] += whole + (rest > 0 and seen + size[d] / 2 <= rest)
             seen += size[d]
     return +times
