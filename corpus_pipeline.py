@@ -57,5 +57,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        kept = common.materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        common.drop(docs)  # the stage before, once the next is written
+        docs = kept
     return docs
