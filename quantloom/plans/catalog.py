@@ -201,4 +201,4 @@ def json_props(spark, sf):
     return views.table(spark, sf, "events").select("event_id", F.from_json("props", "k long").k.alias("k"))
 
 
-from . import books, feeds, learning, ledger, runs, technical  # noqa: E402, F401 (they register their queries)
+from . import books, feeds, learning, ledger, records, runs, technical  # noqa: E402, F401 (they register their queries)

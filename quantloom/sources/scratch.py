@@ -27,12 +27,17 @@ def drop(spark: SparkSession, path: str) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def later(spark: SparkSession, path: str) -> None:
+    """Have a path go when the driver ends."""
+    atexit.register(drop, spark, path)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """``df`` written under a path of its own, which goes when the driver ends, and read back.
 
     Each call reads the inputs anew, unlike a persisted frame, which answers for files that have changed since."""
     spark = df.sparkSession
     path = f"{root(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(drop, spark, path)
+    later(spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
