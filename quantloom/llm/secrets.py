@@ -1,8 +1,12 @@
 """Secret scans: candidates by shape, false positives removed by a random forest; native DataFrame and MLlib operations only.
 
-A candidate is a run of 16 or more of A-Z a-z 0-9 + / = _ - within a word; or, in a word
-without such a run, eight or more characters that an assignment (= or :) follows a cue
-such as password or api_key with, whatever marks they have. Features are its length,
+A candidate is a run of 16 or more of A-Z a-z 0-9 + / = _ - within a word; or eight or
+more characters without white space, quotes, commas, semicolons and brackets that an
+assignment (= or :) follows a name with a cue such as password or api_key
+with, whatever marks they have, anywhere in a word and as often as there are any, also
+where name and sign stand in the two words before; or the password of a user in an
+address (://user:password@host). A run ends before such a name. A name has at most 64
+characters behind its cue; values have no limit. Features are its length,
 character classes and transitions between them, distinct characters, how much of it
 dictionary words cover, whether it is part of a path, and what the words beside it say.
 The forest learns from labelled findings: ``findings`` has word, before, after and label
@@ -46,8 +50,13 @@ DICTIONARY = (
     "token secret password default example sample test value string config index module class public private return function release version branch commit license image document report module chapter section"
 ).split()
 CUES = "token|secret|passw|api.?key|apikey|access.?key|auth|bearer|credential|private.?key|client.?key|signing"
-#: A cue, an assignment and what is assigned, at the end of some words.
-ASSIGNED = rf"(?i)(?:{CUES}|passphrase|pwd)[a-z0-9_\-]*[\"'`]?\s?[=:]\s?[\"'`(]?([^\s\"'`,;()]{{8,}})[\"'`,;.)]*$"
+#: A name with a cue; and where it is followed by an assignment.
+NAME = rf"(?:{CUES}|passphrase|pwd)[a-z0-9_\-]{{0,64}}[\"'`]?"
+ASSIGN = rf"{NAME}[=:]"
+VALUE = r"[^\s\"'`,;()\[\]{}<>]{8,}"
+ADDRESS = r"://[^/:@\s\"'`<>]*:([^/@\s\"'`<>]{8,})(?=@)"
+#: What is assigned, or a password in an address, or a run that holds no name with an assignment; each in a group.
+FOUND = rf"(?i){ASSIGN}[\"'`(\[{{]?({VALUE})|{ADDRESS}|((?:(?!{ASSIGN})[A-Z0-9+/=_\-]){{16,}}+)"
 DECOYS = "example|sample|dummy|test|placeholder|uuid|guid|sha|md5|commit|digest|checksum|hash|etag|order|invoice|phone|isbn|card|serial|version|build|revision"
 
 
@@ -89,22 +98,27 @@ def features(word: Column, before: Column, after: Column) -> dict[str, Column]:
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, word_index, place (in the word), word, before, after of every candidate."""
     text = common.text_or_empty()
-    rows = docs.select("doc_id", F.split(text, r"[\x20\x09-\x0D]+").alias("words"), text.rlike(rf"(?i)(?:{CUES}|passphrase|pwd)[a-z0-9_\-]*[\"'`]?\s?[=:]").alias("cued"))
+    told = text.rlike(rf"(?i){NAME}\s*[=:]") | text.rlike(ADDRESS)
+    rows = docs.select("doc_id", F.split(text, r"[\x20\x09-\x0D]+").alias("words"), told.alias("cued"))
     slot = lambda i, by: F.coalesce(F.get(F.col("words"), i + by), F.lit(""))
+    near = lambda i: F.concat_ws(" ", F.when(i >= 2, slot(i, -2)), F.when(i >= 1, slot(i, -1)))
     run = lambda w: (F.length(w) >= 16) & w.rlike(SHAPE)
-    tail = lambda w, i: F.right(F.concat_ws(" ", F.when(i >= 2, slot(i, -2)), F.when(i >= 1, slot(i, -1)), w), F.lit(512))
+    # A name whose sign or value stands in the next word: the word is read as if they stood together.
+    led = lambda w, i: F.when(near(i).rlike(rf"(?i){ASSIGN}\z") | near(i).rlike(rf"(?i){NAME}\s[=:]\z"), "pwd=").when(w.rlike("^[=:]") & near(i).rlike(rf"(?i){NAME}\z"), "pwd").otherwise("")
     plain = F.transform("words", lambda w, i: F.when(run(w), i))
-    both = F.transform("words", lambda w, i: F.when(run(w) | ((F.length(w) >= 8) & tail(w, i).rlike(ASSIGNED)), i))
+    both = F.transform("words", lambda w, i: F.when((F.length(w) >= 8) & (run(w) | w.rlike(rf"(?i){ASSIGN}[\"'`(\[{{]?{VALUE}|{ADDRESS}") | (led(w, i) != "")), i))
     at = F.array_compact(F.when(F.col("cued"), both).otherwise(plain))
-    side = lambda i: F.struct(i.alias("i"), slot(i, 0).alias("w"), F.concat_ws(" ", slot(i, -2), slot(i, -1)).alias("before"), F.concat_ws(" ", slot(i, 1), slot(i, 2)).alias("after"), tail(slot(i, 0), i).alias("tail"))
-    rows = rows.select("doc_id", F.explode(F.transform(at, side)).alias("x")).select("doc_id", "x.*")
-    assigned = F.regexp_extract("tail", ASSIGNED, 1)
-    # What is assigned may reach back over the word before it only if the word itself holds it.
-    start = F.instr("w", assigned)
-    alone = F.when((assigned != "") & (start > 0), F.struct(F.array(assigned).alias("found"), F.array(F.left("w", start - 1), F.substring(F.col("w"), start + F.length(assigned), F.length("w"))).alias("between")))
-    runs = F.struct(F.regexp_extract_all("w", F.lit(f"({SHAPE})"), F.lit(1)).alias("found"), F.split("w", SHAPE).alias("between"))
-    rows = rows.withColumn("y", F.when(run(F.col("w")), runs).otherwise(alone)).select("doc_id", "i", "before", "after", "y.between", F.posexplode("y.found").alias("place", "word"))
-    head, tail_of = F.coalesce(F.get("between", F.col("place")), F.lit("")), F.coalesce(F.get("between", F.col("place") + 1), F.lit(""))
+    side = lambda i: F.struct(i.alias("i"), led(slot(i, 0), i).alias("lead"), slot(i, 0).alias("w"), F.concat_ws(" ", slot(i, -2), slot(i, -1)).alias("before"), F.concat_ws(" ", slot(i, 1), slot(i, 2)).alias("after"))
+    rows = rows.select("doc_id", "cued", F.explode(F.transform(at, side)).alias("x")).select("doc_id", "x.*").withColumn("w", F.concat("lead", "w"))
+    every = lambda k: F.regexp_extract_all("w", F.lit(FOUND), F.lit(k))
+    rows = rows.select("doc_id", "i", "lead", "before", "after", F.split("w", FOUND, -1).alias("between"), F.posexplode(F.arrays_zip(*[every(k).alias(f"g{k}") for k in range(4)])).alias("place", "m"))
+    word = F.concat(*[F.coalesce(F.col(f"m.g{k}"), F.lit("")) for k in (1, 2, 3)])  # one of them matched
+    # What a match holds before the candidate belongs to the part before it.
+    rows = rows.withColumn("word", word).withColumn("start", F.length("m.g0") - F.length("word"))
+    led_off = F.when(F.col("place") == 0, F.length("lead")).otherwise(0)
+    head = F.concat(F.coalesce(F.get("between", F.col("place")), F.lit("")), F.substring(F.col("m.g0"), F.lit(1), F.col("start")))
+    head = F.substring(head, led_off + 1, F.length(head))
+    tail_of = F.coalesce(F.get("between", F.col("place") + 1), F.lit(""))
     return rows.select(
         "doc_id", F.col("i").cast("long").alias("word_index"), F.col("place").cast("long").alias("place"), "word",
         F.right(F.concat("before", F.lit(" "), head), F.lit(NEAR)).alias("before"), F.left(F.concat(tail_of, F.lit(" "), F.col("after")), F.lit(NEAR)).alias("after"),
@@ -123,7 +137,7 @@ def synthetic_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
     parts = {"spoken": F.concat(*[pick(f"s{k}", *syllables) for k in range(14)])}
     spoken = F.col("spoken")
     prose = lambda k: F.concat_ws(" ", F.concat(*[pick(f"{k}{i}", *syllables) for i in range(3)]), F.concat(*[pick(f"{k}{i}", *syllables) for i in range(3, 5)]))
-    named = lambda k, *names: F.concat(pick(k, *names), pick(f"{k}b", " = ", "=", ": "), pick(f"{k}q", '"', "'", ""))
+    named = lambda k, *names: F.concat(pick(k, *names), pick(f"{k}b", " = ", "=", ": ", '":"', '": "'), pick(f"{k}q", '"', "'", ""))
     parts["cue"] = named("cue", "token", "secret", "password", "api_key", "apikey", "access_key", "auth_token", "client_secret", "TOKEN", "API_KEY", "Authorization: Bearer")
     parts["decoy"] = named("decoy", "commit", "sha1", "md5", "digest", "checksum", "etag", "uuid", "order", "invoice", "serial", "build")
     parts |= {"p": prose("p"), "a": prose("a"), "key": pick("kind", *range(8)), "wrong": pick("wrong", *range(10))}
@@ -138,7 +152,7 @@ def synthetic_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
         .otherwise(F.upper(cut(sha("f"), upto("fl", 32, 40))))
     )
     harmless = (
-        F.when(wrong == 0, F.concat(F.initcap(F.left(spoken, F.lit(1))), F.substring(spoken, 2, 22))).when(wrong == 1, cut(numbers, upto("nl", 16, 20)))
+        F.when(wrong == 0, F.concat(F.initcap(F.left(spoken, F.lit(1))), F.substring(spoken, F.lit(2), upto("w0", 15, 23)))).when(wrong == 1, cut(numbers, upto("nl", 16, 20)))
         .when(wrong == 2, cut(sha("g"), F.lit(40))).when(wrong == 3, dashed).when(wrong == 4, F.concat(F.lit("src/"), cut(letters, F.lit(6)), F.lit("/"), cut(spoken, F.lit(9))))
         .when(wrong == 5, pick("place", "xxxxxxxxxxxxxxxxxxxx", "your-api-key-goes-here", "REPLACE_WITH_YOUR_TOKEN", "0000000000000000000000", "example-token-value-123", "changeme-changeme-changeme"))
         .when(wrong == 8, pick("word", "required", "changeme", "expired.", "your-token", "<token>", "undefined", "optional", "forgotten?", "os.environ[X]", "${SECRET}", "********", "see-below", "getenv(KEY)", "settings.TOKEN"))
@@ -147,10 +161,11 @@ def synthetic_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
     )
     ids = common.materialize(spark.range(rows).withColumns(parts), "secret-parts").withColumn("label", (F.pmod(F.xxhash64(F.lit("y"), "id"), F.lit(2))).cast("int"))
     yes, quote = F.col("label") == 1, pick("quote", '"', "'", "", ".")
-    before = F.when(yes, F.when((upto("alone", 0, 9) == 0) & ~key.isin(5, 6), prose("p")).otherwise(F.concat_ws(" ", prose("p"), cue))).otherwise(
-        F.when(wrong.isin(2, 3), F.concat_ws(" ", prose("p"), decoy)).when(wrong.isin(5, 8, 9), F.concat_ws(" ", prose("p"), cue)).otherwise(F.concat(prose("p"), F.lit(" ")))
+    address = key.isin(5, 6) & (upto("address", 0, 3) == 0)  # a password in an address
+    before = F.when(yes & address, F.concat(prose("p"), F.lit(" "), pick("scheme", "postgres", "mysql", "redis", "amqp", "https", "ftp"), F.lit("://"), F.left(spoken, upto("user", 3, 8)), F.lit(":"))).when(yes, F.when((upto("alone", 0, 9) == 0) & ~key.isin(5, 6), prose("p")).otherwise(F.concat_ws(" ", prose("p"), cue))).otherwise(
+        F.when((wrong == 2) | ((wrong == 3) & (upto("bare", 0, 1) == 0)), F.concat_ws(" ", prose("p"), decoy)).when(wrong.isin(5, 8, 9), F.concat_ws(" ", prose("p"), cue)).otherwise(F.concat(prose("p"), pick("stop", "", "", ".", ","), F.lit(" ")))
     )
-    out = ids.select(F.when(yes, secret).otherwise(harmless).alias("word"), F.right(before, F.lit(NEAR)).alias("before"), F.left(F.concat(quote, F.lit(" "), prose("a")), F.lit(NEAR)).alias("after"), "label")
+    out = ids.select(F.when(yes, secret).otherwise(harmless).alias("word"), F.right(before, F.lit(NEAR)).alias("before"), F.left(F.concat(F.when(yes & address, F.concat(F.lit("@"), F.right(spoken, F.lit(6)))).otherwise(quote), F.lit(" "), prose("a")), F.lit(NEAR)).alias("after"), "label")
     return common.materialize(out, "secret-findings")  # else its long expressions and the features would be compiled as one
 
 
