@@ -165,3 +165,44 @@ def part_numbers(spark, sf):
     ratio = F.when(F.col("p_size") == 7, F.lit(float("nan"))).otherwise(F.try_divide("p_retailprice", F.col("p_size") - 7))
     label = F.element_at(F.array(*map(F.lit, ("DRAWDOWN_RISK", "NON_POSITIVE_RETURN", "OUTPERFORM", "HOLD"))), (F.col("p_size") % 4 + 1))
     return views.table(spark, sf, "part").select("p_partkey", text.parse_number(said).alias("parsed"), numeric.clamp(F.col("p_retailprice") / 15).alias("clamped"), numeric.round_safe(ratio, 4).alias("safe"), text.encode_label(label).alias("encoded"), text.contains_any("SMALL", F.col("p_name"), F.col("p_type")).alias("has_small"))
+
+
+@query("provider_keys", """WITH p AS (SELECT symbol, asset_type, CASE WHEN asset_type IN ('stock', 'etf', 'bond_etf') THEN 'daily' WHEN asset_type = 'crypto' THEN 'ticks' END AS provider, 'https://prices.example/query?symbol=' || url_encode(symbol) || '&kind=' || url_encode(asset_type) AS url FROM assets)
+    SELECT symbol, asset_type, provider, url, provider || ':prices:' || upper(symbol) || ':' || sha256(url) AS cache_key FROM p WHERE provider IS NOT NULL""", "assets")
+def provider_keys(spark, sf):
+    """Which source serves each asset, and the key under which its response is cached."""
+    rows = views.assets(spark, sf).withColumn("provider", responses.provider_of(F.col("asset_type"))).where("provider IS NOT NULL")
+    rows = rows.withColumn("url", responses.request_url("https://prices.example/query", symbol=F.col("symbol"), kind=F.col("asset_type")))
+    return rows.select("symbol", "asset_type", "provider", "url", responses.cache_key(F.col("provider"), "prices", F.col("symbol"), F.col("url")).alias("cache_key"))
+
+
+@query("news_cache", """WITH c AS (SELECT CASE doc_id % 4 WHEN 0 THEN 'scored_news' WHEN 1 THEN 'plain_news' ELSE 'daily' END AS provider, CASE WHEN doc_id % 7 <> 0 THEN TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id * 3600) END AS expires_at FROM documents)
+    SELECT count(*) AS entries, count_if(coalesce(expires_at > TIMESTAMP '2024-01-10 00:00:00', FALSE))::BIGINT AS valid, count_if(NOT coalesce(expires_at > TIMESTAMP '2024-01-10 00:00:00', FALSE))::BIGINT AS expired FROM c WHERE provider LIKE '%news%'""")
+def news_cache(spark, sf):
+    """Cached responses of the sources of news, valid and expired at a time."""
+    c = F.col("doc_id")
+    rows = views.table(spark, sf, "documents").select(F.when(c % 4 == 0, "scored_news").when(c % 4 == 1, "plain_news").otherwise("daily").alias("provider"), F.when(c % 7 != 0, F.date_format(F.timestamp_seconds(F.lit(1704067200) + c * 3600), "yyyy-MM-dd'T'HH:mm:ss")).alias("expires_at"))
+    return tables.cache_stats(rows.where(F.col("provider").like("%news%")), "2024-01-10 00:00:00")
+
+
+@query("signal_layouts", """WITH o AS (SELECT o_orderkey AS id, 'Brand#' || (o_orderkey % 5 + 1)::VARCHAR || (o_orderkey % 5 + 1)::VARCHAR AS s, o_orderkey % 101 AS x, o_orderdate::DATE AS day FROM orders)
+    SELECT id, coalesce(CASE WHEN id % 2 = 0 AND id % 3 <> 0 THEN lower(s) END, s) AS symbol, x::DOUBLE AS score, CASE WHEN id % 2 = 0 AND id % 5 <> 0 THEN x - 1 ELSE x END::DOUBLE AS technical_score, CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END::DOUBLE AS news_score, coalesce(CASE WHEN id % 2 = 1 THEN 'low' END, a.risk_level) AS risk_level, CASE WHEN id % 2 = 0 THEN 'summary' ELSE 'rationale' END AS summary, day AS created_at FROM o JOIN assets a ON a.symbol = s""", "assets")
+def signal_layouts(spark, sf):
+    """Signals of an older layout (score, rationale, generated_at) and a newer one (final_score, technical_summary, created_at) as one list."""
+    c, x = F.col("o_orderkey"), (F.col("o_orderkey") % 101).cast("double")
+    rows = views.table(spark, sf, "orders").withColumn("of", F.concat(F.lit("Brand#"), (c % 5 + 1).cast("string"), (c % 5 + 1).cast("string")))
+    old = rows.where(c % 2 == 1).select(c.alias("id"), "of", x.alias("score"), F.lit("low").alias("risk_level"), F.lit("rationale").alias("rationale"), F.to_date("o_orderdate").alias("generated_at"))
+    new = rows.where(c % 2 == 0).select(c.alias("id"), "of", F.when(c % 3 != 0, F.lower("of")).alias("symbol"), x.alias("final_score"), x.alias("score"), F.when(c % 5 != 0, x - 1).alias("technical_score"), F.lit(1.0).alias("news_score"), F.lit("summary").alias("technical_summary"), F.to_date("o_orderdate").alias("created_at"))
+    known = views.assets(spark, sf).select(F.col("symbol").alias("of"), F.col("risk_level").alias("asset_risk"))
+    told = [t.join(known, "of").withColumn("none", F.lit(0.0)) for t in (old, new)]
+    return tables.layouts(told, id=("id",), symbol=("symbol", "of"), score=("final_score", "score"), technical_score=("technical_score", "score"), news_score=("news_score", "none"), risk_level=("risk_level", "asset_risk"), summary=("technical_summary", "rationale"), created_at=("created_at", "generated_at"))
+
+
+@query("order_layouts", """SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS order_type, l_shipdate::DATE + CASE WHEN l_linenumber % 3 = 0 THEN 1 ELSE 0 END AS order_date, CASE WHEN l_linenumber % 2 = 0 THEN 'old' WHEN l_linenumber % 5 <> 0 THEN 'new' END AS note FROM lineitem""")
+def order_layouts(spark, sf):
+    """Orders of an older layout (order_type, order_date, note) and a newer one (side, executed_at, notes) as one list."""
+    c, side = F.col("l_linenumber"), F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY")
+    rows, ship, made = views.table(spark, sf, "lineitem"), F.to_date("l_shipdate"), F.date_add(F.to_date("l_shipdate"), 1)
+    old = rows.where(c % 2 == 0).select("l_orderkey", c, side.alias("order_type"), F.when(c % 3 != 0, ship).alias("order_date"), made.alias("created_at"), F.lit("old").alias("note"))
+    new = rows.where(c % 2 == 1).select("l_orderkey", c, side.alias("side"), F.when(c % 3 != 0, ship).alias("executed_at"), made.alias("created_at"), F.when(c % 5 != 0, "new").alias("notes"))
+    return tables.layouts([old, new], l_orderkey=("l_orderkey",), l_linenumber=("l_linenumber",), order_type=("order_type", "side"), order_date=("order_date", "executed_at", "created_at"), note=("note", "notes"))

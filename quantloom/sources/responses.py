@@ -93,6 +93,26 @@ def scored_news(raw: DataFrame, vendor: str = "feed") -> DataFrame:
     return out.where("title IS NOT NULL")
 
 
+#: Which kinds of assets each source of prices has; the first that has a kind serves it.
+PROVIDERS = {"daily": ("stock", "etf", "bond_etf"), "ticks": ("crypto",), "observations": ("macro", "bond_proxy")}
+
+
+def provider_of(asset_type: Column, providers: dict[str, tuple[str, ...]] = PROVIDERS) -> Column:
+    """The source that serves an asset type; NULL where none does."""
+    return F.coalesce(*[F.when(F.lower(asset_type).isin(*kinds), name) for name, kinds in providers.items()])
+
+
+def request_url(base: str, **parameters: Column) -> Column:
+    """A request with its parameters encoded."""
+    pairs = [F.concat(F.lit(f"{n}="), F.url_encode(F.coalesce(v.cast("string"), F.lit("")))) for n, v in parameters.items()]
+    return F.concat(F.lit(f"{base}?"), F.concat_ws("&", *pairs))
+
+
+def cache_key(provider: Column, endpoint: str, symbol: Column, url: Column) -> Column:
+    """provider:endpoint:SYMBOL:hash of the request."""
+    return F.concat_ws(":", provider, F.lit(endpoint), F.upper(symbol), F.sha2(url, 256))
+
+
 def plain_news(raw: DataFrame, vendor: str = "articles") -> DataFrame:
     """{"articles": [{headline, summary, url, source, datetime}]}: sentiment from phrases of headline and summary, relevance 75."""
     item = "struct<headline: string, summary: string, url: string, source: string, datetime: string>"

@@ -77,6 +77,18 @@ def backfill(rows: DataFrame, other: DataFrame, key: str, **columns: Column) ->
     return out.drop(*[f"__{n}" for n in columns])
 
 
+def layouts(tables: list[DataFrame], **fields: tuple[str, ...]) -> DataFrame:
+    """Tables of several generations as one: each field is the first of its columns that has a value, in whichever table; columns that a table lacks are NULL.
+
+    A column that no table has is an error."""
+    rows = tables[0]
+    for t in tables[1:]:
+        rows = rows.unionByName(t, allowMissingColumns=True)
+    if missing := sorted({c for own in fields.values() for c in own} - set(rows.columns)):
+        raise ValueError(f"no table has {', '.join(missing)}")
+    return rows.select(*[F.coalesce(*[F.col(c) for c in own]).alias(name) for name, own in fields.items()])
+
+
 def portfolio_export(valued: DataFrame) -> DataFrame:
     names = {"symbol": "symbol", "asset_type": "asset_type", "quantity": "quantity", "average_price": "average_price", "price": "current_price", "value": "current_value", "unrealized": "unrealized_pnl", "unrealized_percent": "unrealized_pnl_percent", "weight": "weight_percent", "currency": "currency"}
     return valued.select(*[(F.round(c, 2) if dict(valued.dtypes)[c] == "double" else F.col(c)).alias(n) for c, n in names.items()])

@@ -63,7 +63,7 @@ def test_sentiment_and_impact(spark):
 
 
 def test_numbers(spark):
-    said = {"383.47": 383.47, "383,47": 383.47, "1,234.56": 1234.56, "1.234,56": 1234.56, "€ 383,47": 383.47, "$ 1,000.00": 1000.0, "": 0.0, "1.234.567": 1234567.0, "1,234,567": 1234567.0, "383.47.00": None, "abc": None}
+    said = {"383.47": 383.47, "383,47": 383.47, "1,234.56": 1234.56, "1.234,56": 1234.56, "€ 383,47": 383.47, "$ 1,000.00": 1000.0, "": 0.0, "1.234.567": 1234567.0, "1,234,567": 1234567.0, "383.47.00": None, "abc": None, "12d": None, "5f": None, "NaN": None, "Infinity": None, "-inf": None, "1e400": None, "0x1F": None, "-1.5e3": -1500.0, ".5": 0.5, "+7": 7.0}
     rows = spark.createDataFrame([(k,) for k in said], "t string").select("t", text.parse_number(F.col("t")).alias("x")).collect()
     assert {r.t: r.x for r in rows} == said
     assert spark.range(1).select(text.parse_number(F.lit(None).cast("string"))).first()[0] == 0.0
@@ -136,3 +136,12 @@ def test_news_lists_are_bounded(spark):
     rows = spark.range(300).select(F.col("id").alias("item_id"), F.lit("A").alias("symbol"), F.date_add(F.lit("2026-01-01").cast("date"), F.col("id").cast("int")).alias("published_at"), F.lit("LOW").alias("impact"))
     assert feeds.news_list(rows, most=1000).count() == 200 and feeds.news_list(rows, most=0).count() == 1 and feeds.news_list(rows, impact="high").count() == 0
     assert [r.item_id for r in feeds.news_list(rows, "a", most=2).collect()] == [299, 298]
+
+
+def test_layouts_of_two_generations(spark):
+    old = spark.createDataFrame([(1, 5.0), (2, None)], "id int, score double")
+    new = spark.createDataFrame([(3, None, 9.0), (4, 1.0, 2.0)], "id int, score double, final_score double")
+    got = tables.layouts([old, new], id=("id",), value=("final_score", "score"))
+    assert sorted(map(tuple, got.collect())) == [(1, 5.0), (2, None), (3, 9.0), (4, 2.0)]
+    with pytest.raises(ValueError, match="other"):
+        tables.layouts([old], value=("score", "other"))
