@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .numeric import finite
-
 #: Phrases of good and bad news.
 POSITIVE = ("earnings beat", "revenue growth", "raises guidance", "upgrade", "partnership", "approval", "buyback", "dividend increase")
 NEGATIVE = ("earnings miss", "revenue decline", "lawsuit", "downgrade", "investigation", "recall", "bankruptcy", "guidance cut", "regulatory risk")
@@ -28,7 +26,8 @@ def parse_number(text: Column) -> Column:
         F.when((dots > 0) & (commas > 0), F.when(comma_last, decimal_comma).otherwise(no_commas))
         .when(commas == 1, decimal_comma).when(commas > 1, no_commas).when(dots > 1, grouped).otherwise(bare)
     )
-    number = lambda x: finite(F.when(x.rlike(NUMBER), x.try_cast("double")))  # noqa: E731  a cast alone takes 12d, NaN and Infinity too
+    infinite = float("inf")
+    number = lambda x: F.nullif(F.nullif(F.regexp_extract(x, NUMBER, 0).try_cast("double"), F.lit(infinite)), F.lit(-infinite))  # noqa: E731  a cast alone takes 12d and NaN too
     return F.when(F.coalesce(bare, F.lit("")) == "", 0.0).otherwise(F.coalesce(number(bare), number(usual)))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.sources import scratch
 from quantloom.sources.holdings import missing_assets
 from quantloom.sources.publish import ALL, Store
 from quantloom.sources.tables import last_wins
@@ -41,6 +42,7 @@ def apply_plan(store: Store, plan: DataFrame, assets: DataFrame) -> int:
 
 def apply_import(store: Store, held: DataFrame) -> dict[str, int]:
     """Assets that aren't known yet are added and the positions become those of the sheet (holdings()), in one change; how many were imported, created and refused."""
+    held = scratch.keep(held, "held")  # a sheet, read several times
     good = held.where("error IS NULL")
     new = missing_assets(held, store.read("assets"))
     created = new.count()
