@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import indicators
+from quantloom.functions import text
+
+from . import indicators, ranks, scan
 
 PRICE_FEATURES = (
     "return_1 return_5 return_20 volatility_30 rsi_14 macd_line macd_histogram price_vs_sma50 price_vs_sma200 sma50_vs_sma200 atr_14 adx_14 percent_b max_drawdown_recent volume_ratio_20 "
@@ -126,10 +127,11 @@ def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return model.transform(ready).withColumn("__p", vector_to_array("probability")[1]).select(*keep, F.col("__p").alias("probability"))
 
 
-def measures(predicted: DataFrame) -> DataFrame:
-    """accuracy, precision, recall, f1 and the confusion counts of predictions at 0.5; 0 where a ratio has no divisor."""
+def measures(predicted: DataFrame, *by: str) -> DataFrame:
+    """accuracy, precision, recall, f1 and the confusion counts of predictions at 0.5, of all rows or of each ``by``; 0 where a ratio has no divisor."""
     hit, yes = F.col("target") == 1, F.col("probability") >= 0.5
-    out = predicted.agg(F.count_if(hit & yes).alias("tp"), F.count_if(~hit & yes).alias("fp"), F.count_if(hit & ~yes).alias("fn"), F.count_if(~hit & ~yes).alias("tn"))
+    counts = F.count_if(hit & yes).alias("tp"), F.count_if(~hit & yes).alias("fp"), F.count_if(hit & ~yes).alias("fn"), F.count_if(~hit & ~yes).alias("tn")
+    out = predicted.groupBy(*by).agg(*counts)
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     c = F.col
     out = out.withColumns({"accuracy": ratio(c("tp") + c("tn"), c("tp") + c("tn") + c("fp") + c("fn")), "precision": ratio(c("tp"), c("tp") + c("fp")), "recall": ratio(c("tp"), c("tp") + c("fn"))})
@@ -138,9 +140,8 @@ def measures(predicted: DataFrame) -> DataFrame:
 
 def auc(predicted: DataFrame) -> float | None:
     """Area under the ROC curve; None where there is one kind of target only."""
-    if predicted.select("target").distinct().limit(2).count() < 2:
-        return None
-    return BinaryClassificationEvaluator(rawPredictionCol="probability", labelCol="target", numBins=0).evaluate(predicted.select("probability", F.col("target").cast("double").alias("target")))
+    found = ranks.areas(predicted.select(F.lit("all").alias("of"), "target", "probability"), "of").first()
+    return found.area if found else None
 
 
 def cross_validate(rows: DataFrame, kind: str, folds: int = 4, **options) -> dict[str, float | int | None] | None:
@@ -168,17 +169,44 @@ def importances(model: PipelineModel) -> list[tuple[str, float]]:
 
 
 def permutation_importances(model: PipelineModel, rows: DataFrame, features: list[str] | None = None, repeats: int = 5, seed: int = 42) -> list[tuple[str, float]]:
-    """How much the area under the curve falls when a feature's values are dealt anew among the rows; a list per feature asked for."""
-    rows = rows.withColumn("__id", F.row_number().over(W.orderBy("date", "symbol"))).cache()  # a model's test rows
-    whole, out = auc(predict(model, rows)) or 0.0, []
-    for f in features or FEATURES:
-        lost = []
-        for k in range(repeats):
-            dealt = rows.select(F.row_number().over(W.orderBy(F.xxhash64(F.lit(seed + k), "__id"), "__id")).alias("__id"), F.col(f).alias("__v"))
-            lost.append(whole - (auc(predict(model, rows.drop(f).join(dealt, "__id").withColumnRenamed("__v", f))) or 0.0))
-        out.append((f, sum(lost) / repeats))
-    rows.unpersist()
-    return sorted(out, key=lambda x: -x[1])
+    """How much the area under the curve falls when a feature's values are dealt anew among the rows, the largest fall first.
+
+    A repeat deals each row another one by global places; a copy of each row a feature takes that feature from the other
+    row, and all copies are scored and ranked in one pass."""
+    features = features or FEATURES
+    own = ranks.numbered(rows.select("symbol", "date", "target", *FEATURES), "at", "date", "symbol")
+    whole = auc(predict(model, own)) or 0.0
+    lost = dict.fromkeys(features, 0.0)
+    for k in range(repeats):
+        order = own.select("at", F.xxhash64(F.lit(seed + k), "at").alias("by"), F.struct(*features).alias("other"))
+        dealt = ranks.numbered(order, "to", "by", "at").select(F.col("to").alias("at"), "other")
+        copies = own.join(dealt, "at").withColumn("of", F.explode(F.array(*map(F.lit, features))))
+        copies = copies.select("of", "target", *[F.when(F.col("of") == c, F.col(f"other.{c}")).otherwise(F.col(c)).alias(c) if c in features else F.col(c) for c in FEATURES])
+        for r in ranks.areas(predict(model, copies), "of").collect():  # a row a feature
+            lost[r.of] += whole - (r.area or 0.0)
+    return sorted(((f, x / repeats) for f, x in lost.items()), key=lambda x: -x[1])
+
+
+def known_features(bars: DataFrame, news: DataFrame) -> DataFrame:
+    """symbol, date and the features of prices and news of every bar, complete or not."""
+    return indicators.features(bars).select("symbol", "date", *PRICE_FEATURES).join(trailing_news(bars, news), ["symbol", "date"])
+
+
+def as_of(asked: DataFrame, features: DataFrame, weights: DataFrame, predictions: DataFrame) -> DataFrame:
+    """symbol, date, feature_date and FEATURES of each asked (symbol, date), each as known on that date; symbols without regard to case.
+
+    Features are those of the latest bar up to the date, a portfolio's weight is that of the latest row of ``weights``
+    (symbol, date, seq, weight), the last label that of ``predictions`` (symbol, date, seq, label); of rows of one symbol
+    and date the last by seq counts. Without a weight or label they are 0; without a bar there is no row. The logs are
+    first one row a symbol and date, then one union in order of dates, over which the last known values are carried."""
+    upper = F.upper("symbol").alias("symbol")
+    last = lambda log, value: log.groupBy(upper, "date").agg(F.max_by(value, "seq").alias("x"))
+    told = features.select(upper, "date", F.struct(F.col("date").alias("feature_date"), *PRICE_FEATURES, *NEWS_FEATURES).alias("bar"), F.lit(0).alias("kind"))
+    held = last(weights, F.coalesce(F.col("weight").cast("double"), F.lit(0.0))).select("symbol", "date", F.col("x").alias("portfolio_weight"), F.lit(0).alias("kind"))
+    said = last(predictions, text.encode_label(F.col("label")).cast("double")).select("symbol", "date", F.col("x").alias("last_label"), F.lit(0).alias("kind"))
+    rows = told.unionByName(held, True).unionByName(said, True).unionByName(asked.select(upper, "date", F.lit(1).alias("kind")), True)
+    rows = scan.carried(rows, "symbol", ["bar", "portfolio_weight", "last_label"], "date", "kind").where("kind = 1 AND bar IS NOT NULL")
+    return rows.select("symbol", "date", "bar.*", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in OWN_FEATURES])
 
 
 LABELS = {"POSITIVE_RETURN": ("POSITIVE_RETURN", "NON_POSITIVE_RETURN"), "OUTPERFORM_BENCHMARK": ("OUTPERFORM", "UNDERPERFORM"), "DRAWDOWN_RISK": ("DRAWDOWN_RISK", "LOW_DRAWDOWN_RISK")}

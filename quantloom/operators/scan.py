@@ -52,3 +52,17 @@ def earlier(key: str) -> WindowSpec:
 def later(key: str) -> WindowSpec:
     """Over totals of chunks: those behind, the nearest last."""
     return W.partitionBy(key).orderBy(F.desc("chunk")).rowsBetween(W.unboundedPreceding, -1)
+
+
+def carried(rows: DataFrame, key: str, columns: list[str], *order: str) -> DataFrame:
+    """``rows`` with each of ``columns`` as last known (not NULL) in the order of ``order`` within the key, the row itself included.
+
+    The last known value of a stretch composes, so a long key is cut into chunks like any other scan."""
+    split = is_long(rows, key)
+    dealt = cut(rows, split, key, *order)
+    out = dealt.withColumns({c: F.last(c, True).over(up_to(key)) for c in columns})
+    if split:
+        ends = dealt.groupBy(key, "chunk").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("pos"))).alias(c) for c in columns])
+        before = ends.select(key, "chunk", *[F.last(c, True).over(earlier(key)).alias(f"__{c}") for c in columns])
+        out = out.join(before, [key, "chunk"]).withColumns({c: F.coalesce(c, f"__{c}") for c in columns}).drop(*[f"__{c}" for c in columns])
+    return out.drop("pos", "chunk")

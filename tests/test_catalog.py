@@ -54,9 +54,16 @@ def true_of_predictions(rows):
         assert 0 <= r.probability <= 1 and r.label == ("POSITIVE_RETURN" if r.probability >= 0.5 else "NON_POSITIVE_RETURN") and r.confidence in ("HIGH", "MEDIUM", "LOW")
 
 
+def true_of_permuted(rows):
+    from quantloom.operators.learning import FEATURES
+
+    assert sorted(r.feature for r in rows) == sorted(FEATURES) and all(-1 <= r.importance <= 1 for r in rows)
+    assert {r.feature: r.importance for r in rows}["portfolio_weight"] == 0  # 0 in every training row
+
+
 TRUE_OF = {
     "backtest_compare": true_of_compare, "backtest_equity": true_of_equity, "backtest_walk_forward": true_of_walk_forward, "backtest_verdict": true_of_verdict,
-    "ml_logistic": true_of_logistic, "ml_predictions": true_of_predictions,
+    "ml_logistic": true_of_logistic, "ml_forest": true_of_logistic, "ml_boosted": true_of_logistic, "ml_permuted": true_of_permuted, "ml_predictions": true_of_predictions,
 }
 
 
