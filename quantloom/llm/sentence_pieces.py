@@ -309,28 +309,30 @@ def encode(docs: DataFrame, path: str | None = None, how: str | None = None) ->
 
 
 def check(docs: DataFrame, path: str | None = None, how: str | None = None) -> DataFrame:
-    """doc_id, n_ids, ids_crc32, n_bytes_ids, decoded_chars, decoded_sha256, lossless of every text, encoded and decoded again."""
+    """doc_id, n_ids, ids_crc32, n_byte_ids, decoded_chars, decoded_sha256, lossless of every text, encoded and decoded again; viterbi_n_ids and viterbi_crc32 are those of the best sum of scores, whatever the model's type."""
     path = path or model_path()
 
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
-        table = pieces(path, how)
+        table, best = pieces(path, how), pieces(path, "viterbi")
         is_byte = np.zeros(len(table.bytes_of), dtype=bool)
         is_byte[table.byte_ids[table.byte_ids >= 0]] = True
         for whole in batches:
             for b in slices(whole, 4_000_000):
                 texts, rows = b.column("text").to_pylist(), []
-                for t, raw in zip(texts, table.encode(texts, how)):
+                coded = table.encode(texts, how)
+                summed = coded if (how or table.way) == "viterbi" else best.encode(texts, "viterbi")
+                for t, raw, other in zip(texts, coded, summed):
                     ids, back = np.frombuffer(raw, dtype=table.kind), table.decode(raw)
-                    rows.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), int(is_byte[ids].sum()), len(back), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == t.replace(MARK, " ")))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], ["doc_id", "n_ids", "ids_crc32", "n_byte_ids", "decoded_chars", "decoded_sha256", "lossless"])
+                    rows.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), int(is_byte[ids].sum()), len(back), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == t.replace(MARK, " "), len(other) // np.dtype(table.kind).itemsize, zlib.crc32(np.frombuffer(other, dtype=table.kind).astype("<u4").tobytes())))
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], ["doc_id", "n_ids", "ids_crc32", "n_byte_ids", "decoded_chars", "decoded_sha256", "lossless", "viterbi_n_ids", "viterbi_crc32"])
 
     rows = docs.select(F.col("doc_id").cast("long"), common.text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, n_byte_ids long, decoded_chars long, decoded_sha256 string, lossless boolean")
+    return rows.mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, n_byte_ids long, decoded_chars long, decoded_sha256 string, lossless boolean, viterbi_n_ids long, viterbi_crc32 long")
 
 
 def op8_viterbi_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text encoded and decoded again, by document. The model file is of type BPE, so the ids come from merges."""
+    """Every text encoded and decoded again, by document. The model file is of type BPE, so the ids come from merges; what Viterbi gives over its scores stands beside them."""
     return check(common.table(spark, sf_dir, "documents"))

@@ -91,7 +91,9 @@ def test_viterbi_over_the_whole_table(spark, sf):
         for w in set(words) - set(known):
             known[w] = [i for piece in brute_viterbi(w) for i in P._ids(piece)]
         ids = [i for w in words for i in known[w]]
-        assert (r.n_ids, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        assert (r.n_ids, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) == (r.viterbi_n_ids, r.viterbi_crc32)
+    both = {r.doc_id: (r.viterbi_n_ids, r.viterbi_crc32, r.n_ids) for r in s.op8_viterbi_sentence_pieces(spark, sf).collect()}
+    assert all(both[r.doc_id][:2] == (r.n_ids, r.ids_crc32) for r in rows) and sum(x[2] for x in both.values()) < sum(r.n_ids for r in rows)
 
 
 def test_op8_and_the_pipeline_take_the_ids_of_the_model(spark, sf):
