@@ -110,6 +110,7 @@ class Pieces:
         self.filter[self.keys >> np.uint64(64 - _FILTER_BITS)] = True
         self._cache: dict[tuple[str, str], bytes] = {}
         self._most = cache_words
+        self.code_of: dict[str, bytes] = {}
 
     @staticmethod
     def _hash(chars: np.ndarray) -> np.ndarray:
@@ -163,6 +164,34 @@ class Pieces:
             out.append(own[::-1])
         return out
 
+    def _summed(self, chars: np.ndarray, words: list[str]) -> list[bytes]:
+        """The ids of the words' best segmentations, all back pointers followed together; a word with a character that has no piece goes alone."""
+        (n, length), back, prefix = chars.shape, self.viterbi(chars), self._hash(chars)
+        ids, to, live, column = np.full((n, length), -1, dtype=np.int64), np.full(n, length), np.arange(n), length
+        with np.errstate(over="ignore"):
+            inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(length, _PINV, np.uint64)]))
+            while len(live):
+                column, end = column - 1, to[live]
+                start = end - back[live, end]
+                at = self.probe((prefix[live, end] - prefix[live, start]) * inverse[start])
+                ids[live, column] = np.where(at >= 0, self.ids[at], -2)
+                to[live] = start
+                live = live[start > 0]
+        raw = ids[ids != -1].astype(self.kind).tobytes()
+        edge = np.concatenate([[0], np.cumsum((ids != -1).sum(axis=1))]) * np.dtype(self.kind).itemsize
+        out = [raw[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
+        for r in np.flatnonzero((ids == -2).any(axis=1)).tolist():
+            out[r] = self._joined(words[r], self._spans(chars[r : r + 1])[0])
+        return out
+
+    def _joined(self, word: str, spans: list[int]) -> bytes:
+        start, coded = 0, []
+        for s in spans:
+            piece = word[start : start + s]
+            coded.append(self.code_of.get(piece) or self._code(piece))
+            start += s
+        return b"".join(coded)
+
     def _merged(self, chars: np.ndarray) -> list[list[int]]:
         """Piece lengths of each word after joining the best neighbours again and again, of equals the leftmost."""
         n, length = chars.shape
@@ -234,12 +263,7 @@ class Pieces:
             for at in range(0, len(same), most):
                 part = same[at : at + most]
                 chars = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(len(part), length)
-                for w, spans in zip(part, (self._spans if how == "viterbi" else self._merged)(chars)):
-                    start, ids = 0, []
-                    for s in spans:
-                        ids += self._ids(w[start : start + s])
-                        start += s
-                    out[w] = np.array(ids, dtype=self.kind).tobytes()
+                out.update(zip(part, self._summed(chars, part) if how == "viterbi" else map(self._joined, part, self._merged(chars))))
         return out
 
     def _ids(self, piece: str) -> list[int]:
@@ -249,11 +273,23 @@ class Pieces:
         fallback = self.byte_ids[list(piece.encode("utf-8", "surrogatepass"))]
         return [self.unknown] if (fallback < 0).any() else fallback.tolist()
 
+    def _code(self, piece: str) -> bytes:
+        """The bytes of a piece's ids; those of pieces of the model are kept."""
+        raw = np.array(self._ids(piece), dtype=self.kind).tobytes()
+        if piece in self.id_of:
+            self.code_of[piece] = raw
+        return raw
+
+    def words(self, texts: list[str]) -> list[list[str]]:
+        """The words of each text, normalised, that are segmented one by one."""
+        return [self.word.findall(self.sp.normalize(t)) if t else [] for t in texts]
+
     def encode(self, texts: list[str], how: str | None = None) -> list[bytes]:
-        split, new, known = [], set(), self._cache
-        for t in texts:
-            words = self.word.findall(self.sp.normalize(t)) if t else []
-            split.append(words)
+        return self.encode_words(self.words(texts), how)
+
+    def encode_words(self, split: list[list[str]], how: str | None = None) -> list[bytes]:
+        new, known = set(), self._cache
+        for words in split:
             new.update(set(words).difference(known))
         fresh = self.segment(list(new), how or self.way)
         before = len(known)
@@ -321,8 +357,9 @@ def check(docs: DataFrame, path: str | None = None, how: str | None = None) -> D
         for whole in batches:
             for b in slices(whole, 4_000_000):
                 texts, rows = b.column("text").to_pylist(), []
-                coded = table.encode(texts, how)
-                summed = coded if (how or table.way) == "viterbi" else best.encode(texts, "viterbi")
+                split = table.words(texts)
+                coded = table.encode_words(split, how)
+                summed = coded if (how or table.way) == "viterbi" else best.encode_words(split, "viterbi")
                 for t, raw, other in zip(texts, coded, summed):
                     ids, back = np.frombuffer(raw, dtype=table.kind), table.decode(raw)
                     rows.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), int(is_byte[ids].sum()), len(back), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == t.replace(MARK, " "), len(other) // np.dtype(table.kind).itemsize, zlib.crc32(np.frombuffer(other, dtype=table.kind).astype("<u4").tobytes())))
