@@ -106,6 +106,36 @@ def test_one_symbol_fills_many_tasks(spark, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def moved(spark, since=-1):
+    """The last stage, and bytes shuffled, spilled and written in those after ``since``."""
+    array = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, array, None)
+    found = [x for x in map(stages.apply, range(stages.size())) if x.stageId() > since]
+    return max((x.stageId() for x in found), default=since), sum(x.shuffleWriteBytes() + x.diskBytesSpilled() + x.outputBytes() for x in found)
+
+
+def test_a_long_symbol_is_shuffled_once_and_its_matched_part_again(spark, monkeypatch):
+    monkeypatch.setattr(scan, "CHUNK", 10_000)
+    rows = spark.range(60_000, numPartitions=2).select(
+        F.lit("A").alias("symbol"), F.when(F.col("id") % 3 == 0, "SELL").otherwise("BUY").alias("side"), (F.col("id") % 49 + 1).cast("double").alias("quantity"), (F.xxhash64("id") % 1000 / 100 + 20).alias("price"),
+        (F.col("id") % 7 / 10).alias("fees"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") / 100).cast("int")).alias("order_date"), F.struct(F.col("id"), (F.xxhash64("id") % 1_000_000).alias("k"), F.col("id").alias("l")).alias("seq"),
+    )
+    before, _ = moved(spark)
+    assert portfolio.tax_events(portfolio.fifo(rows), assets_of(spark, ("A", "stock"))).agg(F.sum("gain")).first()[0] is not None
+    assert 0 < moved(spark, before)[1] < 160 * 60_000  # 227 a row with ranges and chunks dealt again, 110 now
+
+
+def test_intervals_that_reach_over_many_chunks(spark, monkeypatch):
+    """A buy that many sells take from, then many buys for one sell, then more sold than held."""
+    monkeypatch.setattr(scan, "CHUNK", 512)
+    day = lambda k: f"2025-{1 + k % 12:02d}-{1 + k % 28:02d}"
+    rows = [("A", "BUY", 1500.0, 10.0, 1.0, day(0))] + [("A", "SELL", 1.0, 11.0 + k % 5, 0.0, day(k)) for k in range(1400)]
+    rows += [("A", "BUY", 2.0, 9.0 + k % 7, 0.5, day(k)) for k in range(1400)] + [("A", "SELL", 2800.0, 12.0, 0.0, day(1)), ("A", "SELL", 500.0, 12.0, 0.0, day(2)), ("A", "BUY", 3.0, 10.0, 0.0, day(3)), ("B", "BUY", 1.0, 5.0, 0.0, day(4)), ("B", "SELL", 0.5, 6.0, 0.0, day(5))]
+    found = scan.bounds(orders_of(spark, rows), "symbol", "seq").collect()
+    assert [r.symbol for r in found] == ["A"] and len(found[0].bounds) > 5
+    same_as_queues(spark, rows)
+
+
 LIMITS = portfolio.LIMITS
 
 
