@@ -45,10 +45,11 @@ def holdings(rows: DataFrame, headers: list[str]) -> DataFrame:
     at = columns_of(headers)
     cell = lambda f: F.trim(F.coalesce(F.get("cells", F.lit(at[f])), F.lit(""))) if f in at else F.lit("")
     kind = F.replace(F.lower(cell("asset_type")), F.lit(" "), F.lit("_"))
-    out = rows.select(
+    read = F.struct(
         F.upper(cell("symbol")).alias("symbol"), cell("name").alias("name"), F.when(kind.isin(*ASSET_TYPES), kind).otherwise("stock").alias("asset_type"),
         parse_number(cell("quantity")).alias("quantity"), parse_number(cell("average_price")).alias("average_price"), F.left(F.upper(cell("currency")), F.lit(8)).alias("currency"),
     )
+    out = rows.select(F.inline(F.array(read)))  # read once: as plain columns the conditions below would read the numbers anew each
     wrong = F.concat_ws(",", F.when(F.col("quantity").isNull(), "quantity"), F.when(F.col("average_price").isNull(), "average_price"))
     out = out.where("symbol != ''").withColumn("error", F.when(wrong != "", F.concat(F.lit("not a number: "), wrong))).where("error IS NOT NULL OR quantity > 0")
     blank = lambda c, other: F.when(F.col(c) != "", F.col(c)).otherwise(other)

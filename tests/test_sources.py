@@ -145,3 +145,11 @@ def test_layouts_of_two_generations(spark):
     assert sorted(map(tuple, got.collect())) == [(1, 5.0), (2, None), (3, 9.0), (4, 2.0)]
     with pytest.raises(ValueError, match="other"):
         tables.layouts([old], value=("score", "other"))
+
+
+def test_a_sheets_numbers_are_read_once(spark):
+    """As columns that conditions were pushed under, the numbers took so much code that it couldn't be compiled."""
+    rows = spark.createDataFrame([(["x", "1.234,5", "2,5"],), (["y", "1..2,3,4", "1"],), (["z", "-1", "1"],)], "cells array<string>")
+    out = holdings.holdings(rows, ["symbol", "quantity", "average_price"])
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") == 2
+    assert [(r.symbol, r.quantity, r.average_price, r.error) for r in out.orderBy("symbol").collect()] == [("X", 1234.5, 2.5, None), ("Y", None, 1.0, "not a number: quantity")]
