@@ -7,8 +7,8 @@ packs code bytes losslessly into the files, ``read_media`` takes them out again
 the resampled 16-bit PCM, ``with_features`` reads stored PCM, and ``with_pcm`` adds a
 column of PCM to any table of files.
 
-The query stores PCM of QUERY_RATE samples a second: at 16,000 it would take 4 times the
-input's bytes, at 2,000 it takes 0.8 times.
+The query stores PCM of OUT_RATE samples a second, several times the input's bytes, of a slice
+of the documents at a time: a slice's files and PCM go once its features are computed from them.
 
 Nulls: null codes are empty; an empty payload isn't a file without samples, since
 payloads are padded to 192 bytes. Files that aren't WAV files of the three formats
@@ -36,7 +36,8 @@ from . import common
 UNIT = 192
 RATE = 8000
 OUT_RATE = 16000
-QUERY_RATE = 2000
+#: Of the query's PCM: no less than with_pcm() gives.
+QUERY_RATE = OUT_RATE
 FORMATS = ("mulaw", "alaw", "ima_adpcm")
 _TAGS = {"mulaw": 7, "alaw": 6, "ima_adpcm": 17}
 _NAMES = {v: k for k, v in _TAGS.items()}
@@ -155,8 +156,8 @@ def expand(files: list[tuple[str, int, bytes] | None]) -> list[np.ndarray | None
     return out
 
 
-#: Parts of the documents that are stored as media one after another.
-SLICES = 4
+#: Parts of the documents whose media and PCM are stored one after another.
+SLICES = 6
 #: Zero crossings of the resampler's sinc on either side; they lie wider apart the lower the new rate, so that what it can't hold is gone.
 LOBES = 6
 
@@ -183,7 +184,8 @@ def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
     n = -(-len(pcm) * up // down)
     filters = _filters(up, down)
     half = len(filters[0]) // 2
-    wide = np.concatenate([np.full(half, pcm[0]), pcm, np.full(half + 1, pcm[-1])]).astype(np.int64)
+    kind = np.int32 if max(int(np.abs(t).sum()) for t in filters) * 32768 + 16384 < 2**31 else np.int64
+    wide = np.concatenate([np.full(half, pcm[0]), pcm, np.full(half + 1, pcm[-1])]).astype(kind)
     out = np.empty(n, dtype=np.int16)
     for phase, taps in enumerate(filters):
         own = np.arange(phase * pow(down, -1, up) % up if up > 1 else 0, n, up)  # outputs at this phase
@@ -191,23 +193,24 @@ def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
             continue
         used = np.flatnonzero(taps)
         first, step = own[0] * down // up, down
-        total = np.full(len(own), 16384, dtype=np.int64)
+        total = np.full(len(own), 16384, dtype=kind)
         for k in used:
             at = first + 1 + k
-            total += taps[k] * wide[at : at + step * (len(own) - 1) + 1 : step]
+            total += kind(taps[k]) * wide[at : at + step * (len(own) - 1) + 1 : step]
         out[own] = np.clip(total >> 15, -32768, 32767)
     return out
 
 
 def features(kind: str, pcm: np.ndarray, rate: int) -> str:
     """Whole-number features of samples: peak, root mean square, mean, zero crossings, clipped samples, loudest 20 ms."""
-    x = pcm.astype(np.int64)
+    x = pcm.astype(np.int32)
     if not len(x):
         return f"{kind};{rate};0"
-    frame = rate // 50
-    loud = np.add.reduceat(x * x, np.arange(0, len(x), frame)).max() // frame
-    zero = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
-    return ";".join(map(str, (kind, rate, len(x), int(np.abs(x).max()), math.isqrt(int((x * x).sum()) // len(x)), int(x.sum()) // len(x), zero, int(np.count_nonzero(np.abs(x) >= 32124)), math.isqrt(int(loud)))))
+    frame, size = rate // 50, np.abs(x)
+    power = np.add.reduceat(x * x, np.arange(0, len(x), frame), dtype=np.int64)  # a square is 2**30 at most
+    low = x < 0
+    zero = int(np.count_nonzero(low[1:] != low[:-1]))
+    return ";".join(map(str, (kind, rate, len(x), int(size.max()), math.isqrt(int(power.sum()) // len(x)), int(x.sum(dtype=np.int64)) // len(x), zero, int(np.count_nonzero(size >= 32124)), math.isqrt(int(power.max()) // frame))))
 
 
 def _cuts(sizes: Iterable[int], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
@@ -302,21 +305,22 @@ def with_features(stored: DataFrame, rate: int) -> DataFrame:
     return stored.withColumn("feature", of("format", "pcm")).drop("format", "pcm")
 
 
-def stored_pcm(docs: DataFrame, rate: int, slices: int = SLICES) -> DataFrame:
-    """Texts as WAV files in media tables, and read_media()'s rows of these, PCM included, in tables of their own.
+def stored_features(docs: DataFrame, rate: int, slices: int = SLICES) -> DataFrame:
+    """Texts as WAV files in media tables, read_media()'s rows of these, PCM included, in tables of their own, and features of what these hold.
 
-    A slice of the documents at a time, by hash of the id: a slice's media table goes once its PCM is stored, so scratch
-    holds the PCM of all and the media of one."""
-    small = {"parquet.compression.codec.zstd.level": "12", "parquet.page.size": str(8 << 20)}
+    A slice of the documents at a time, by hash of the id: its media and PCM tables go once its features are stored, so
+    scratch holds those of one slice and the features of all."""
+    fast = {"parquet.compression.codec.zstd.level": "1", "parquet.page.size": str(8 << 20), "parquet.block.size": str(32 << 20)}
     out = None
     for k in range(slices):
-        media = common.materialize(encode_media(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(slices)) == k)), "media", small)
-        stored = common.materialize(read_media(media, rate), "pcm", small)
-        common.drop(media)
-        out = stored if out is None else out.unionByName(stored)
+        media = common.materialize(encode_media(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(slices)) == k)), "media", fast)
+        pcm = common.materialize(read_media(media, rate), "pcm", fast)
+        found = common.materialize(with_features(pcm, rate), "features")
+        common.drop(media, pcm)
+        out = found if out is None else out.unionByName(found)
     return out
 
 
 def op9_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as a WAV file in a media table; its files read back, expanded and stored as resampled PCM; digests and features of what was read."""
-    return with_features(stored_pcm(common.table(spark, sf_dir, "documents"), QUERY_RATE), QUERY_RATE)
+    return stored_features(common.table(spark, sf_dir, "documents"), QUERY_RATE)

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -134,3 +135,21 @@ def test_odd_rows_and_pcm(spark, odd, none):
     assert [r.payload_bytes for r in t.read_media(broken).collect()] == [None, None]
     assert [r.pcm for r in t.with_pcm(broken).collect()] == [None, None]
     assert t.read_media(t.encode_media(none)).count() == 0 and t.with_pcm(t.encode_media(none)).count() == 0
+
+
+def test_op9_stores_pcm_at_the_full_rate(spark, sf):
+    """Features are of 16,000 samples a second, as many as the coded samples give; scratch holds one slice's PCM at most."""
+    for r in t.op9_telephony_audio(spark, sf).select("payload_bytes", "feature").collect():
+        kind, rate, n = r.feature.split(";")[:3]
+        coded = r.payload_bytes if kind != "ima_adpcm" else r.payload_bytes // t.UNIT * t.BLOCK_SAMPLES
+        assert int(rate) == t.OUT_RATE == 2 * t.RATE and int(n) == 2 * coded
+
+
+def test_sums_in_32_bits_are_exact():
+    rng = np.random.default_rng(5)
+    for pcm in (np.where(rng.random(4000) < 0.5, -32768, 32767).astype(np.int16), rng.integers(-32768, 32768, 999).astype(np.int16), np.full(50, -32768, np.int16)):
+        for to in (16000, 2000, 11025):
+            assert t.resample(pcm, 8000, to).tolist() == brute_resample(pcm, 8000, to)
+        x = pcm.astype(object)
+        told = t.features("mulaw", pcm, 16000).split(";")
+        assert int(told[4]) == math.isqrt(int((x * x).sum()) // len(x)) and int(told[3]) == int(abs(x).max())
