@@ -171,3 +171,10 @@ def test_registry(spark, tmp_path):
     assert registry.recent_predictions(rows, 500).count() == 50 and registry.recent_predictions(rows, 0, "Ab").count() == 1 and registry.recent_predictions(rows, 5, "zz").isEmpty()
     order = sorted(((f"2024-01-{n % 5 + 1:02}", n) for n in range(120)), reverse=True)
     assert [r.id for r in registry.recent_predictions(rows, 10).orderBy("place").collect()] == [n for _, n in order[:10]]
+
+
+def test_a_data_set_makes_its_bars_once(spark, sf):
+    from quantloom.plans import learning as plans
+
+    plan = plans.data(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "bars-" not in plan and "l_extendedprice" not in plan  # nothing in it goes back to the order lines
