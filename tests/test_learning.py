@@ -6,10 +6,12 @@ import random
 
 import numpy as np
 import pytest
+import sqlcheck
 from pyspark.sql import functions as F
 
 from quantloom.functions import text
 from quantloom.operators import boosting, learning, ranks, registry, scan
+from quantloom.plans import catalog
 from quantloom.plans import learning as plans
 from quantloom.sources.publish import Store
 
@@ -178,3 +180,31 @@ def test_a_data_set_makes_its_bars_once(spark, sf):
 
     plan = plans.data(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "bars-" not in plan and "l_extendedprice" not in plan  # nothing in it goes back to the order lines
+
+
+def test_a_prediction_keeps_what_was_known(spark):
+    rng, day, names = random.Random(11), dt.date(2024, 1, 8), [*learning.PRICE_FEATURES, *learning.NEWS_FEATURES]
+    schema = "symbol string, date date, " + ", ".join(f"{n} double" for n in names)
+    rows = [("A", day, *[rng.random() for _ in names]) for _ in range(40)]
+    model = learning.train(spark.createDataFrame([(*r, int(r[2] > 0.5)) for r in rows], schema + ", target int").withColumns({c: F.lit(0.0) for c in learning.OWN_FEATURES}))
+    bars = spark.createDataFrame([("a", day, None, *[0.5] * (len(names) - 1)), ("B", day, *[0.25] * len(names))], schema)
+    weights = spark.createDataFrame([("A", day, 0, 12.5)], "symbol string, date date, seq int, weight double")
+    log = spark.createDataFrame([("a", day, 1, "UNDERPERFORM"), ("b", day + dt.timedelta(9), 1, "OUTPERFORM")], "symbol string, date date, seq int, label string")
+    asked = bars.select("symbol", F.date_add("date", 2).alias("date"))
+    with_logs, without = ({r.symbol: r for r in learning.say(model, learning.as_of(asked, bars, w, p), "POSITIVE_RETURN", 0.9, 0.9).collect()} for w, p in ((weights, log), (weights.limit(0), log.limit(0))))
+    a, b = with_logs["A"], with_logs["B"]
+    assert (a.feature_date, a.features.portfolio_weight, a.features.last_label, tuple(a.said)) == (day, 12.5, -1.0, (day, "UNDERPERFORM"))
+    assert (b.feature_date, b.features.portfolio_weight, b.features.last_label, b.said) == (day, 0.0, 0.0, None)  # the label is of a later day
+    assert sorted(a.features.asDict()) == sorted(learning.FEATURES) and a.features[names[0]] is None and b.features[names[0]] == 0.25
+    assert a != without["A"] and a.probability == without["A"].probability and b == without["B"]
+
+
+def test_predictions_keep_the_weight_held_and_what_was_said(spark, sf):
+    rows = plans.ml_predictions(spark, sf).collect()
+    cols, held = sqlcheck.of_duck(catalog.SQL["portfolio_valuation"], sf)
+    weight = {r[cols.index("symbol")].upper(): r[cols.index("weight")] for r in held}
+    assert len(rows) == 25 and sum(weight.values()) > 0
+    for r in rows:
+        assert r.feature_date == r.date and r.features.portfolio_weight == pytest.approx(weight.get(r.symbol, 0.0), abs=1e-4)
+        assert r.features.last_label == 1 and r.said.label in learning.LABELS["POSITIVE_RETURN"]  # either label has POSITIVE in it
+        assert (r.date.year - r.said.date.year) * 12 + r.date.month - r.said.date.month == 3
